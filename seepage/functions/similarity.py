@@ -13,6 +13,7 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from seepage.functions.constants import FUZZY_DEN, FUZZY_NUM
 
@@ -69,7 +70,7 @@ def window_hit(content: bytes, value: bytes, lo: int, hi: int) -> bool:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def fuzzy_window_udf(content: pd.Series, value: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     return pd.Series([window_hit(bytes(c), bytes(v), lo_, hi_)
                       for c, v, lo_, hi_ in zip(content, value, lo, hi)], dtype=bool)

@@ -58,11 +58,99 @@ SELECT c_custkey AS pid, c_custkey AS ord,
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+# Captured porcelain listings, one per supplier: nested/CRLF/locked blocks,
+# bare, unterminated, detached, orphan lines, empty path, repeated HEAD.
+LISTINGS_FX = """
+SELECT s_suppkey AS listing_id,
+  'worktree /srv/r' || CAST(s_suppkey AS STRING) || chr(10) || 'HEAD ' || md5('h' || CAST(s_suppkey AS STRING)) || chr(10) ||
+  'branch refs/heads/main' || chr(10) || chr(10) ||
+  'worktree /srv/r' || CAST(s_suppkey AS STRING) || '-wt-b' || chr(13) || chr(10) || 'HEAD ' || md5('b' || CAST(s_suppkey AS STRING)) || chr(13) || chr(10) ||
+  'branch refs/heads/feature/b' || CAST(s_suppkey AS STRING) || chr(10) || 'locked' || chr(10) || chr(10) ||
+  CASE s_suppkey % 4
+    WHEN 0 THEN 'worktree /srv/r' || CAST(s_suppkey AS STRING) || '-bare' || chr(10) || 'bare' || chr(10)
+    WHEN 1 THEN 'worktree /srv/r' || CAST(s_suppkey AS STRING) || '-wt-c' || chr(10) || 'HEAD ' || md5('c' || CAST(s_suppkey AS STRING)) || chr(10) || 'detached'
+    WHEN 2 THEN 'HEAD orphan' || chr(10) || 'worktree ' || chr(10) || 'HEAD x' || chr(10) || chr(10) ||
+      'worktree /srv/r' || CAST(s_suppkey AS STRING) || '-d' || chr(10) || 'HEAD ' || md5('d' || CAST(s_suppkey AS STRING)) || chr(10) ||
+      'HEAD ' || md5('e' || CAST(s_suppkey AS STRING)) || chr(10) || 'branch refs/heads/x' || chr(10) ||
+      'worktree /srv/r' || CAST(s_suppkey AS STRING) || '-f' || chr(10) || 'branch refs/heads/f'
+    ELSE chr(10) || chr(10) || 'worktree   /srv/r' || CAST(s_suppkey AS STRING) || '-g  ' || chr(10) ||
+      'HEAD   ' || md5('g' || CAST(s_suppkey AS STRING)) || '  ' || chr(10) || chr(10)
+  END AS text
+FROM {supplier}
+"""
+
+# (field, value) cases for the ordered classification rules, one per customer:
+# every rule, the traps (AUTHOR, long CACHE_KEY, 'True', a trailing newline,
+# HOST=localhost) and Unicode case folding (Kelvin sign, long s).
+CLASSIFY_FX = """
+SELECT c_custkey AS case_id,
+  CASE c_custkey % 16
+    WHEN 0 THEN 'AWS_ACCESS_KEY_ID' WHEN 1 THEN 'AWS_SECRET_ACCESS_KEY' WHEN 2 THEN 'GITHUB_TOKEN' WHEN 3 THEN 'SLACK_TOKEN'
+    WHEN 4 THEN 'id_rsa' WHEN 5 THEN 'DSN' WHEN 6 THEN 'ENDPOINT' WHEN 7 THEN 'PORT' WHEN 8 THEN 'DEBUG'
+    WHEN 9 THEN 'SESSION_ID' WHEN 10 THEN 'PLAIN' WHEN 11 THEN 'AUTHOR' WHEN 12 THEN 'CACHE_KEY' WHEN 13 THEN 'HOST'
+    WHEN 14 THEN 'gh_pat' ELSE CASE WHEN c_custkey % 32 = 15 THEN 'TOKEN' ELSE 'ſLACK_HOOK' END END AS field,
+  CASE c_custkey % 16
+    WHEN 0 THEN 'AKIA' || upper(substr(md5(c_name), 1, 16))
+    WHEN 1 THEN substr(md5(c_name) || md5(c_mktsegment), 1, 40)
+    WHEN 2 THEN 'ghp_' || md5(c_name) || 'abcd'
+    WHEN 3 THEN 'xoxb-' || CAST(c_custkey AS STRING) || '-' || substr(md5(c_name), 1, 6)
+    WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----'
+    WHEN 5 THEN 'postgres://u:p@h' || CAST(c_custkey AS STRING) || ':5432/db'
+    WHEN 6 THEN 'https://example.com/' || CAST(c_custkey AS STRING)
+    WHEN 7 THEN CAST(c_custkey AS STRING) || CASE WHEN c_custkey % 32 = 7 THEN chr(10) ELSE '' END
+    WHEN 8 THEN CASE WHEN c_custkey % 32 = 8 THEN 'True' ELSE 'true' END
+    WHEN 9 THEN 'abc-' || CAST(c_custkey AS STRING)
+    WHEN 10 THEN c_name
+    WHEN 11 THEN c_name
+    WHEN 12 THEN CASE WHEN c_custkey % 32 = 12 THEN md5(c_name) ELSE 'short' END
+    WHEN 13 THEN 'localhost'
+    WHEN 14 THEN 'ghp_' || md5(c_name) || '0123'
+    ELSE 'xoxp-' || substr(md5(c_name), 1, 10) END AS value
+FROM {customer}
+"""
+
+# Trigram similarity pairs, one per event: equal, last byte changed, middle
+# changed, truncated, rotation of a repetitive value, both shorter than 3.
+PAIRS_FX = """
+SELECT event_id AS case_id,
+  CASE event_id % 6 WHEN 4 THEN 'abcabcabc' WHEN 5 THEN 'ab' ELSE m END AS a,
+  CASE event_id % 6 WHEN 0 THEN m WHEN 1 THEN substr(m, 1, 31) || 'Z' WHEN 2 THEN substr(m, 1, 15) || 'Z' || substr(m, 17, 16)
+    WHEN 3 THEN substr(m, 1, 31) WHEN 4 THEN 'bcabcabca' ELSE 'a' END AS b
+FROM (SELECT event_id, md5('a' || CAST(event_id AS STRING)) AS m FROM {events}) t
+"""
+
+# A leak trail with every severity and match kind, one event per row of
+# events, for the report side (the fixture leaks are all secret).
+TRAIL_FX = """
+SELECT trail_pos, timestamp, source_worktree, source_agent_pid, source_worktree || '/.env' AS source_path, secret_field,
+  target_worktree, target_agent_pid, target_worktree || '/src/f' || CAST(trail_pos AS STRING) || '.txt' AS target_path,
+  match_kind, severity
+FROM (
+  SELECT event_id AS trail_pos, ts AS timestamp,
+    CASE WHEN event_id % 9 = 0 THEN '/ext/w' || CAST(user_id % 3 AS STRING)
+         ELSE '/repo/r' || CAST(n_regionkey AS STRING) || '/wt-' || CAST(n_nationkey AS STRING) END AS source_worktree,
+    CAST(0 AS BIGINT) AS source_agent_pid,
+    CASE event_id % 6 WHEN 0 THEN 'DB_TOKEN' WHEN 1 THEN 'DSN' WHEN 2 THEN 'SESSION_ID' WHEN 3 THEN 'API_KEY'
+      WHEN 4 THEN 'PORT' ELSE 'CACHE_KEY' END AS secret_field,
+    '/repo/r' || CAST((n_regionkey + 1) % 5 AS STRING) ||
+      CASE WHEN event_id % 4 = 0 THEN '' ELSE '/wt-' || CAST((n_nationkey + 3) % 25 AS STRING) END AS target_worktree,
+    CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS BIGINT) AS target_agent_pid,
+    CASE WHEN event_id % 5 = 0 THEN 'fuzzy' ELSE 'exact' END AS match_kind,
+    CASE event_id % 6 WHEN 1 THEN 'config' WHEN 4 THEN 'config' WHEN 2 THEN 'state'
+      WHEN 5 THEN CASE WHEN event_id % 12 = 5 THEN 'secret' ELSE 'state' END ELSE 'secret' END AS severity
+  FROM {events} JOIN {nation} ON n_nationkey = user_id % 25
+) t
+"""
+
 FIXTURE_SQL = {
     "worktrees_fx": WORKTREES_FX,
     "files_fx": FILES_FX,
     "writes_fx": WRITES_FX,
     "procs_fx": PROCS_FX,
+    "listings_fx": LISTINGS_FX,
+    "classify_fx": CLASSIFY_FX,
+    "pairs_fx": PAIRS_FX,
+    "trail_fx": TRAIL_FX,
 }
 
 
