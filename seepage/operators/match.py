@@ -15,13 +15,15 @@ value, and no earlier occurrence exists, so exactly one row per (write, key)
 survives without a dedup shuffle.
 
 J6 fuzzy, trigram prefix filter. A window W matches V iff 10|W∩V| >= 9|W∪V|,
-which needs |W∩V| >= m = ceil(0.9 T), T = |trigrams(V)|. Any T - m + 1
-trigrams of V therefore include one that W contains (pigeonhole). V emits its
-T - m + 1 rarest trigrams (rarity = frequency among all values); the content
-emits every trigram position. The join yields candidate pairs with positions;
-a window holding the trigram at t starts in [t - L + 3, t]. Pairs are reduced
-to (min t, max t) (partial aggregation, thin rows), brought back to the
-content, and tested window by window, exact pairs excluded.
+which needs |W∩V| >= m = ceil(0.9 T), T = |trigrams(V)|. So among any
+T - m + h trigrams of V, W holds at least h (pigeonhole). V emits its
+T - m + h rarest trigrams (rarity = frequency among all values, h = 2); the
+content emits every trigram position. The join plus a per-pair count of
+distinct hits (>= h) yields candidates with positions; a window holding the
+trigram at t starts in [t - L + 3, t]. Candidates are reduced to
+(min t, max t) (partial aggregation, thin rows), brought back to the
+content, and tested window by window, exact pairs excluded. All of this runs
+once per distinct content; matches fan out to the writes that carry it.
 """
 
 from __future__ import annotations
@@ -74,45 +76,66 @@ def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) ->
     j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
     first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
     j = j.where(first)
-    return j.drop("_n", "_a", "_wg", "_g", "_c").withColumn("match_kind", F.lit(K.MATCH_EXACT))
+    return j.drop("_n", "_a", "_wg", "_g", "_c", "content_bin").withColumn("match_kind", F.lit(K.MATCH_EXACT))
 
 
-def prefix_trigrams(fps: DataFrame) -> DataFrame:
-    """Per fingerprint: its T - ceil(0.9 T) + 1 rarest distinct trigrams."""
+def prefix_trigrams(fps: DataFrame, hits: int = 2) -> DataFrame:
+    """Per fingerprint: its P = min(T, T - m + hits) rarest distinct trigrams,
+    m = ceil(0.9 T), and ``_need`` = P - (T - m): a matching window misses at
+    most T - m trigrams of V, so it holds at least ``_need`` of these P."""
     f = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
     tri = f.select(*FP_ATTRS, F.explode(C.trigrams(F.col("value_bin"))).alias("_tri"))
     tri = tri.withColumn("_ntri", F.count(F.lit(1)).over(Window.partitionBy(*FP_KEY)))
     freq = tri.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
     tri = tri.join(freq, "_tri")
     r = F.row_number().over(Window.partitionBy(*FP_KEY).orderBy("_df", "_tri"))
-    need = F.expr("_ntri - CAST((9 * _ntri + 9) DIV 10 AS BIGINT) + 1")
-    return tri.withColumn("_r", r).where(F.col("_r") <= need).drop("_r", "_df")
+    slack = F.col("_ntri") - F.expr("CAST((9 * _ntri + 9) DIV 10 AS BIGINT)")  # T - m
+    p = F.least(F.col("_ntri"), slack + F.lit(hits))
+    tri = tri.withColumn("_r", r).where(F.col("_r") <= p)
+    return tri.withColumn("_need", p - slack).drop("_r", "_df", "_ntri")
 
 
-def fuzzy_candidates(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """write_id + fingerprint attrs + window range (lo, hi) for pairs that can
-    reach the fuzzy threshold (a superset; exact and non-matching pairs stay)."""
-    pre, _ = bounded_broadcast(prefix_trigrams(fps), width=F.col("vlen") + F.lit(64))
-    w = (writes.select("write_id", "target_worktree", "content_bin")
-               .withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3))
+def distinct_contents(writes: DataFrame) -> DataFrame:
+    """_ch (SHA-256 of the bytes), content_bin: one row per distinct content.
+
+    Copies are collapsed map-side first (partial aggregation), so a hot group
+    of identical writes ships one row per task, never a hot reducer."""
+    return (writes.select(F.sha2("content_bin", 256).alias("_ch"), "content_bin")
+                  .dropDuplicates(["_ch"]))
+
+
+def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> DataFrame:
+    """(_ch, fingerprint attrs, win_lo, win_hi) for contents holding at least
+    ``_need`` distinct prefix trigrams of the value (necessary, not sufficient)."""
+    pre, _ = bounded_broadcast(prefix_trigrams(fps, hits), width=F.col("vlen") + F.lit(64))
+    w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3)
     w = _positions(w, F.col("_n"), F.col("_n") - 3, 1, "_pos")
     w = w.withColumn("_wt", F.substring("content_bin", F.col("_pos") + 1, 3)).drop("content_bin")
-    j = w.join(pre, (w["_wt"] == pre["_tri"]) & (w["target_worktree"] != pre["fp_worktree"]))
-    g = j.groupBy("write_id", *FP_ATTRS).agg(F.min("_pos").alias("_tmin"), F.max("_pos").alias("_tmax"))
-    return g.select("write_id", *FP_ATTRS,
-                    (F.col("_tmin") - F.col("vlen") + 3).alias("win_lo"),
+    j = w.join(pre, w["_wt"] == pre["_tri"])
+    g = j.groupBy("_ch", *FP_ATTRS, "_need").agg(
+        F.size(F.collect_set("_tri")).alias("_hits"), F.min("_pos").alias("_tmin"), F.max("_pos").alias("_tmax"))
+    g = g.where(F.col("_hits") >= F.col("_need"))
+    return g.select("_ch", *FP_ATTRS, (F.col("_tmin") - F.col("vlen") + 3).alias("win_lo"),
                     F.col("_tmax").alias("win_hi"))
 
 
 def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pairs that are not exact but have a window with Jaccard >= 0.9."""
-    cand, _ = bounded_broadcast(fuzzy_candidates(writes, fps),
-                                width=F.col("vlen") + F.lit(96))
-    cand = cand.withColumnRenamed("write_id", "_cwid")
-    j = writes.join(cand, writes["write_id"] == cand["_cwid"]).drop("_cwid")
-    j = j.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
-    j = j.where(fuzzy_window_udf("content_bin", "value_bin", "win_lo", "win_hi"))
-    return j.drop("win_lo", "win_hi").withColumn("match_kind", F.lit(K.MATCH_FUZZY))
+    """Pairs that are not exact but have a window with Jaccard >= 0.9.
+
+    Work is per distinct content: candidates, then the window test against
+    the content, then a fan-out to the writes carrying that content, where
+    the other-domain condition (J4) applies."""
+    contents = distinct_contents(writes)
+    cand, _ = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96))
+    cand = cand.withColumnRenamed("_ch", "_cch")
+    v = contents.join(cand, contents["_ch"] == cand["_cch"]).drop("_cch")
+    v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
+    v = v.where(fuzzy_window_udf("content_bin", "value_bin", "win_lo", "win_hi"))
+    v = v.drop("content_bin", "win_lo", "win_hi")
+    hits, _ = bounded_broadcast(v.withColumnRenamed("_ch", "_vch"), width=F.col("vlen") + F.lit(96))
+    w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
+    out = w.join(hits, (w["_ch"] == hits["_vch"]) & (w["target_worktree"] != hits["fp_worktree"]))
+    return out.drop("_ch", "_vch").withColumn("match_kind", F.lit(K.MATCH_FUZZY))
 
 
 def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:

@@ -158,8 +158,16 @@ def fixture_sql(name: str, names: dict) -> str:
     return FIXTURE_SQL[name].format(**names)
 
 
+_PLANS: dict = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(fixture_sql(name, spark_names(sf_dir)))
+    """The relation as a lazy DataFrame; the analysed plan (not data) is reused
+    per session, so parsing and parquet footer reads happen once."""
+    key = (id(spark), sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = spark.sql(fixture_sql(name, spark_names(sf_dir)))
+    return _PLANS[key]
 
 
 def fixtures(spark: SparkSession, sf_dir: str) -> dict:
