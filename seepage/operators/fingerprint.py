@@ -78,6 +78,15 @@ def fingerprints(files: DataFrame, roots: DataFrame,
     return promote_unknown(fps, promote).select(*FP_COLS)
 
 
+def fingerprints_from_tree(files: DataFrame) -> DataFrame:
+    """The inventory from S1 rows (worktree, path, content): the walk already
+    pruned ignored directories and applied the name filter."""
+    sf = content_text(files)
+    sf = sf.where(C.is_secret_file(C.basename(F.col("path"))))
+    sf = sf.withColumn("kind", F.when(C.is_env_file(C.basename(F.col("path"))), F.lit("env")).otherwise(F.lit("blob")))
+    return enrich(env_entries(sf).unionByName(blob_entries(sf))).select(*FP_COLS)
+
+
 def promote_unknown(fps: DataFrame, fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """V1: hand only the 'unknown' slice to ``fn`` (e.g. a model scorer as a
     pandas UDF); without one this is the identity."""
