@@ -5,7 +5,8 @@ Inputs
   fps:    fp_worktree, fp_path, fp_ord, secret_field, classification, value_bin, vlen
 Fingerprint key = (fp_worktree, fp_path, fp_ord); one event per (write, key).
 
-J5 exact, aligned q-gram join. A value of L >= q + k - 1 bytes occurring at
+All matching runs once per distinct content (SHA-256 of the bytes); results
+fan out to the writes. J5 exact, aligned q-gram join. A value of L >= q + k - 1 bytes occurring at
 byte p covers the content q-gram at the next multiple of k, a = p + c with
 c = (-p) mod k, and that gram equals the value's gram at offset c. So content
 emits only every k-th q-gram (n/k rows), a value emits its grams at offsets
@@ -28,6 +29,7 @@ once per distinct content; matches fan out to the writes that carry it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +62,23 @@ def other_domain_candidates(writes: DataFrame, fps: DataFrame) -> DataFrame:
     return writes.join(f, writes["target_worktree"] != f["fp_worktree"])
 
 
-def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
-    """One row per (write, fingerprint key) whose value occurs verbatim."""
+def exact_on_contents(contents: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
+    """J5 core on (_ch, content_bin): one row per (content, fingerprint key)
+    whose value occurs verbatim. Map-only: probe, verify, first occurrence."""
     assert q + k - 1 <= K.MIN_MATCH_LEN
     grams = (fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
                 .select(*FP_ATTRS, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c"))
                 .withColumn("_g", F.substring("value_bin", F.col("_c") + 1, q)))
     grams, _ = bounded_broadcast(grams, width=F.col("vlen") + F.lit(q + 48))
-    w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
+    w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
     w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
     w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
-    j = w.join(grams, (w["_wg"] == grams["_g"]) & (w["target_worktree"] != grams["fp_worktree"]))
+    j = w.join(grams, w["_wg"] == grams["_g"])
     p = F.col("_a") - F.col("_c")
     j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
     j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
     first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
-    j = j.where(first)
-    return j.drop("_n", "_a", "_wg", "_g", "_c", "content_bin").withColumn("match_kind", F.lit(K.MATCH_EXACT))
+    return j.where(first).select("_ch", *FP_ATTRS, F.lit(K.MATCH_EXACT).alias("match_kind"))
 
 
 def prefix_trigrams(fps: DataFrame, hits: int = 2) -> DataFrame:
@@ -119,36 +121,49 @@ def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> Data
                     F.col("_tmax").alias("win_hi"))
 
 
-def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """Pairs that are not exact but have a window with Jaccard >= 0.9.
-
-    Work is per distinct content: candidates, then the window test against
-    the content, then a fan-out to the writes carrying that content, where
-    the other-domain condition (J4) applies."""
-    contents = distinct_contents(writes)
+def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> DataFrame:
+    """J6 core on (_ch, content_bin): not exact, some window Jaccard >= 0.9."""
     cand, _ = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96))
     cand = cand.withColumnRenamed("_ch", "_cch")
     v = contents.join(cand, contents["_ch"] == cand["_cch"]).drop("_cch")
     v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
     v = v.where(fuzzy_window_udf("content_bin", "value_bin", "win_lo", "win_hi"))
-    v = v.drop("content_bin", "win_lo", "win_hi")
-    hits, _ = bounded_broadcast(v.withColumnRenamed("_ch", "_vch"), width=F.col("vlen") + F.lit(96))
-    w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
-    out = w.join(hits, (w["_ch"] == hits["_vch"]) & (w["target_worktree"] != hits["fp_worktree"]))
-    return out.drop("_ch", "_vch").withColumn("match_kind", F.lit(K.MATCH_FUZZY))
+    return v.select("_ch", *FP_ATTRS, F.lit(K.MATCH_FUZZY).alias("match_kind"))
 
 
 def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:
-    """J7 core: exact else fuzzy, one row per (write, key)."""
+    """J7 core: exact else fuzzy, one row per (write, fingerprint key).
+
+    Matching runs once per distinct content (copies collapse map-side before
+    the one content shuffle); the per-content matches, a small relation,
+    then fan out to the writes carrying that content through a size-checked
+    broadcast join where the other-domain condition (J4) applies. The two
+    inputs read by several jobs are persisted (memory + disk; lost blocks are
+    recomputed from lineage)."""
+    fps = fps.persist(StorageLevel.MEMORY_AND_DISK)
+    contents = distinct_contents(writes).persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     if "exact" in kinds:
-        parts.append(exact_matches(writes, fps))
+        parts.append(exact_on_contents(contents, fps))
     if "fuzzy" in kinds:
-        parts.append(fuzzy_matches(writes, fps))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        parts.append(fuzzy_on_contents(contents, fps))
+    m = parts[0]
+    for extra in parts[1:]:
+        m = m.unionByName(extra)
+    hits, _ = bounded_broadcast(m.withColumnRenamed("_ch", "_mch"), width=F.col("vlen") + F.lit(96))
+    w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
+    out = w.join(hits, (w["_ch"] == hits["_mch"]) & (w["target_worktree"] != hits["fp_worktree"]))
+    return out.drop("_ch", "_mch")
+
+
+def exact_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
+    """J5 on writes."""
+    return leak_matches(writes, fps, ("exact",))
+
+
+def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
+    """J6 on writes."""
+    return leak_matches(writes, fps, ("fuzzy",))
 
 
 def event_columns(m: DataFrame) -> DataFrame:
