@@ -54,9 +54,9 @@ def inventory_by_root(fps: DataFrame, roots: DataFrame, actors: DataFrame) -> Da
 
 def inventory_totals(fps: DataFrame, roots: DataFrame) -> DataFrame:
     """A2: n_worktrees, n_fingerprints (one row)."""
-    nw = roots.select(F.count(F.lit(1)).cast("bigint").alias("n_worktrees"), F.lit(1).alias("_k"))
-    nf = fps.select(F.count(F.lit(1)).cast("bigint").alias("n_fingerprints"), F.lit(1).alias("_k"))
-    return nw.join(nf, "_k").drop("_k")
+    tagged = roots.select(F.lit(0).alias("_t")).unionByName(fps.select(F.lit(1).alias("_t")))
+    return tagged.agg(F.count_if(F.col("_t") == 0).cast("bigint").alias("n_worktrees"),
+                      F.count_if(F.col("_t") == 1).cast("bigint").alias("n_fingerprints"))
 
 
 def inventory_order(fps: DataFrame) -> list:
