@@ -41,7 +41,8 @@ def root_closure(roots: DataFrame) -> DataFrame:
     pairs = child.join(r, child["_anc"] == r["root"]).select("root", "child")
     nested = pairs.groupBy("root").agg(F.collect_list("child").alias("nested"))
     return (r.join(nested, "root", "left")
-             .select("root", F.coalesce("nested", F.array().cast("array<string>")).alias("nested")))
+             .select("root", F.coalesce("nested", F.array().cast("array<string>")).alias("nested"),
+                     C.basename(F.col("root")).alias("root_base")))
 
 
 def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner") -> DataFrame:
@@ -58,7 +59,7 @@ def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner
     p = F.col(path_col)
     deeper = F.exists("nested", lambda s: (p == s) | p.startswith(F.concat(s, F.lit("/"))))
     x = x.where(~deeper).drop("_anc", "nested")
-    return x.withColumnRenamed("root", out)
+    return x.withColumnRenamed("root", out).withColumnRenamed("root_base", out + "_base")
 
 
 def files_in_roots(files: DataFrame, roots: DataFrame, path_col: str = "path",
@@ -69,12 +70,13 @@ def files_in_roots(files: DataFrame, roots: DataFrame, path_col: str = "path",
     return x.join(r, x["_anc"] == r["root"]).drop("_anc").withColumnRenamed("root", out)
 
 
-def in_ignored_dir(root: Column, path: Column) -> Column:
-    """basename(root) or a directory of the path below root is ignored."""
+def in_ignored_dir(root: Column, path: Column, root_base: Column | None = None) -> Column:
+    """basename(root) or a directory of the path below root is ignored.
+    ``root_base`` may carry the precomputed basename (from the root closure)."""
     rel_s = path.substr(F.length(root) + 2, F.length(path))
     parts = F.split(rel_s, "/")
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    checked = F.concat(F.array(C.basename(root)), dirs)
+    checked = F.concat(F.array(C.basename(root) if root_base is None else root_base), dirs)
     return F.arrays_overlap(checked, F.array(*[F.lit(d) for d in K.IGNORED_DIRS]))
 
 
@@ -82,8 +84,9 @@ def actor_per_root(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """Worktree, agent_pid: the first process (listing order) whose cwd's
     longest containing root is the worktree; 0 when none."""
     p = procs.where(F.col("cwd").isNotNull() & (F.col("cwd") != ""))
-    owned = owner_root(p.select("pid", "ord", "cwd"), "cwd", roots, "worktree")
-    first = owned.groupBy("worktree").agg(F.min_by("pid", "ord").alias("agent_pid"))
+    owned = owner_root(p.select("pid", "ord", "cwd"), "cwd", roots, "worktree").drop("worktree_base")
+    # one row per root at most: the roots passed the closure's size check
+    first = F.broadcast(owned.groupBy("worktree").agg(F.min_by("pid", "ord").alias("agent_pid")))
     r = root_paths(roots).withColumnRenamed("root", "worktree")
     return (r.join(first, "worktree", "left")
              .select("worktree", F.coalesce("agent_pid", F.lit(0)).cast("bigint").alias("agent_pid")))

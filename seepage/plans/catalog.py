@@ -183,7 +183,7 @@ def write_owner(spark, sf):
 def write_routing(spark, sf):
     """F5/J2/F1 accounting: every write lands in exactly one route."""
     w = fx(spark, sf, "writes_fx").select("write_id", "path", F.coalesce("content", F.lit("")).alias("content"))
-    owned = owner_root(w, "path", fx(spark, sf, "worktrees_fx"), "root")
+    owned = owner_root(w, "path", fx(spark, sf, "worktrees_fx"), "root").drop("root_base")
     unowned = w.join(owned.select("write_id"), "write_id", "left_anti").withColumn("root", F.lit(None).cast("string"))
     a = owned.unionByName(unowned)
     route = (F.when(F.col("root").isNull(), F.lit("unowned"))

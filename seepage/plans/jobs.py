@@ -29,7 +29,8 @@ def owned_writes(writes: DataFrame, roots: DataFrame, actors: DataFrame | None =
                       F.coalesce(F.col("content").cast("binary"), F.lit(b"").cast("binary")).alias("content_bin"))
     w = w.where(F.octet_length("content_bin") > 0)
     w = owner_root(w, "target_path", roots, "target_worktree")
-    w = w.where(~in_ignored_dir(F.col("target_worktree"), F.col("target_path")))
+    w = w.where(~in_ignored_dir(F.col("target_worktree"), F.col("target_path"), F.col("target_worktree_base")))
+    w = w.drop("target_worktree_base")
     if actors is not None:
         w = with_target_pid(w, actors)
     return w
