@@ -11,6 +11,9 @@ MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
 
+_CHECKED: dict = {}
+
+
 def bounded_broadcast(df: DataFrame, width: Column | None = None,
                       max_rows: int = MAX_BROADCAST_ROWS,
                       max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
@@ -22,10 +25,15 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
     row count is checked with a LIMIT so a huge side stops early.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    probe = df.limit(max_rows + 1)
-    w = width if width is not None else F.lit(64)
-    row = probe.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
-    if row["n"] <= max_rows and row["b"] <= max_bytes:
+    # The measured size is kept per analysed plan for this session (the same
+    # identity Spark's cache manager uses to reuse the persisted data).
+    key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
+    if key not in _CHECKED:
+        probe = df.limit(max_rows + 1)
+        w = width if width is not None else F.lit(64)
+        row = probe.agg(F.count(F.lit(1)).alias("n"),
+                        F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
+        _CHECKED[key] = row["n"] <= max_rows and row["b"] <= max_bytes
+    if _CHECKED[key]:
         return F.broadcast(df), True
     return df, False

@@ -1,0 +1,19 @@
+"""Input spreading: use all task slots even when the input is a few files.
+
+A large scan already has thousands of splits and is left alone (no shuffle
+added); a scan with fewer partitions than the session's parallelism (a small
+table in one file and one row group) is spread round-robin, so per-row work
+(n-gram explode, hashing, regex) does not run in a single task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

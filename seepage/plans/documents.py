@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seepage.operators.fingerprint import enrich
 from seepage.operators.match import leak_matches
+from seepage.operators.partitioning import spread
 from seepage.plans.tables import table
 
 # fixed value: the assignment pattern (same text for Java regex and RE2)
@@ -46,7 +47,7 @@ def doc_writes(docs: DataFrame) -> DataFrame:
 
 
 def doc_leaks(spark: SparkSession, sf_dir: str, kinds=("exact",)) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     m = leak_matches(doc_writes(docs), doc_match_side(doc_fingerprints(docs)), kinds)
     return m.select(F.col("write_id").alias("doc_id"), F.col("target_worktree").alias("source"),
                     F.col("fp_path").cast("bigint").alias("source_doc_id"),

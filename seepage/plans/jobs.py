@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seepage.operators.fingerprint import as_match_side, fingerprints
 from seepage.operators.match import event_columns, leak_matches
+from seepage.operators.partitioning import spread
 from seepage.operators.roots import actor_per_root, in_ignored_dir, owner_root, with_target_pid
 from seepage.plans.fixtures import fixture
 
@@ -25,7 +26,7 @@ def owned_writes(writes: DataFrame, roots: DataFrame, actors: DataFrame | None =
 
     write_id, ts, target_path, target_worktree, content_bin[, target_agent_pid]
     """
-    w = writes.select("write_id", "ts", F.col("path").alias("target_path"),
+    w = spread(writes).select("write_id", "ts", F.col("path").alias("target_path"),
                       F.coalesce(F.col("content").cast("binary"), F.lit(b"").cast("binary")).alias("content_bin"))
     w = w.where(F.octet_length("content_bin") > 0)
     w = owner_root(w, "target_path", roots, "target_worktree")

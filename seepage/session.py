@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,14 +55,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), f"{name}-{os.getpid()}-{next(_SEQ)}")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def _counter():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_SEQ = _counter()
