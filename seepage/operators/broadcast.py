@@ -6,34 +6,66 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seepage.session import checkpoint_dir
+
 # Defaults: a broadcast side must hold at most this many rows AND bytes.
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
-
 _CHECKED: dict = {}
+_HELD: list = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist (memory+disk) a relation read by several jobs; see release()."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(df)
+    return df
+
+
+class scoped:
+    """Within the block, persisted inputs and measured sizes are released on
+    exit (one streaming micro-batch must not pin memory for the next)."""
+
+    def __enter__(self):
+        self._keys, self._held = set(_CHECKED), len(_HELD)
+        return self
+
+    def __exit__(self, *exc):
+        for k in [k for k in _CHECKED if k not in self._keys]:
+            side, small = _CHECKED.pop(k)
+            if not small:
+                side.unpersist()
+        while len(_HELD) > self._held:
+            _HELD.pop().unpersist()
+        return False
 
 
 def bounded_broadcast(df: DataFrame, width: Column | None = None,
                       max_rows: int = MAX_BROADCAST_ROWS,
                       max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """Return (broadcast(df), True) if df is proven small, else (df, False).
+    """Return (broadcast(side), True) if df is proven small, else (df, False).
 
-    The side is persisted first (memory+disk, recomputed from lineage if an
-    executor is lost) so the size check and the join read it once. ``width``
-    is a per-row byte estimate (e.g. octet_length of the widest column); the
-    row count is checked with a LIMIT so a huge side stops early.
+    The size is measured with a distributed aggregation (partial counts per
+    task, no single-task gather). ``width`` is a per-row byte estimate (e.g.
+    octet_length of the widest column). A proven-small side is checkpointed to
+    the shared checkpoint folder: reliable if an executor is lost, lineage cut
+    so later plans carry one leaf. A large side stays persisted (memory+disk)
+    for the shuffle join that takes its place. Results are kept per analysed
+    plan for the session (the identity Spark's cache manager also uses).
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    # The measured size is kept per analysed plan for this session (the same
-    # identity Spark's cache manager uses to reuse the persisted data).
     key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
-    if key not in _CHECKED:
-        probe = df.limit(max_rows + 1)
-        w = width if width is not None else F.lit(64)
-        row = probe.agg(F.count(F.lit(1)).alias("n"),
-                        F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
-        _CHECKED[key] = row["n"] <= max_rows and row["b"] <= max_bytes
-    if _CHECKED[key]:
-        return F.broadcast(df), True
-    return df, False
+    if key in _CHECKED:
+        return _CHECKED[key]
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    w = width if width is not None else F.lit(64)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
+    if row["n"] <= max_rows and row["b"] <= max_bytes:
+        checkpoint_dir(df.sparkSession)
+        small = df.checkpoint(eager=True)
+        df.unpersist()
+        res = (F.broadcast(small), True)
+    else:
+        res = (df, False)
+    _CHECKED[key] = res
+    return res

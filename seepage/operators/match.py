@@ -29,14 +29,13 @@ once per distinct content; matches fan out to the writes that carry it.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.functions.similarity import fuzzy_window_udf
-from seepage.operators.broadcast import bounded_broadcast
+from seepage.operators.broadcast import bounded_broadcast, hold
 
 FP_KEY = ["fp_worktree", "fp_path", "fp_ord"]
 FP_ATTRS = FP_KEY + ["secret_field", "classification", "value_bin", "vlen"]
@@ -140,8 +139,8 @@ def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) ->
     broadcast join where the other-domain condition (J4) applies. The two
     inputs read by several jobs are persisted (memory + disk; lost blocks are
     recomputed from lineage)."""
-    fps = fps.persist(StorageLevel.MEMORY_AND_DISK)
-    contents = distinct_contents(writes).persist(StorageLevel.MEMORY_AND_DISK)
+    fps = hold(fps)
+    contents = hold(distinct_contents(writes))
     parts = []
     if "exact" in kinds:
         parts.append(exact_on_contents(contents, fps))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
 
+from seepage.operators.broadcast import scoped
 from seepage.operators.fingerprint import as_match_side
 from seepage.operators.match import event_columns, leak_matches
 from seepage.plans import jobs
@@ -44,9 +45,10 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
 def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFrame, trail_dir: str):
     """foreachBatch body: J7 on the micro-batch, events to trail/batch_id=N."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        owned = jobs.owned_writes(batch, roots, actors)
-        ev = event_columns(leak_matches(owned, fps_snapshot))
-        append_leak_events(ev, f"{trail_dir}/batch_id={batch_id}", mode="overwrite")
+        with scoped():
+            owned = jobs.owned_writes(batch, roots, actors)
+            ev = event_columns(leak_matches(owned, fps_snapshot))
+            append_leak_events(ev, f"{trail_dir}/batch_id={batch_id}", mode="overwrite")
     return run
 
 
