@@ -52,3 +52,21 @@ def test_other_domains(spark):
     f = fps_df(spark, [("wt-a", "A", "aaaaaaaaaa"), ("wt-a", "B", "bbbbbbbbbb"), ("wt-b", "C", "cccccccccc")])
     w = writes_df(spark, [(1, "x", "wt-b", "/p", 0)])
     assert other_domain_candidates(w, f).count() == 2
+
+
+def test_promote_unknown_hook_and_api(spark):
+    from seepage import api
+    files = spark.createDataFrame([("/r/a/.env", "PLAIN=opaque-token-with-no-field-signal\nDB_TOKEN=abcdefghijkl\n")],
+                                  "path string, content string")
+    roots = spark.createDataFrame([("/r/a",), ("/r/b",)], "path string")
+    s = api.scan(files, roots)
+    assert {(r.field, r.classification) for r in s["fingerprints"].collect()} == {
+        ("PLAIN", "unknown"), ("DB_TOKEN", "secret")}
+    promoted = fingerprints(files, spark.createDataFrame([("/r/a",)], "path string"),
+                            promote=lambda df: df.withColumn("classification", F.lit("secret")))
+    assert {r.classification for r in promoted.collect()} == {"secret"}
+    writes = spark.createDataFrame([(1, None, "/r/b/x.txt", "use abcdefghijkl here")],
+                                   "write_id long, ts timestamp_ntz, path string, content string")
+    ev = api.leaks(writes, files, roots).collect()
+    assert [(e.source_worktree, e.target_worktree, e.match_kind) for e in ev] == [("/r/a", "/r/b", "exact")]
+    assert s["totals"].first().n_fingerprints == 2
