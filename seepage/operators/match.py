@@ -5,8 +5,7 @@ Inputs
   fps:    fp_worktree, fp_path, fp_ord, secret_field, classification, value_bin, vlen
 Fingerprint key = (fp_worktree, fp_path, fp_ord); one event per (write, key).
 
-All matching runs once per distinct content (SHA-256 of the bytes); results
-fan out to the writes. J5 exact, aligned q-gram join. A value of L >= q + k - 1 bytes occurring at
+J5 exact, aligned q-gram join (per write, map-only). A value of L >= q + k - 1 bytes occurring at
 byte p covers the content q-gram at the next multiple of k, a = p + c with
 c = (-p) mod k, and that gram equals the value's gram at offset c. So content
 emits only every k-th q-gram (n/k rows), a value emits its grams at offsets
@@ -24,7 +23,7 @@ distinct hits (>= h) yields candidates with positions; a window holding the
 trigram at t starts in [t - L + 3, t]. Candidates are reduced to
 (min t, max t) (partial aggregation, thin rows), brought back to the
 content, and tested window by window, exact pairs excluded. All of this runs
-once per distinct content; matches fan out to the writes that carry it.
+once per distinct content (SHA-256); matches fan out to the writes carrying it.
 """
 
 from __future__ import annotations
@@ -61,23 +60,25 @@ def other_domain_candidates(writes: DataFrame, fps: DataFrame) -> DataFrame:
     return writes.join(f, writes["target_worktree"] != f["fp_worktree"])
 
 
-def exact_on_contents(contents: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
-    """J5 core on (_ch, content_bin): one row per (content, fingerprint key)
-    whose value occurs verbatim. Map-only: probe, verify, first occurrence."""
+def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
+    """J5 on writes, map-only: probe the broadcast grams, verify the bytes at
+    the implied offset, keep the first occurrence; the other-domain rule (J4)
+    is a join residual. One row per (write, fingerprint key)."""
     assert q + k - 1 <= K.MIN_MATCH_LEN
     grams = (fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
                 .select(*FP_ATTRS, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c"))
                 .withColumn("_g", F.substring("value_bin", F.col("_c") + 1, q)))
     grams, _ = bounded_broadcast(grams, width=F.col("vlen") + F.lit(q + 48))
-    w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
+    w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
     w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
     w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
-    j = w.join(grams, w["_wg"] == grams["_g"])
+    j = w.join(grams, (w["_wg"] == grams["_g"]) & (w["target_worktree"] != grams["fp_worktree"]))
     p = F.col("_a") - F.col("_c")
     j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
     j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
     first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
-    return j.where(first).select("_ch", *FP_ATTRS, F.lit(K.MATCH_EXACT).alias("match_kind"))
+    return (j.where(first).drop("_n", "_a", "_wg", "_g", "_c", "content_bin")
+             .withColumn("match_kind", F.lit(K.MATCH_EXACT)))
 
 
 def prefix_trigrams(fps: DataFrame, hits: int = 2) -> DataFrame:
@@ -130,39 +131,34 @@ def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> DataFrame:
     return v.select("_ch", *FP_ATTRS, F.lit(K.MATCH_FUZZY).alias("match_kind"))
 
 
-def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:
-    """J7 core: exact else fuzzy, one row per (write, fingerprint key).
-
-    Matching runs once per distinct content (copies collapse map-side before
-    the one content shuffle); the per-content matches, a small relation,
-    then fan out to the writes carrying that content through a size-checked
-    broadcast join where the other-domain condition (J4) applies. The two
-    inputs read by several jobs are persisted (memory + disk; lost blocks are
-    recomputed from lineage)."""
-    fps = hold(fps)
+def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
+    """J6 on writes: run once per distinct content (copies collapse map-side
+    before the one content shuffle, so copies cannot multiply candidates or
+    make a hot reducer), then fan the per-content matches, a small relation,
+    out to the writes through a size-checked broadcast join where the
+    other-domain rule (J4) applies."""
     contents = hold(distinct_contents(writes))
-    parts = []
-    if "exact" in kinds:
-        parts.append(exact_on_contents(contents, fps))
-    if "fuzzy" in kinds:
-        parts.append(fuzzy_on_contents(contents, fps))
-    m = parts[0]
-    for extra in parts[1:]:
-        m = m.unionByName(extra)
+    m = fuzzy_on_contents(contents, fps)
     hits, _ = bounded_broadcast(m.withColumnRenamed("_ch", "_mch"), width=F.col("vlen") + F.lit(96))
     w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
     out = w.join(hits, (w["_ch"] == hits["_mch"]) & (w["target_worktree"] != hits["fp_worktree"]))
     return out.drop("_ch", "_mch")
 
 
-def exact_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """J5 on writes."""
-    return leak_matches(writes, fps, ("exact",))
-
-
-def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """J6 on writes."""
-    return leak_matches(writes, fps, ("fuzzy",))
+def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:
+    """J7 core: exact else fuzzy (fuzzy pairs exclude exact ones), one row per
+    (write, fingerprint key). The fingerprints feed both probe tables and are
+    held once (memory + disk; lost blocks are recomputed from lineage)."""
+    fps = hold(fps)
+    parts = []
+    if "exact" in kinds:
+        parts.append(exact_matches(writes, fps))
+    if "fuzzy" in kinds:
+        parts.append(fuzzy_matches(writes, fps))
+    out = parts[0]
+    for extra in parts[1:]:
+        out = out.unionByName(extra)
+    return out
 
 
 def event_columns(m: DataFrame) -> DataFrame:

@@ -65,7 +65,8 @@ def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner
 def files_in_roots(files: DataFrame, roots: DataFrame, path_col: str = "path",
                    out: str = "worktree") -> DataFrame:
     """One row per (containing root, file); nested roots each get the file."""
-    r, _ = bounded_broadcast(root_paths(roots))
+    clo, _ = bounded_broadcast(root_closure(roots))  # the same measured side as J2
+    r = clo.select("root")
     x = explode_prefixes(files, path_col, "_anc")
     return x.join(r, x["_anc"] == r["root"]).drop("_anc").withColumnRenamed("root", out)
 
@@ -93,10 +94,14 @@ def actor_per_root(procs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def with_target_pid(df: DataFrame, actors: DataFrame, root_col: str = "target_worktree",
-                    out: str = "target_agent_pid") -> DataFrame:
-    """Look up the root's actor pid (0 when unknown)."""
-    a, _ = bounded_broadcast(actors.select(F.col("worktree").alias("_wt"),
-                                           F.col("agent_pid").alias("_pid")))
+                    out: str = "target_agent_pid", measured: bool = False) -> DataFrame:
+    """Look up the root's actor pid (0 when unknown).
+
+    ``actors`` from actor_per_root holds one row per root, and the roots
+    passed the closure's size check, so its bound is proven by construction;
+    pass measured=True for an actor table from elsewhere."""
+    a = actors.select(F.col("worktree").alias("_wt"), F.col("agent_pid").alias("_pid"))
+    a = bounded_broadcast(a)[0] if measured else F.broadcast(a)
     return (df.join(a, df[root_col] == a["_wt"], "left")
               .withColumn(out, F.coalesce("_pid", F.lit(0)).cast("bigint"))
               .drop("_wt", "_pid"))
