@@ -373,6 +373,13 @@ def doc_fuzzy_leaks(spark, sf):
     return doc_leaks(spark, sf, ("fuzzy",))
 
 
+@register("doc_leak_events", W(_DOC_MATCH, "SELECT * FROM (" + _DOC_COLS.format(src="m_exact", kind="exact") +
+          " UNION ALL " + _DOC_COLS.format(src="m_fuzzy", kind="fuzzy") + ")"))
+def doc_leak_events(spark, sf):
+    """J7 on the documents table: exact else fuzzy, one row per (doc, fingerprint)."""
+    return doc_leaks(spark, sf, ("exact", "fuzzy"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
