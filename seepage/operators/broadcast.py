@@ -43,7 +43,8 @@ class scoped:
 
 def bounded_broadcast(df: DataFrame, width: Column | None = None,
                       max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+                      max_bytes: int = MAX_BROADCAST_BYTES,
+                      sensitive: bool = False) -> tuple[DataFrame, bool]:
     """Return (broadcast(side), True) if df is proven small, else (df, False).
 
     The size is measured with a distributed aggregation (partial counts per
@@ -51,8 +52,10 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
     octet_length of the widest column). A proven-small side is checkpointed to
     the shared checkpoint folder: reliable if an executor is lost, lineage cut
     so later plans carry one leaf. A large side stays persisted (memory+disk)
-    for the shuffle join that takes its place. Results are kept per analysed
-    plan for the session (the identity Spark's cache manager also uses).
+    for the shuffle join that takes its place. A ``sensitive`` side (one that
+    carries raw values) is never written to the shared folder: it stays
+    persisted (memory + local disk) instead of checkpointed. Results are kept
+    per analysed plan for the session (the identity Spark's cache manager uses).
     """
     key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
     if key in _CHECKED:
@@ -60,7 +63,9 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = width if width is not None else F.lit(64)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
-    if row["n"] <= max_rows and row["b"] <= max_bytes:
+    if row["n"] <= max_rows and row["b"] <= max_bytes and sensitive:
+        res = (F.broadcast(df), True)
+    elif row["n"] <= max_rows and row["b"] <= max_bytes:
         checkpoint_dir(df.sparkSession)
         small = df.checkpoint(eager=True)
         df.unpersist()

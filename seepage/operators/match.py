@@ -68,7 +68,7 @@ def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) ->
     grams = (fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
                 .select(*FP_ATTRS, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c"))
                 .withColumn("_g", F.substring("value_bin", F.col("_c") + 1, q)))
-    grams, _ = bounded_broadcast(grams, width=F.col("vlen") + F.lit(q + 48))
+    grams, _ = bounded_broadcast(grams, width=F.col("vlen") + F.lit(q + 48), sensitive=True)
     w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
     w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
     w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
@@ -77,7 +77,7 @@ def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) ->
     j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
     j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
     first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
-    return (j.where(first).drop("_n", "_a", "_wg", "_g", "_c", "content_bin")
+    return (j.where(first).drop("_n", "_a", "_wg", "_g", "_c", "content_bin", "value_bin")
              .withColumn("match_kind", F.lit(K.MATCH_EXACT)))
 
 
@@ -109,7 +109,7 @@ def distinct_contents(writes: DataFrame) -> DataFrame:
 def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> DataFrame:
     """(_ch, fingerprint attrs, win_lo, win_hi) for contents holding at least
     ``_need`` distinct prefix trigrams of the value (necessary, not sufficient)."""
-    pre, _ = bounded_broadcast(prefix_trigrams(fps, hits), width=F.col("vlen") + F.lit(64))
+    pre, _ = bounded_broadcast(prefix_trigrams(fps, hits), width=F.col("vlen") + F.lit(64), sensitive=True)
     w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3)
     w = _positions(w, F.col("_n"), F.col("_n") - 3, 1, "_pos")
     w = w.withColumn("_wt", F.substring("content_bin", F.col("_pos") + 1, 3)).drop("content_bin")
@@ -123,7 +123,7 @@ def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> Data
 
 def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> DataFrame:
     """J6 core on (_ch, content_bin): not exact, some window Jaccard >= 0.9."""
-    cand, _ = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96))
+    cand, _ = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96), sensitive=True)
     cand = cand.withColumnRenamed("_ch", "_cch")
     v = contents.join(cand, contents["_ch"] == cand["_cch"]).drop("_cch")
     v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
@@ -138,8 +138,8 @@ def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
     out to the writes through a size-checked broadcast join where the
     other-domain rule (J4) applies."""
     contents = hold(distinct_contents(writes))
-    m = fuzzy_on_contents(contents, fps)
-    hits, _ = bounded_broadcast(m.withColumnRenamed("_ch", "_mch"), width=F.col("vlen") + F.lit(96))
+    m = fuzzy_on_contents(contents, fps).drop("value_bin")  # verified: the value is no longer needed
+    hits, _ = bounded_broadcast(m.withColumnRenamed("_ch", "_mch"), width=F.lit(128))
     w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
     out = w.join(hits, (w["_ch"] == hits["_mch"]) & (w["target_worktree"] != hits["fp_worktree"]))
     return out.drop("_ch", "_mch")

@@ -22,8 +22,14 @@ SCALE_CONF = {
 
 def get_session(master: str | None = None, app: str = "seepage",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None) -> SparkSession:
+                extra: dict | None = None, secure_io: bool = False) -> SparkSession:
+    """secure_io=True encrypts shuffle and spill files (spark.io.encryption.enabled).
+    Raw values and write contents pass through them; deployments handling real
+    secrets should set it (or the same key in the cluster's defaults). Value
+    columns are never checkpointed or written by this library."""
     b = SparkSession.builder.appName(app)
+    if secure_io:
+        b = b.config("spark.io.encryption.enabled", "true")
     if master:
         b = b.master(master)
     for k, v in SCALE_CONF.items():

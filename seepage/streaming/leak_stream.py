@@ -9,6 +9,7 @@ Offsets live in the checkpoint location (shared folder).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
@@ -36,10 +37,13 @@ def write_stream(spark: SparkSession, log_dir: str, schema: StructType = WRITE_L
     return r.parquet(log_dir).where(F.col("kind").isin("write", "create"))
 
 
-def snapshot(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a relation once (the fingerprint index is fixed at start)."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def snapshot(df: DataFrame) -> DataFrame:
+    """Materialise the fingerprint index once at start. It carries raw values,
+    so it is held in executor memory (spilling to local disk), never written
+    to shared storage; blocks lost with an executor are recomputed."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
 
 
 def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFrame, trail_dir: str):
@@ -54,7 +58,7 @@ def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFra
 
 def run_leak_stream(spark: SparkSession, log_dir: str, fps: DataFrame, roots: DataFrame,
                     actors: DataFrame, trail_dir: str, checkpoint: str, available_now: bool = True):
-    fps_snap = snapshot(as_match_side(fps), scratch_path(spark, "fp-snapshot"))
+    fps_snap = snapshot(as_match_side(fps))
     q = (write_stream(spark, log_dir, max_files_per_trigger=1).writeStream
          .foreachBatch(leak_batch_writer(fps_snap, roots, actors, trail_dir))
          .option("checkpointLocation", checkpoint))

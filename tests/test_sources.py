@@ -35,9 +35,9 @@ def test_porcelain_unterminated_and_bare(spark):
 def test_trail_round_trip_and_missing(spark):
     d = tempfile.mkdtemp(prefix="seepage-trail-")
     rows = [("2026-08-06 01:00:00", "/r/wt-a", 0, "/r/wt-a/.env", "DB_TOKEN", "/r/wt-b", 0,
-             "/r/wt-b/src/config.go", "exact", "secret"),
+             "/r/wt-b/src/config.txt", "exact", "secret"),
             ("2026-08-06 01:01:00.5", "/r/wt-a", 0, "/r/wt-a/.env", "DB_TOKEN", "/r/wt-b", 7,
-             "/r/wt-b/x.go", "fuzzy", "secret")]
+             "/r/wt-b/x.txt", "fuzzy", "secret")]
     ev = spark.createDataFrame(rows, ", ".join(f"{k} {'long' if 'pid' in k else 'string'}" for k in EVENT_KEYS))
     ev = ev.withColumn("timestamp", F.to_timestamp("timestamp"))
     append_leak_events(ev, os.path.join(d, "trail"))
