@@ -181,15 +181,20 @@ def write_owner(spark, sf):
           " THEN 'ignored_dir' WHEN strlen(content) = 0 THEN 'empty' ELSE 'matched' END AS route, count(*) AS n "
           "FROM wo GROUP BY 1"))
 def write_routing(spark, sf):
-    """F5/J2/F1 accounting: every write lands in exactly one route."""
+    """F5/J2/F1 accounting: every write lands in exactly one route. Owned
+    writes are routed map-side; 'unowned' = all writes minus owned ones, from
+    partial counts only (no join, no shuffle of write rows)."""
     w = fx(spark, sf, "writes_fx").select("write_id", "path", F.coalesce("content", F.lit("")).alias("content"))
-    owned = owner_root(w, "path", fx(spark, sf, "worktrees_fx"), "root").drop("root_base")
-    unowned = w.join(owned.select("write_id"), "write_id", "left_anti").withColumn("root", F.lit(None).cast("string"))
-    a = owned.unionByName(unowned)
-    route = (F.when(F.col("root").isNull(), F.lit("unowned"))
-              .when(in_ignored_dir(F.col("root"), F.col("path")), F.lit("ignored_dir"))
+    owned = owner_root(w, "path", fx(spark, sf, "worktrees_fx"), "root")
+    route = (F.when(in_ignored_dir(F.col("root"), F.col("path"), F.col("root_base")), F.lit("ignored_dir"))
               .when(F.octet_length("content") == 0, F.lit("empty")).otherwise(F.lit("matched")))
-    return a.groupBy(route.alias("route")).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    tagged = owned.select(route.alias("route")).unionByName(w.select(F.lit("__all").alias("route")))
+    c = tagged.groupBy("route").agg(F.count(F.lit(1)).cast("bigint").alias("n"))  # at most 4 rows
+    total = F.sum(F.when(F.col("route") == "__all", F.col("n"))).over(Window.partitionBy())
+    owned_n = F.sum(F.when(F.col("route") != "__all", F.col("n"))).over(Window.partitionBy())
+    c = c.withColumn("_unowned", total - owned_n)
+    unowned = c.where(F.col("route") == "__all").select(F.lit("unowned").alias("route"), F.col("_unowned").alias("n"))
+    return c.where(F.col("route") != "__all").select("route", "n").unionByName(unowned).where(F.col("n") > 0)
 
 
 @register("other_domain_counts", W(O.ctes_fps() + O.ctes_actors() + O.ctes_writes(),
