@@ -53,11 +53,22 @@ def _positions(df: DataFrame, n: F.Column, last: F.Column, step: int, out: str)
     return x.drop("_blk")
 
 
-def other_domain_candidates(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """J4 + F4 as a relation: (write, fingerprint) pairs a matcher may test.
-    Only for counting on small inputs; the matchers never build it."""
-    f = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
-    return writes.join(f, writes["target_worktree"] != f["fp_worktree"])
+def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
+    """J4 + F4 as counts: for each receiving root, the fingerprints it is
+    matched against = all values of >= 8 bytes minus its own. Built from
+    per-root counts (partial aggregation); no pair relation is formed.
+
+    targets: target_worktree (one row per receiving root or per write)."""
+    long = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
+    per = long.groupBy(F.col("fp_worktree").alias("wt")).agg(F.count(F.lit(1)).alias("c"))
+    t = targets.select(F.col("target_worktree").alias("wt")).distinct()
+    u = (per.withColumn("is_t", F.lit(0))
+            .unionByName(t.withColumn("c", F.lit(0).cast("bigint")).withColumn("is_t", F.lit(1))))
+    # window over at most (#roots with values + #receiving roots) rows
+    u = u.withColumn("total", F.sum("c").over(Window.partitionBy()))
+    g = u.groupBy("wt").agg(F.max("is_t").alias("is_t"), F.sum("c").alias("own"), F.max("total").alias("total"))
+    return g.where(F.col("is_t") == 1).select(F.col("wt").alias("target_worktree"),
+                                             (F.col("total") - F.col("own")).cast("bigint").alias("n_candidates"))
 
 
 def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:

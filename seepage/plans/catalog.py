@@ -12,7 +12,7 @@ from seepage.functions import constants as K
 from seepage.operators import rollups as R
 from seepage.operators.fingerprint import (as_match_side, blob_entries, content_text, enrich,
                                            env_entries, promote_unknown, secret_files)
-from seepage.operators.match import event_columns, leak_matches
+from seepage.operators.match import event_columns, leak_matches, other_domain_counts
 from seepage.operators.roots import files_in_roots, in_ignored_dir, owner_root
 from seepage.plans import jobs
 from seepage.plans import oracle as O
@@ -201,19 +201,11 @@ def write_routing(spark, sf):
           f"SELECT t.target_worktree, CAST(count(f.worktree) AS BIGINT) AS n_candidates FROM "
           f"(SELECT DISTINCT target_worktree FROM ow) t LEFT JOIN fps f ON f.worktree <> t.target_worktree "
           f"AND f.vlen >= {K.MIN_MATCH_LEN} GROUP BY t.target_worktree"))
-def other_domain_counts(spark, sf):
-    """J4 + F4: fingerprints each receiving root is matched against = all long
-    values minus its own; computed from per-root counts, no pair relation."""
-    fps = jobs.fx_fingerprints(spark, sf).where(F.col("vlen") >= K.MIN_MATCH_LEN)
-    per = fps.groupBy(F.col("worktree").alias("wt")).agg(F.count(F.lit(1)).alias("c"))
-    targets = jobs.fx_owned_writes(spark, sf, with_pid=False).select(F.col("target_worktree").alias("wt")).distinct()
-    u = (per.withColumn("is_t", F.lit(0))
-            .unionByName(targets.withColumn("c", F.lit(0).cast("bigint")).withColumn("is_t", F.lit(1))))
-    # window over at most 2 x #roots rows
-    u = u.withColumn("total", F.sum("c").over(Window.partitionBy()))
-    g = u.groupBy("wt").agg(F.max("is_t").alias("is_t"), F.sum("c").alias("own"), F.max("total").alias("total"))
-    return g.where(F.col("is_t") == 1).select(F.col("wt").alias("target_worktree"),
-                                             (F.col("total") - F.col("own")).cast("bigint").alias("n_candidates"))
+def q_other_domain_counts(spark, sf):
+    """J4 + F4: fingerprints each receiving root is matched against."""
+    fps = as_match_side(jobs.fx_fingerprints(spark, sf))
+    targets = jobs.fx_owned_writes(spark, sf, with_pid=False)
+    return other_domain_counts(targets, fps)
 
 
 # --- P12, P13 ---------------------------------------------------------------------------

@@ -47,11 +47,13 @@ def test_longest_prefix_owner_and_actor(spark):
 
 
 def test_other_domains(spark):
-    from seepage.operators.match import other_domain_candidates
+    from seepage.operators.match import other_domain_counts
     from tests.helpers import fps_df, writes_df
-    f = fps_df(spark, [("wt-a", "A", "aaaaaaaaaa"), ("wt-a", "B", "bbbbbbbbbb"), ("wt-b", "C", "cccccccccc")])
-    w = writes_df(spark, [(1, "x", "wt-b", "/p", 0)])
-    assert other_domain_candidates(w, f).count() == 2
+    f = fps_df(spark, [("wt-a", "A", "aaaaaaaaaa"), ("wt-a", "B", "bbbbbbbbbb"), ("wt-b", "C", "cccccccccc"),
+                       ("wt-c", "D", "short")])
+    w = writes_df(spark, [(1, "x", "wt-b", "/p", 0), (2, "y", "wt-z", "/q", 0)])
+    got = {r.target_worktree: r.n_candidates for r in other_domain_counts(w, f).collect()}
+    assert got == {"wt-b": 2, "wt-z": 3}
 
 
 def test_promote_unknown_hook_and_api(spark):
