@@ -132,14 +132,15 @@ def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> Data
                     F.col("_tmax").alias("win_hi"))
 
 
-def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> DataFrame:
-    """J6 core on (_ch, content_bin): not exact, some window Jaccard >= 0.9."""
-    cand, _ = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96), sensitive=True)
+def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> tuple[DataFrame, bool]:
+    """J6 core on (_ch, content_bin): not exact, some window Jaccard >= 0.9.
+    Also returns whether the candidates passed the broadcast bound."""
+    cand, small = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96), sensitive=True)
     cand = cand.withColumnRenamed("_ch", "_cch")
     v = contents.join(cand, contents["_ch"] == cand["_cch"]).drop("_cch")
     v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
     v = v.where(fuzzy_window_udf("content_bin", "value_bin", "win_lo", "win_hi"))
-    return v.select("_ch", *FP_ATTRS, F.lit(K.MATCH_FUZZY).alias("match_kind"))
+    return v.select("_ch", *FP_ATTRS, F.lit(K.MATCH_FUZZY).alias("match_kind")), small
 
 
 def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
@@ -149,8 +150,11 @@ def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
     out to the writes through a size-checked broadcast join where the
     other-domain rule (J4) applies."""
     contents = hold(distinct_contents(writes))
-    m = fuzzy_on_contents(contents, fps).drop("value_bin")  # verified: the value is no longer needed
-    hits, _ = bounded_broadcast(m.withColumnRenamed("_ch", "_mch"), width=F.lit(128))
+    m, cand_small = fuzzy_on_contents(contents, fps)
+    m = m.drop("value_bin").withColumnRenamed("_ch", "_mch")  # verified: the value is no longer needed
+    # Hits are a filtered subset of the candidates with narrower rows: when
+    # the candidates passed the bound, so do the hits (proven, not measured).
+    hits = F.broadcast(m) if cand_small else bounded_broadcast(m, width=F.lit(128))[0]
     w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
     out = w.join(hits, (w["_ch"] == hits["_mch"]) & (w["target_worktree"] != hits["fp_worktree"]))
     return out.drop("_ch", "_mch")
