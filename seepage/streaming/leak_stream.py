@@ -57,9 +57,10 @@ def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFra
 
 
 def run_leak_stream(spark: SparkSession, log_dir: str, fps: DataFrame, roots: DataFrame,
-                    actors: DataFrame, trail_dir: str, checkpoint: str, available_now: bool = True):
+                    actors: DataFrame, trail_dir: str, checkpoint: str, available_now: bool = True,
+                    max_files_per_trigger: int = 2):
     fps_snap = snapshot(as_match_side(fps))
-    q = (write_stream(spark, log_dir, max_files_per_trigger=1).writeStream
+    q = (write_stream(spark, log_dir, max_files_per_trigger=max_files_per_trigger).writeStream
          .foreachBatch(leak_batch_writer(fps_snap, roots, actors, trail_dir))
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 second")
