@@ -33,9 +33,9 @@ class scoped:
 
     def __exit__(self, *exc):
         for k in [k for k in _CHECKED if k not in self._keys]:
-            side, small = _CHECKED.pop(k)
-            if not small:
-                side.unpersist()
+            for _, (side, small) in _CHECKED.pop(k):
+                if not small:
+                    side.unpersist()
         while len(_HELD) > self._held:
             _HELD.pop().unpersist()
         return False
@@ -58,8 +58,10 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
     per analysed plan for the session (the identity Spark's cache manager uses).
     """
     key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
-    if key in _CHECKED:
-        return _CHECKED[key]
+    for orig, res in _CHECKED.get(key, ()):
+        if orig.sameSemantics(df):  # the hash is 32-bit: confirm plan equality
+            return res
+    orig = df
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     w = width if width is not None else F.lit(64)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(w + F.lit(32)), F.lit(0)).alias("b")).first()
@@ -72,5 +74,5 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
         res = (F.broadcast(small), True)
     else:
         res = (df, False)
-    _CHECKED[key] = res
+    _CHECKED.setdefault(key, []).append((orig, res))
     return res
