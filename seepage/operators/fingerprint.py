@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions import columns as C
 from seepage.functions import constants as K
+from seepage.operators.partitioning import spread
 from seepage.operators.roots import files_in_roots, in_ignored_dir
 
 FP_COLS = ["worktree", "path", "ord", "field", "value", "value_bin", "vlen",
@@ -73,7 +74,7 @@ def enrich(entries: DataFrame) -> DataFrame:
 def fingerprints(files: DataFrame, roots: DataFrame,
                  promote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The inventory: one row per (root, file, entry)."""
-    sf = secret_files(content_text(files), roots)
+    sf = secret_files(content_text(spread(files)), roots)
     fps = enrich(env_entries(sf).unionByName(blob_entries(sf)))
     return promote_unknown(fps, promote).select(*FP_COLS)
 

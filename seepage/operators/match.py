@@ -97,8 +97,8 @@ def prefix_trigrams(fps: DataFrame, hits: int = 2) -> DataFrame:
     m = ceil(0.9 T), and ``_need`` = P - (T - m): a matching window misses at
     most T - m trigrams of V, so it holds at least ``_need`` of these P."""
     f = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
-    tri = f.select(*FP_ATTRS, F.explode(C.trigrams(F.col("value_bin"))).alias("_tri"))
-    tri = tri.withColumn("_ntri", F.count(F.lit(1)).over(Window.partitionBy(*FP_KEY)))
+    f = f.withColumn("_vt", C.trigrams(F.col("value_bin")))
+    tri = f.select(*FP_ATTRS, F.size("_vt").alias("_ntri"), F.explode("_vt").alias("_tri"))
     freq = tri.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
     tri = tri.join(freq, "_tri")
     r = F.row_number().over(Window.partitionBy(*FP_KEY).orderBy("_df", "_tri"))
