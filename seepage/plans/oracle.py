@@ -139,35 +139,37 @@ def trigram_list(x: str) -> str:
 
 def ctes_match(writes: str, wid: str, wdom: str, fps: str, fkey: list, fdom: str) -> list:
     """Generic exact / fuzzy matching over writes(wid, wdom, content) and
-    fps(fkey..., fdom, value, vlen). Produces m_exact and m_fuzzy (wid, fkey...)."""
+    fps(fkey..., fdom, value, vlen). Produces m_exact and m_fuzzy (wid, fkey...).
+    Byte trigrams are 6-hex-digit slices of the hex text (computed once per row)."""
     fk = ", ".join(f"f.{k}" for k in fkey)
     fk_plain = ", ".join(fkey)
+    on_p = " AND ".join(f"o.{k} = p.{k}" for k in fkey)
+    on_vn = " AND ".join(f"vn.{k} = p.{k}" for k in fkey)
+    vt_keys = ", ".join("m_vt." + k for k in fkey)
+    win = "list_distinct(list_transform(range(s, s + vlen - 2), lambda j: substr(ch, 2 * j + 1, 6)))"
     return [
         f"m_pairs AS (SELECT w.{wid} AS wid, {fk}, w.content, f.value, f.vlen FROM {writes} w JOIN {fps} f "
         f"ON f.{fdom} <> w.{wdom} AND f.vlen >= {K.MIN_MATCH_LEN})",
         f"m_exact AS (SELECT wid, {fk_plain} FROM m_pairs WHERE contains(content, value))",
         # count filter: a match needs >= ceil(0.9 T) of the value's trigrams in the content
-        f"m_wt AS (SELECT DISTINCT wid, substr(hex(encode(content)), 2 * i + 1, 6) AS tri FROM "
-        f"(SELECT {wid} AS wid, content, unnest(range(0, strlen(content) - 2)) AS i FROM {writes}))",
+        f"m_wh AS (SELECT {wid} AS wid, hex(encode(content)) AS ch, strlen(content) AS n FROM {writes})",
+        f"m_wt AS (SELECT DISTINCT wid, substr(ch, 2 * i + 1, 6) AS tri FROM "
+        f"(SELECT wid, ch, unnest(range(0, n - 2)) AS i FROM m_wh))",
         f"m_wn AS (SELECT wid, count(*) AS nct FROM m_wt GROUP BY wid)",
-        f"m_vt AS (SELECT DISTINCT {fk_plain}, substr(hex(encode(value)), 2 * i + 1, 6) AS tri FROM "
-        f"(SELECT {fk_plain}, value, unnest(range(0, strlen(value) - 2)) AS i FROM {fps} WHERE vlen >= {K.MIN_MATCH_LEN}))",
-        f"m_vn AS (SELECT {fk_plain}, count(*) AS nvt FROM m_vt GROUP BY {fk_plain})",
-        f"m_ov AS (SELECT m_wt.wid, {', '.join('m_vt.' + k for k in fkey)}, count(*) AS inter FROM m_wt JOIN m_vt ON m_wt.tri = m_vt.tri "
-        f"GROUP BY m_wt.wid, {', '.join('m_vt.' + k for k in fkey)})",
-        f"m_cand AS (SELECT p.*, o.inter, vn.nvt, wn.nct, strlen(p.content) AS n FROM m_pairs p "
-        f"JOIN m_ov o ON o.wid = p.wid AND {' AND '.join(f'o.{k} = p.{k}' for k in fkey)} "
-        f"JOIN m_vn vn ON {' AND '.join(f'vn.{k} = p.{k}' for k in fkey)} "
-        f"JOIN m_wn wn ON wn.wid = p.wid "
+        f"m_vh AS (SELECT {fk_plain}, hex(encode(value)) AS vh, vlen FROM {fps} WHERE vlen >= {K.MIN_MATCH_LEN})",
+        f"m_vt AS (SELECT DISTINCT {fk_plain}, substr(vh, 2 * i + 1, 6) AS tri FROM "
+        f"(SELECT {fk_plain}, vh, unnest(range(0, vlen - 2)) AS i FROM m_vh))",
+        f"m_vn AS (SELECT {fk_plain}, count(*) AS nvt, list(tri) AS vtl FROM m_vt GROUP BY {fk_plain})",
+        f"m_ov AS (SELECT m_wt.wid, {vt_keys}, count(*) AS inter FROM m_wt JOIN m_vt ON m_wt.tri = m_vt.tri "
+        f"GROUP BY m_wt.wid, {vt_keys})",
+        f"m_cand AS (SELECT p.*, o.inter, vn.nvt, vn.vtl, wn.nct, wh.ch, wh.n FROM m_pairs p "
+        f"JOIN m_ov o ON o.wid = p.wid AND {on_p} JOIN m_vn vn ON {on_vn} "
+        f"JOIN m_wn wn ON wn.wid = p.wid JOIN m_wh wh ON wh.wid = p.wid "
         f"WHERE 10 * o.inter >= 9 * vn.nvt AND NOT contains(p.content, p.value))",
         f"m_fuzzy AS (SELECT wid, {fk_plain} FROM m_cand WHERE CASE WHEN n < vlen "
         f"THEN 10 * inter >= 9 * (nct + nvt - inter) ELSE "
         f"list_bool_or(list_transform(range(0, n - vlen + 1), lambda s: "
-        f"10 * len(list_intersect(list_distinct(list_transform(range(s, s + vlen - 2), lambda j: substr(hex(encode(content)), 2 * j + 1, 6))), "
-        f"list_distinct(list_transform(range(0, vlen - 2), lambda j: substr(hex(encode(value)), 2 * j + 1, 6))))) >= "
-        f"9 * (len(list_distinct(list_transform(range(s, s + vlen - 2), lambda j: substr(hex(encode(content)), 2 * j + 1, 6)))) + nvt - "
-        f"len(list_intersect(list_distinct(list_transform(range(s, s + vlen - 2), lambda j: substr(hex(encode(content)), 2 * j + 1, 6))), "
-        f"list_distinct(list_transform(range(0, vlen - 2), lambda j: substr(hex(encode(value)), 2 * j + 1, 6)))))))) END)",
+        f"10 * len(list_intersect({win}, vtl)) >= 9 * (len({win}) + nvt - len(list_intersect({win}, vtl))))) END)",
     ]
 
 
