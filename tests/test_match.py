@@ -79,3 +79,29 @@ def test_random_parity_with_brute_force(spark):
                     want.add((wid, f, k))
     got = {(e.write_id, e.secret_field, e.match_kind) for e in run(spark, fps, writes)}
     assert got == want
+
+
+def test_long_content_windows_parity(spark):
+    rnd = random.Random(23)
+    alpha = "abcdefghij0123456789"
+    values = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(20, 60))) for _ in range(12)]
+    values += ["xyz" * 8, "ab" * 12]  # repetitive values: few distinct trigrams
+    fps = [(f"wt-{i % 2}", f"V{i}", v) for i, v in enumerate(values)]
+    writes = []
+    for wid in range(30):
+        body = [rnd.choice(alpha) for _ in range(rnd.randint(200, 3000))]
+        v = rnd.choice(values)
+        mutated = list(v)
+        for _ in range(wid % 3):  # 0, 1 or 2 changed bytes
+            mutated[rnd.randrange(len(v))] = "Q"
+        at = rnd.randrange(len(body))
+        body[at:at] = mutated if wid % 4 else list(v[3:] + v[:3])
+        writes.append((wid, "".join(body), "wt-9", f"/w/{wid}", 0))
+    want = set()
+    for wid, c, tgt, _, _ in writes:
+        for wt, f, v in fps:
+            k = brute_match(c.encode(), v.encode())
+            if k:
+                want.add((wid, f, k))
+    got = {(e.write_id, e.secret_field, e.match_kind) for e in run(spark, fps, writes)}
+    assert got == want and len(want) > 10
