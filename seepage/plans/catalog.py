@@ -4,15 +4,15 @@ DuckDB oracle SQL for the same name. No query outputs a raw value or content.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.operators import rollups as R
-from seepage.operators.fingerprint import (as_match_side, blob_entries, content_text, enrich,
-                                           env_entries, promote_unknown, secret_files)
-from seepage.operators.match import event_columns, leak_matches, other_domain_counts
+from seepage.operators.fingerprint import (as_match_side, blob_entries, content_text, env_entries,
+                                           promote_unknown, secret_files)
+from seepage.operators.match import other_domain_counts
 from seepage.operators.roots import files_in_roots, in_ignored_dir, owner_root
 from seepage.plans import jobs
 from seepage.plans import oracle as O
