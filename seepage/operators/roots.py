@@ -20,12 +20,19 @@ def _prefix(path: Column, k: Column) -> Column:
     return F.call_function("substring_index", path, F.lit("/"), k)
 
 
-def explode_prefixes(df: DataFrame, path_col: str, out: str = "_anc") -> DataFrame:
-    """One row per '/'-cut prefix of ``path_col`` (the path itself included)."""
-    n = F.size(F.split(F.col(path_col), "/"))
-    x = df.select("*", F.explode(F.sequence(F.lit(1), n)).alias("_k"))
-    return (x.withColumn(out, _prefix(F.col(path_col), F.col("_k")))
-             .where(F.col(out) != "").drop("_k"))
+def path_prefixes(path: Column) -> Column:
+    """All '/'-cut prefixes of the path, the path itself included, '' dropped."""
+    n = F.size(F.split(path, "/"))
+    pre = F.transform(F.sequence(F.lit(1), n), lambda k: _prefix(path, k))
+    return F.filter(pre, lambda x: x != "")
+
+
+def explode_prefixes(df: DataFrame, path_col: str, out: str = "_anc", keep_array: str | None = None) -> DataFrame:
+    """One row per '/'-cut prefix of ``path_col`` (the path itself included).
+    ``keep_array`` also keeps the whole prefix array on each row."""
+    x = df.where(F.col(path_col).isNotNull()).withColumn("_pre", path_prefixes(F.col(path_col)))
+    x = x.select("*", F.explode("_pre").alias(out))
+    return x.withColumnRenamed("_pre", keep_array) if keep_array else x.drop("_pre")
 
 
 def root_paths(roots: DataFrame) -> DataFrame:
@@ -54,11 +61,11 @@ def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner
     fit a broadcast, only (row id, path) take the shuffle path.
     """
     clo, small = bounded_broadcast(root_closure(roots))
-    x = explode_prefixes(df, path_col, "_anc")
-    x = x.join(clo, x["_anc"] == clo["root"])
-    p = F.col(path_col)
-    deeper = F.exists("nested", lambda s: (p == s) | p.startswith(F.concat(s, F.lit("/"))))
-    x = x.where(~deeper).drop("_anc", "nested")
+    x = explode_prefixes(df, path_col, "_anc", keep_array="_pre")
+    # A nested root s contains the path iff s is one of its prefixes: a plain
+    # array test, no lambda over the path in a join predicate.
+    x = x.join(clo, (x["_anc"] == clo["root"]) & ~F.arrays_overlap(clo["nested"], x["_pre"]))
+    x = x.drop("_anc", "_pre", "nested")
     return x.withColumnRenamed("root", out).withColumnRenamed("root_base", out + "_base")
 
 
