@@ -45,7 +45,7 @@ from seepage.llm.common import clean_docs, shared_path, table
 
 MAGIC = b"IDPLANE1"
 END_ID = 1
-_CACHE_CHUNKS = 1_500_000
+_CACHE_CHUNKS = 700_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-;=?@\[-`{}~]*)")
 _OTHER_GAPS = re.compile("[\x1c-\x1f]")
 _CODERS: dict[str, "Coder"] = {}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat
+from seepage.llm import bitplanes, chat, jaccard, rules
 
 
 def queries() -> dict:
     return {
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op5_token_files": bitplanes.op5_token_files,
+        "op6_quality_rules": rules.op6_quality_rules,
         "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": chat.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}

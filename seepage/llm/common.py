@@ -123,3 +123,11 @@ def text_bytes(x) -> bytes:
 def clean_docs(docs: DataFrame) -> DataFrame:
     """doc_id, text with null texts as empty ones; other columns go."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores until no column of df has it (in any case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
