@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, jaccard, rules
+from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, rules
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op5_token_files": bitplanes.op5_token_files,
         "op6_quality_rules": rules.op6_quality_rules,
+        "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_mixing": mixing.op8_mixing,
         "op10_chat_format": chat.op10_chat_format,
     }
 
