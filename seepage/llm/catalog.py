@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, rules
+from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, rules, substrings
 
 
 def queries() -> dict:
@@ -12,9 +12,10 @@ def queries() -> dict:
         "op6_quality_rules": rules.op6_quality_rules,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_mixing": mixing.op8_mixing,
+        "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
