@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, rules, substrings
+from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, ppm, rules, substrings
 
 
 def queries() -> dict:
     return {
         "op3_jaccard_join": jaccard.op3_jaccard_join,
+        "op4_ppm_scores": ppm.op4_ppm_scores,
         "op5_token_files": bitplanes.op5_token_files,
         "op6_quality_rules": rules.op6_quality_rules,
         "op7_decontamination": decontaminate.op7_decontamination,
