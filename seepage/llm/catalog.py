@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, ppm, rules, substrings
+from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, pii, ppm, rules, substrings
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.op2_pii,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_ppm_scores": ppm.op4_ppm_scores,
         "op5_token_files": bitplanes.op5_token_files,
