@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, jaccard, mixing, pii, ppm, rules, substrings
+from seepage.llm import bitplanes, chat, decontaminate, jaccard, lines, mixing, pii, ppm, rules, substrings
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": lines.op1_line_dedup,
         "op2_pii": pii.op2_pii,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_ppm_scores": ppm.op4_ppm_scores,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
