@@ -43,16 +43,17 @@ class Bits:
 
 
 class FMIndex:
-    """Index of a sequence of ids >= 0. ``depth``: longest pattern that is searched."""
+    """Index of a sequence of ids >= 0. ``depth``: longest pattern that is searched. Inside,
+    ids are one higher and a 0 ends the sequence."""
 
     def __init__(self, seq: np.ndarray, depth: int):
-        self.seq = np.asarray(seq, np.int64)
+        self.seq = np.append(np.asarray(seq, np.int64) + 1, 0)
         self.size = len(seq)
         symbols = int(self.seq.max(initial=0)) + 1
         self.suffixes = ordered_suffixes(self.seq, depth + 1)
         self.first = np.zeros(symbols + 1, np.int64)  # suffixes that begin with a smaller symbol
         np.cumsum(np.bincount(self.seq, minlength=symbols), out=self.first[1:])
-        left = self.seq[self.suffixes - 1]  # the symbol before each suffix; before offset 0 the last one
+        left = self.seq[self.suffixes - 1]  # the symbol before each suffix; before offset 0 the final 0
         self.levels: list[Bits] = []
         top = max(1, (symbols - 1).bit_length())
         self.shifts = list(range(top - 1, -1, -1))
@@ -106,5 +107,6 @@ class FMIndex:
         intervals of windows of one length are equal or apart."""
         starts, first, back = np.unique(lo, return_index=True, return_inverse=True)
         cuts = np.stack([starts, hi[first]], axis=1).reshape(-1)
-        by_suffix = np.append(values[self.suffixes], np.iinfo(np.int64).max)
+        most = np.iinfo(np.int64).max
+        by_suffix = np.append(np.append(values, most)[self.suffixes], most)
         return np.minimum.reduceat(by_suffix, cuts)[::2][back] if len(cuts) else np.zeros(0, np.int64)

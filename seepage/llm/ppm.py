@@ -199,7 +199,7 @@ class Trie:
             if not len(at):
                 continue
             nd, ab = node[at], above[at]
-            c = self.count[d][nd, byte[at]]
+            c = self.count[d][nd, byte[at]].astype(np.float64)
             hit = c > 0
             fresh = ab == 0
             den = np.where(fresh, self.own[d][nd], self.under[d + 1][ab] if d < order else 0.0)
