@@ -3,7 +3,7 @@
     scan(files, roots, procs)        -> inventory (fingerprints), per-root counts, totals
     leaks(writes, files, roots, procs) -> leak events for a batch of writes
     watch(spark, write_log_dir, ...) -> a running stream appending events to a trail
-    leak_map(roots, trail)           -> nodes, per-event edges, edge rollup
+    trail_map(roots, trail)          -> nodes, per-event edges, edge rollup
     report(trail)                    -> ranked rows, per-severity counts, summary sentence
 
 Inputs are DataFrames: roots(path), files(path, content) or the rows of
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seepage.operators import rollups as R
-from seepage.operators.fingerprint import as_match_side, fingerprints
+from seepage.operators.fingerprint import as_match_side, fingerprints, fingerprints_from_tree
 from seepage.operators.match import event_columns, leak_matches
 from seepage.operators.roots import actor_per_root
 from seepage.plans.jobs import owned_writes
@@ -23,7 +23,8 @@ from seepage.streaming.leak_stream import run_leak_stream
 
 
 def scan(files: DataFrame, roots: DataFrame, procs: DataFrame | None = None, promote=None) -> dict:
-    fps = fingerprints(files, roots, promote)
+    # rows of read_files carry their root: no second containment join
+    fps = fingerprints_from_tree(files, promote) if "worktree" in files.columns else fingerprints(files, roots, promote)
     actors = actor_per_root(procs, roots) if procs is not None else \
         roots.selectExpr("path AS worktree", "CAST(0 AS BIGINT) AS agent_pid")
     return {"fingerprints": fps,
@@ -39,13 +40,15 @@ def leaks(writes: DataFrame, files: DataFrame, roots: DataFrame, procs: DataFram
 
 
 def watch(spark: SparkSession, write_log_dir: str, files: DataFrame, roots: DataFrame, trail_dir: str,
-          checkpoint: str, procs: DataFrame | None = None, available_now: bool = False):
+          checkpoint: str, procs: DataFrame | None = None, available_now: bool = False,
+          max_files_per_trigger: int | None = None):
     s = scan(files, roots, procs)
     return run_leak_stream(spark, write_log_dir, s["fingerprints"], roots, s["actors"], trail_dir,
-                           checkpoint, available_now=available_now)
+                           checkpoint, available_now=available_now,
+                           max_files_per_trigger=max_files_per_trigger)
 
 
-def leak_map(roots: DataFrame, trail: DataFrame) -> dict:
+def trail_map(roots: DataFrame, trail: DataFrame) -> dict:
     return {"nodes": R.map_nodes(roots, trail), "edges": R.map_edges(trail),
             "edge_rollup": R.map_edges_rollup(trail), "node_count": R.count_nodes(roots, trail)}
 

@@ -44,9 +44,26 @@ def ws_trim(c: Column) -> Column:
     return F.btrim(c, F.lit(K.WS_CHARS))
 
 
+def byte_view(b: Column) -> Column:
+    """A BINARY column as text with one character for each byte; ``from_byte_view``
+    is the inverse. String functions that cut at ASCII signs then cut the bytes, and
+    bytes that are not UTF-8 stay as they are."""
+    return F.decode(b, "ISO-8859-1")
+
+
+def from_byte_view(c: Column) -> Column:
+    return F.encode(c, "ISO-8859-1")
+
+
+def ws_trim_view(c: Column) -> Column:
+    """ws_trim on a byte view: white space is its UTF-8 byte sequence there."""
+    ws = "(?:" + "|".join("".join(f"\\x{b:02x}" for b in ch.encode()) for ch in K.WS_CHARS) + ")+"
+    return F.regexp_replace(c, f"\\A{ws}|{ws}\\z", "")
+
+
 def trim_trailing_slash(c: Column) -> Column:
-    return F.when(F.regexp_extract(c, "/+$", 0) == c, F.lit("")).otherwise(
-        F.regexp_replace(c, "/+$", ""))
+    return F.when(F.regexp_extract(c, r"/+\z", 0) == c, F.lit("")).otherwise(
+        F.regexp_replace(c, r"/+\z", ""))
 
 
 def basename(c: Column) -> Column:
@@ -125,7 +142,7 @@ def rfc3339_seconds(ts: Column) -> Column:
 def rfc3339_nano(ts: Column) -> Column:
     """Timestamp text as in the JSON trail: fraction without trailing zeros."""
     s = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(s, "\\.?0+$", ""), F.lit("Z"))
+    return F.concat(F.regexp_replace(s, r"\.?0+\z", ""), F.lit("Z"))
 
 
 def trigrams(b: Column) -> Column:

@@ -17,12 +17,23 @@ _HELD: list = []
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Persist (memory+disk) a relation read by several jobs; see release()."""
+    """Persist (memory+disk) a relation read by several jobs, until release() or the end of a scoped block."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     _HELD.append(df)
     return df
 
 
+def release() -> None:
+    """Drop all persisted inputs and measured sides of the session."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    for found in _CHECKED.values():
+        for orig, (side, _) in found:
+            side.unpersist()
+            orig.unpersist()
+    _CHECKED.clear()
+
+
 class scoped:
     """Within the block, persisted inputs and measured sizes are released on
     exit (one streaming micro-batch must not pin memory for the next)."""
@@ -33,9 +44,9 @@ class scoped:
 
     def __exit__(self, *exc):
         for k in [k for k in _CHECKED if k not in self._keys]:
-            for _, (side, small) in _CHECKED.pop(k):
-                if not small:
-                    side.unpersist()
+            for orig, (side, _) in _CHECKED.pop(k):
+                side.unpersist()
+                orig.unpersist()
         while len(_HELD) > self._held:
             _HELD.pop().unpersist()
         return False

@@ -22,7 +22,8 @@ FP_COLS = ["worktree", "path", "ord", "field", "value", "value_bin", "vlen",
 
 
 def content_text(df: DataFrame, col: str = "content") -> DataFrame:
-    """content_str: the lossless string view of the bytes; content_bin: the bytes."""
+    """content_str: the bytes as a string, as they are (regex functions on it decode
+    them, so only use it where the text need not be cut); content_bin: the bytes."""
     t = dict(df.dtypes)[col]
     s = F.col(col).cast("string") if t == "binary" else F.col(col)
     b = F.col(col) if t == "binary" else F.col(col).cast("binary")
@@ -39,16 +40,21 @@ def secret_files(files: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def env_entries(sf: DataFrame) -> DataFrame:
-    """P1 + P3: one row per KEY=VALUE line of env-style files."""
+    """P1 + P3: one row per KEY=VALUE line of env-style files.
+
+    Lines, keys and values are cut on the bytes (one character a byte): a regex
+    split of the text view would put U+FFFD in place of bytes that are not UTF-8."""
     e = sf.where(F.col("kind") == "env")
-    e = e.select("worktree", "path", F.posexplode(F.split(F.col("content_str"), "\n")).alias("ord", "raw"))
-    line = C.ws_trim(F.col("raw"))
+    content = F.col("content_bin") if "content_bin" in sf.columns else F.col("content_str").cast("binary")
+    e = e.select("worktree", "path", F.posexplode(F.split(C.byte_view(content), "\n")).alias("ord", "raw"))
+    line = C.ws_trim_view(F.col("raw"))
     e = e.withColumn("line", line).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     e = e.withColumn("idx", F.instr(F.col("line"), "=")).where(F.col("idx") > 1)
-    key = C.ws_trim(F.col("line").substr(F.lit(1), F.col("idx") - 1))
-    val = C.ws_trim(F.col("line").substr(F.col("idx") + 1, F.length(F.col("line"))))
+    key = C.ws_trim_view(F.col("line").substr(F.lit(1), F.col("idx") - 1))
+    val = C.ws_trim_view(F.col("line").substr(F.col("idx") + 1, F.length(F.col("line"))))
     e = e.select("worktree", "path", F.col("ord").cast("int").alias("ord"),
-                 key.alias("field"), C.unquote(val).alias("value"))
+                 C.from_byte_view(key).cast("string").alias("field"),
+                 C.from_byte_view(C.unquote(val)).cast("string").alias("value"))
     return e.where(F.col("value") != "")
 
 
@@ -79,13 +85,13 @@ def fingerprints(files: DataFrame, roots: DataFrame,
     return promote_unknown(fps, promote).select(*FP_COLS)
 
 
-def fingerprints_from_tree(files: DataFrame) -> DataFrame:
+def fingerprints_from_tree(files: DataFrame, promote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The inventory from S1 rows (worktree, path, content): the walk already
     pruned ignored directories and applied the name filter."""
     sf = content_text(files)
     sf = sf.where(C.is_secret_file(C.basename(F.col("path"))))
     sf = sf.withColumn("kind", F.when(C.is_env_file(C.basename(F.col("path"))), F.lit("env")).otherwise(F.lit("blob")))
-    return enrich(env_entries(sf).unionByName(blob_entries(sf))).select(*FP_COLS)
+    return promote_unknown(enrich(env_entries(sf).unionByName(blob_entries(sf))), promote).select(*FP_COLS)
 
 
 def promote_unknown(fps: DataFrame, fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

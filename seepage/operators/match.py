@@ -62,13 +62,9 @@ def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
     long = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
     per = long.groupBy(F.col("fp_worktree").alias("wt")).agg(F.count(F.lit(1)).alias("c"))
     t = targets.select(F.col("target_worktree").alias("wt")).distinct()
-    u = (per.withColumn("is_t", F.lit(0))
-            .unionByName(t.withColumn("c", F.lit(0).cast("bigint")).withColumn("is_t", F.lit(1))))
-    # window over at most (#roots with values + #receiving roots) rows
-    u = u.withColumn("total", F.sum("c").over(Window.partitionBy()))
-    g = u.groupBy("wt").agg(F.max("is_t").alias("is_t"), F.sum("c").alias("own"), F.max("total").alias("total"))
-    return g.where(F.col("is_t") == 1).select(F.col("wt").alias("target_worktree"),
-                                             (F.col("total") - F.col("own")).cast("bigint").alias("n_candidates"))
+    total = long.count()
+    return t.join(per, "wt", "left").select(F.col("wt").alias("target_worktree"),
+                                            (F.lit(total) - F.coalesce("c", F.lit(0))).cast("bigint").alias("n_candidates"))
 
 
 def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:

@@ -72,9 +72,23 @@ def normalized_inventory(fps: DataFrame) -> DataFrame:
 
 # --- leak map / report (over a trail) ------------------------------------------
 
-def trail_order(trail: DataFrame) -> list:
-    return ["trail_pos"] if "trail_pos" in trail.columns else [
-        "timestamp", "target_path", "source_worktree", "source_path", "secret_field", "match_kind"]
+_EVENT_ORDER = ["target_path", "source_worktree", "source_path", "secret_field", "match_kind"]
+
+
+def trail_order(trail: DataFrame) -> list[Column]:
+    """By trail_pos if the trail has it, else by time (never by its text, which drops
+    trailing zeros) and then by the event's own keys."""
+    if "trail_pos" in trail.columns:
+        return [F.col("trail_pos")]
+    time = F.col("ts") if "ts" in trail.columns else F.col("timestamp")
+    if not dict(trail.dtypes)["ts" if "ts" in trail.columns else "timestamp"].startswith("timestamp"):
+        time = F.try_to_timestamp(time)
+    return [time] + [F.col(c) for c in _EVENT_ORDER]
+
+
+def positioned(trail: DataFrame) -> DataFrame:
+    """The trail with ``trail_pos`` (from 1, in trail order) where it has none."""
+    return trail if "trail_pos" in trail.columns else number_rows(trail, trail_order(trail), "trail_pos")
 
 
 def count_by_severity(trail: DataFrame) -> DataFrame:
@@ -95,7 +109,7 @@ def report_sentence(trail: DataFrame) -> DataFrame:
 def ranked_report(trail: DataFrame) -> DataFrame:
     """O1 + P9 + P14: stable rank by severity, ties in trail order, from 1."""
     t = trail.withColumn("_sr", C.severity_rank(F.col("severity")))
-    t = number_rows(t, ["_sr"] + trail_order(trail), "rn")
+    t = number_rows(t, [F.col("_sr")] + trail_order(trail), "rn")
     src, tgt = C.short_path(F.col("source_worktree")), C.short_path(F.col("target_worktree"))
     return t.select(
         "rn", src.alias("source"), tgt.alias("target"), F.col("secret_field").alias("field"),
@@ -106,14 +120,16 @@ def ranked_report(trail: DataFrame) -> DataFrame:
 
 def event_summary(trail: DataFrame, id_col: str = "trail_pos") -> DataFrame:
     """P10: one human line per event."""
-    s = F.format_string(K.SUMMARY_FMT, C.rfc3339_seconds(F.col("timestamp")),
+    trail = trail if id_col in trail.columns else positioned(trail)
+    s = F.format_string(K.SUMMARY_FMT, C.rfc3339_seconds(F.col("timestamp").cast("timestamp")),
                         "source_worktree", "source_path", "target_worktree", "target_path",
                         "secret_field", "match_kind", "severity")
     return trail.select(id_col, s.alias("summary"))
 
 
 def map_edges(trail: DataFrame, id_col: str = "trail_pos") -> DataFrame:
-    """A5 as the reference draws it: one edge per event, in trail order."""
+    """A5, one edge per event, in trail order."""
+    trail = trail if id_col in trail.columns else positioned(trail)
     e = F.format_string(K.EDGE_FMT, C.short_path(F.col("source_worktree")), F.col("match_kind"),
                         C.short_path(F.col("target_worktree")), F.col("secret_field"), F.col("severity"))
     return trail.select(id_col, e.alias("edge_text"))
@@ -132,19 +148,16 @@ def map_edges_rollup(trail: DataFrame) -> DataFrame:
 def map_nodes(roots: DataFrame, trail: DataFrame) -> DataFrame:
     """A4: roots first (by path), then roots first seen in the trail (source
     before target); pos from 1, label = short path."""
-    r = roots.select(F.col("path"), F.lit(0).alias("_grp"), F.col("path").alias("_skey"),
-                     F.lit(None).cast("bigint").alias("_nkey"))
-    o = trail_order(trail)
-    t = number_rows(trail.select(*[c for c in set(o + ["source_worktree", "target_worktree"])]), o, "_tp")
-    ev = t.select(F.explode(F.array(
-        F.struct(F.col("source_worktree").alias("path"), (F.col("_tp") * 2).alias("_nkey")),
-        F.struct(F.col("target_worktree").alias("path"), (F.col("_tp") * 2 + 1).alias("_nkey")))).alias("_e"))
-    ev = ev.select(F.col("_e.path").alias("path"), F.lit(1).alias("_grp"), F.lit(None).cast("string").alias("_skey"),
-                   F.col("_e._nkey").alias("_nkey"))
-    allp = r.unionByName(ev)
-    first = allp.groupBy("path").agg(F.min(F.struct("_grp", "_skey", "_nkey")).alias("_k"))
-    first = first.select("path", F.col("_k._grp").alias("_grp"), F.col("_k._skey").alias("_skey"),
-                         F.col("_k._nkey").alias("_nkey"))
+    # First appearance of a path = the least key: a partial aggregation. Only nodes are numbered.
+    key = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(trail_order(trail))])
+    ends = F.array(F.struct(F.col("source_worktree").alias("path"), F.lit(0).alias("side")),
+                   F.struct(F.col("target_worktree").alias("path"), F.lit(1).alias("side")))
+    ev = trail.select(key.alias("_key"), F.explode(ends).alias("_e"))
+    seen = ev.groupBy(F.col("_e.path").alias("path")).agg(F.min(F.struct("_key", F.col("_e.side"))).alias("_seen"))
+    r = roots.select(F.col("path").alias("_root")).distinct()
+    first = seen.join(r, seen["path"] == r["_root"], "full_outer").select(
+        F.coalesce("_root", "path").alias("path"), F.when(F.col("_root").isNotNull(), 0).otherwise(1).alias("_grp"),
+        F.col("_root").alias("_skey"), F.when(F.col("_root").isNull(), F.col("_seen")).alias("_nkey"))
     n = number_rows(first, ["_grp", "_skey", "_nkey"], "pos")
     return n.select("pos", "path", C.short_path(F.col("path")).alias("label"))
 

@@ -41,38 +41,55 @@ def root_paths(roots: DataFrame) -> DataFrame:
 
 
 def root_closure(roots: DataFrame) -> DataFrame:
-    """root, nested: the roots strictly below each root (small dimension)."""
+    """root, nested: the roots directly below each root (no root in between). A path
+    under a deeper one is also under one of these, so they are enough for J2, and
+    each root is listed once however deep the roots are nested."""
     r = root_paths(roots)
     child = explode_prefixes(r.select(F.col("root").alias("child")), "child", "_anc")
     child = child.where(F.col("_anc") != F.col("child"))
     pairs = child.join(r, child["_anc"] == r["root"]).select("root", "child")
-    nested = pairs.groupBy("root").agg(F.collect_list("child").alias("nested"))
+    parent = pairs.groupBy("child").agg(F.max_by("root", F.length("root")).alias("root"))
+    nested = parent.groupBy("root").agg(F.collect_list("child").alias("nested"))
     return (r.join(nested, "root", "left")
              .select("root", F.coalesce("nested", F.array().cast("array<string>")).alias("nested"),
                      C.basename(F.col("root")).alias("root_base")))
 
 
+def measured_closure(roots: DataFrame) -> tuple[DataFrame, bool]:
+    """The closure, broadcast if its measured bytes fit; and whether they do."""
+    width = F.octet_length("root") + F.octet_length("root_base") + F.aggregate(
+        "nested", F.lit(0), lambda n, x: n + F.octet_length(x) + F.lit(16))
+    return bounded_broadcast(root_closure(roots), width=width)
+
+
 def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner") -> DataFrame:
     """Add ``out`` = the longest root containing ``path_col``; unowned rows drop.
 
-    Broadcast closure (size-checked): prefixes are probed in a broadcast hash
-    join and the deepest hit is kept by a per-row test against the hit root's
-    nested roots, so ownership costs no shuffle at all. If the roots do not
-    fit a broadcast, only (row id, path) take the shuffle path.
+    Broadcast closure (measured): prefixes are probed in a broadcast hash join
+    and the deepest hit is kept by a per-row test against the hit root's direct
+    child roots, so ownership costs no shuffle at all. If the roots do not fit a
+    broadcast, the owners of the distinct paths are found by a shuffle of paths
+    alone, and the rows are joined to them once.
     """
-    clo, small = bounded_broadcast(root_closure(roots))
-    x = explode_prefixes(df, path_col, "_anc", keep_array="_pre")
-    # A nested root s contains the path iff s is one of its prefixes: a plain
-    # array test, no lambda over the path in a join predicate.
-    x = x.join(clo, (x["_anc"] == clo["root"]) & ~F.arrays_overlap(clo["nested"], x["_pre"]))
-    x = x.drop("_anc", "_pre", "nested")
-    return x.withColumnRenamed("root", out).withColumnRenamed("root_base", out + "_base")
+    clo, small = measured_closure(roots)
+
+    def owned(rows: DataFrame, path: str) -> DataFrame:
+        x = explode_prefixes(rows, path, "_anc", keep_array="_pre")
+        # A child root contains the path iff it is one of its prefixes: a plain
+        # array test, no lambda over the path in a join predicate.
+        x = x.join(clo, (x["_anc"] == clo["root"]) & ~F.arrays_overlap(clo["nested"], x["_pre"]))
+        return x.drop("_anc", "_pre", "nested").withColumnRenamed("root", out).withColumnRenamed("root_base", out + "_base")
+
+    if small:
+        return owned(df, path_col)
+    by = owned(df.select(F.col(path_col).alias("_path")).distinct(), "_path")
+    return df.join(by, df[path_col] == by["_path"]).drop("_path")
 
 
 def files_in_roots(files: DataFrame, roots: DataFrame, path_col: str = "path",
                    out: str = "worktree") -> DataFrame:
     """One row per (containing root, file); nested roots each get the file."""
-    clo, _ = bounded_broadcast(root_closure(roots))  # the same measured side as J2
+    clo, _ = measured_closure(roots)  # the same measured side as J2
     r = clo.select("root")
     x = explode_prefixes(files, path_col, "_anc")
     return x.join(r, x["_anc"] == r["root"]).drop("_anc").withColumnRenamed("root", out)
@@ -90,25 +107,29 @@ def in_ignored_dir(root: Column, path: Column, root_base: Column | None = None)
 
 def actor_per_root(procs: DataFrame, roots: DataFrame) -> DataFrame:
     """Worktree, agent_pid: the first process (listing order) whose cwd's
-    longest containing root is the worktree; 0 when none."""
-    p = procs.where(F.col("cwd").isNotNull() & (F.col("cwd") != ""))
+    longest containing root is the worktree; 0 when none. A pid of 0 says nothing,
+    so a later process with a pid counts."""
+    p = procs.where(F.col("cwd").isNotNull() & (F.col("cwd") != "") & (F.col("pid") != 0))
     owned = owner_root(p.select("pid", "ord", "cwd"), "cwd", roots, "worktree").drop("worktree_base")
-    # one row per root at most: the roots passed the closure's size check
-    first = F.broadcast(owned.groupBy("worktree").agg(F.min_by("pid", "ord").alias("agent_pid")))
+    first = owned.groupBy("worktree").agg(F.min_by("pid", "ord").alias("agent_pid"))
+    if measured_closure(roots)[1]:  # one narrower row per root at most, and the roots fit
+        first = F.broadcast(first)
     r = root_paths(roots).withColumnRenamed("root", "worktree")
     return (r.join(first, "worktree", "left")
              .select("worktree", F.coalesce("agent_pid", F.lit(0)).cast("bigint").alias("agent_pid")))
 
 
 def with_target_pid(df: DataFrame, actors: DataFrame, root_col: str = "target_worktree",
-                    out: str = "target_agent_pid", measured: bool = False) -> DataFrame:
+                    out: str = "target_agent_pid", small: bool | None = None) -> DataFrame:
     """Look up the root's actor pid (0 when unknown).
 
-    ``actors`` from actor_per_root holds one row per root, and the roots
-    passed the closure's size check, so its bound is proven by construction;
-    pass measured=True for an actor table from elsewhere."""
+    small: whether the actors (one row per root) are known to fit a broadcast,
+    as when their roots passed the closure's check; None measures them."""
     a = actors.select(F.col("worktree").alias("_wt"), F.col("agent_pid").alias("_pid"))
-    a = bounded_broadcast(a)[0] if measured else F.broadcast(a)
+    if small is None:
+        a = bounded_broadcast(a, width=F.octet_length("_wt") + F.lit(16))[0]
+    elif small:
+        a = F.broadcast(a)
     return (df.join(a, df[root_col] == a["_wt"], "left")
               .withColumn(out, F.coalesce("_pid", F.lit(0)).cast("bigint"))
               .drop("_wt", "_pid"))

@@ -166,6 +166,14 @@ def q_inventory_redacted(spark, sf):
     return redacted_inventory(fps.orderBy(*R.inventory_order(fps)))
 
 
+@register("inventory_ordered", W(O.ctes_fps(),
+          "SELECT row_number() OVER (ORDER BY worktree, string_split(path, '/'), ord) AS pos, worktree, path, ord, value_hash FROM fps"))
+def q_inventory_ordered(spark, sf):
+    """O3 as data: the position of every entry in inventory order."""
+    fps = jobs.fx_fingerprints(spark, sf).select("worktree", "path", "ord", "value_hash")
+    return R.number_rows(fps, R.inventory_order(fps), "pos").select("pos", "worktree", "path", "ord", "value_hash")
+
+
 # --- J2, F5, J4 -----------------------------------------------------------------------
 
 @register("write_owner", W(O.ctes_fps() + O.ctes_actors() + O.ctes_writes(), "SELECT write_id, target_worktree FROM ow"))
@@ -333,7 +341,28 @@ def q_map_node_count(spark, sf):
 def trail_round_trip(spark, sf):
     path = scratch_path(spark, "trail")
     append_leak_events(jobs.fx_leak_events(spark, sf), path)
-    return read_leak_events(spark, path)
+    return read_leak_events(spark, path).select(*EVENT_COLS)
+
+
+_BACK = ("back AS (SELECT *, row_number() OVER (ORDER BY timestamp, target_path, source_worktree, source_path, secret_field, match_kind) "
+         "AS pos FROM trail_fx)")
+
+
+@register("report_from_trail", W(_TRAIL + [_BACK,
+          f"ranked AS (SELECT *, row_number() OVER (ORDER BY {O.sev_rank('severity')}, pos) AS rn FROM back)"],
+          f"SELECT 'rank' AS kind, rn AS pos, format('| {{}} | {{}} | {{}} | {{}} | {{}} | {{}} |', rn, {_SRC}, {_TGT}, secret_field, match_kind, severity) AS line FROM ranked "
+          f"UNION ALL SELECT 'edge', pos, format('  {{}} ──{{}}──▶ {{}}   {{}}={{}}', {_SRC}, match_kind, {_TGT}, secret_field, severity) FROM back "
+          f"UNION ALL SELECT 'summary', pos, format('[{{}}] {{}}:{{}} -> {{}}:{{}}  field={{}}  kind={{}}  severity={{}}', {O.rfc_sec('timestamp')}, source_worktree, "
+          f"source_path, target_worktree, target_path, secret_field, match_kind, severity) FROM back"))
+def report_from_trail(spark, sf):
+    """S3, S2, then O1, A5 and P10 on what was read back."""
+    path = scratch_path(spark, "trail")
+    append_leak_events(fx(spark, sf, "trail_fx").drop("trail_pos"), path)
+    t = R.positioned(read_leak_events(spark, path))
+    out = R.ranked_report(t).select(F.lit("rank").alias("kind"), F.col("rn").alias("pos"), F.col("row_text").alias("line"))
+    for kind, df in (("edge", R.map_edges(t)), ("summary", R.event_summary(t))):
+        out = out.unionByName(df.toDF("pos", "line").withColumn("kind", F.lit(kind)))
+    return out
 
 
 # --- ST1, ST2 -------------------------------------------------------------------------------
@@ -341,7 +370,7 @@ def trail_round_trip(spark, sf):
 @register("leak_stream", W(O.fixture_events_ctes(), "SELECT * EXCLUDE (write_id) FROM events_out"))
 def leak_stream(spark, sf):
     from seepage.streaming.leak_stream import run_fixture_stream
-    return run_fixture_stream(spark, sf)
+    return run_fixture_stream(spark, sf).select(*EVENT_COLS)
 
 
 # --- documents lane ---------------------------------------------------------------------

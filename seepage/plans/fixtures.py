@@ -52,7 +52,7 @@ FROM {events} JOIN {nation} ON n_nationkey = user_id % 25
 """
 
 PROCS_FX = """
-SELECT c_custkey AS pid, c_custkey AS ord,
+SELECT CASE WHEN c_custkey % 5 < 2 THEN CAST(0 AS BIGINT) ELSE CAST(c_custkey AS BIGINT) END AS pid, c_custkey AS ord,
   CASE WHEN c_custkey % 3 = 0 OR n_nationkey % 4 = 0 THEN '/home/u' || CAST(c_custkey AS STRING) || '/work'
        ELSE '/repo/r' || CAST(n_regionkey AS STRING) || '/wt-' || CAST(n_nationkey AS STRING) || '/svc' END AS cwd
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey

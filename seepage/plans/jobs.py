@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from seepage.operators.fingerprint import as_match_side, fingerprints
 from seepage.operators.match import event_columns, leak_matches
 from seepage.operators.partitioning import spread
-from seepage.operators.roots import actor_per_root, in_ignored_dir, owner_root, with_target_pid
+from seepage.operators.roots import actor_per_root, in_ignored_dir, measured_closure, owner_root, with_target_pid
 from seepage.plans.fixtures import fixture
 
 
@@ -33,7 +33,7 @@ def owned_writes(writes: DataFrame, roots: DataFrame, actors: DataFrame | None =
     w = w.where(~in_ignored_dir(F.col("target_worktree"), F.col("target_path"), F.col("target_worktree_base")))
     w = w.drop("target_worktree_base")
     if actors is not None:
-        w = with_target_pid(w, actors)
+        w = with_target_pid(w, actors, small=measured_closure(roots)[1])
     return w
 
 

@@ -117,7 +117,7 @@ def ctes_fps() -> list:
 def ctes_actors() -> list:
     return [fx("procs_fx"),
             "proc_own AS (SELECT p.pid, p.ord, arg_max(r.path, length(r.path)) AS worktree FROM procs_fx p JOIN worktrees_fx r "
-            "ON p.cwd = r.path OR starts_with(p.cwd, r.path || '/') WHERE coalesce(p.cwd, '') <> '' GROUP BY p.pid, p.ord)",
+            "ON p.cwd = r.path OR starts_with(p.cwd, r.path || '/') WHERE coalesce(p.cwd, '') <> '' AND p.pid <> 0 GROUP BY p.pid, p.ord)",
             "proc_first AS (SELECT worktree, arg_min(pid, ord) AS agent_pid FROM proc_own GROUP BY worktree)",
             "actors AS (SELECT r.path AS worktree, CAST(coalesce(pf.agent_pid, 0) AS BIGINT) AS agent_pid "
             "FROM (SELECT DISTINCT path FROM worktrees_fx) r LEFT JOIN proc_first pf ON pf.worktree = r.path)"]

@@ -22,11 +22,10 @@ SCALE_CONF = {
 
 def get_session(master: str | None = None, app: str = "seepage",
                 shuffle_partitions: int | None = None,
-                extra: dict | None = None, secure_io: bool = False) -> SparkSession:
-    """secure_io=True encrypts shuffle and spill files (spark.io.encryption.enabled).
-    Raw values and write contents pass through them; deployments handling real
-    secrets should set it (or the same key in the cluster's defaults). Value
-    columns are never checkpointed or written by this library."""
+                extra: dict | None = None, secure_io: bool = True) -> SparkSession:
+    """secure_io encrypts shuffle and spill files (spark.io.encryption.enabled):
+    raw values and write contents pass through them. It only takes effect in a new
+    Spark application; set the same key in a cluster's defaults."""
     b = SparkSession.builder.appName(app)
     if secure_io:
         b = b.config("spark.io.encryption.enabled", "true")
@@ -46,11 +45,13 @@ def get_session(master: str | None = None, app: str = "seepage",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session has none (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Only on a local master (tests) a fresh scratch folder stands in for it; on
+    a cluster a missing setting is an error, as other folders are not shared.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="seepage-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

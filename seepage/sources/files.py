@@ -2,18 +2,20 @@
 
 Spark's file sources skip names starting with '.' or '_' (so '.env' would
 never be read). This source walks the trees on the executors: partitions() only
-lists the first level of each root (cheap, on the driver), each partition walks
-one subtree. Ignored directories are pruned before descending, the name filter
+lists directories near each root, breadth first, until there are enough of them
+(cheap, on the driver), so a tree with one big top directory is split further
+down; each partition reads the files of one listed directory or walks one subtree. Ignored directories are pruned before descending, the name filter
 runs before a file is opened, unreadable entries are skipped, and symlinked
 directories are not followed. One row per (root, file): nested roots each see
 the file, as when each root is walked separately.
 
     spark.dataSource.register(SecretTreeSource)
-    spark.read.format("secret_tree").option("roots", "/a,/b").load()
+    spark.read.format("secret_tree").option("roots", '["/a", "/b"]').load()
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -28,29 +30,38 @@ _NAME_RE = re.compile("(?s)" + glob_alternation() + r"\Z")
 
 
 class TreePartition(InputPartition):
-    def __init__(self, root: str, entry: str | None):
-        self.root, self.entry = root, entry
+    """deep: the whole subtree of ``top``; else only the files directly in it."""
+
+    def __init__(self, root: str, top: str, deep: bool):
+        self.root, self.top, self.deep = root, top, deep
 
 
 class SecretTreeReader(DataSourceReader):
     def __init__(self, options):
-        self.roots = [r for r in options.get("roots", "").split(",") if r]
+        self.roots = [r for r in json.loads(options.get("roots", "[]")) if r]
         self.all_names = options.get("names", "secret") == "all"
+        self.splits = int(options.get("splits", "64"))
 
     def partitions(self):
         parts = []
         for root in self.roots:
             if os.path.basename(root.rstrip("/")) in IGNORED_DIRS:
                 continue
-            parts.append(TreePartition(root, None))  # files directly in the root
-            try:
-                for e in sorted(os.listdir(root)):
-                    p = os.path.join(root, e)
-                    if os.path.isdir(p) and not os.path.islink(p) and e not in IGNORED_DIRS:
-                        parts.append(TreePartition(root, e))
-            except OSError:
-                continue
-        return parts or [TreePartition("", None)]
+            level = [root]
+            while level and len(level) < self.splits:
+                parts += [TreePartition(root, d, False) for d in level]
+                level = [x for d in level for x in self._dirs(d)]
+            parts += [TreePartition(root, d, True) for d in level]
+        return parts or [TreePartition("", "", False)]
+
+    def _dirs(self, d: str) -> list[str]:
+        """Directories to descend into: no links, no ignored names, in order."""
+        try:
+            names = sorted(os.listdir(d))
+        except OSError:
+            return []
+        paths = [(e, os.path.join(d, e)) for e in names]
+        return [p for e, p in paths if e not in IGNORED_DIRS and os.path.isdir(p) and not os.path.islink(p)]
 
     def _want(self, name: str) -> bool:
         return self.all_names or _NAME_RE.match(name) is not None
@@ -62,33 +73,27 @@ class SecretTreeReader(DataSourceReader):
         except OSError:
             return None
 
-    def read(self, partition: TreePartition):
-        root = partition.root
-        if not root:
+    def _files(self, root: str, d: str):
+        try:
+            names = sorted(os.listdir(d))
+        except OSError:
             return
-        if partition.entry is None:
-            try:
-                names = sorted(os.listdir(root))
-            except OSError:
-                return
-            for e in names:
-                p = os.path.join(root, e)
-                if (not os.path.isdir(p) or os.path.islink(p)) and self._want(e):
-                    row = self._read(root, p)
-                    if row:
-                        yield row
+        for e in names:
+            p = os.path.join(d, e)
+            if (not os.path.isdir(p) or os.path.islink(p)) and self._want(e):
+                row = self._read(root, p)
+                if row:
+                    yield row
+
+    def read(self, partition: TreePartition):
+        if not partition.root:
             return
-        top = os.path.join(root, partition.entry)
-        for d, dirs, files in os.walk(top, followlinks=False):
-            dirs[:] = sorted(x for x in dirs if x not in IGNORED_DIRS
-                             and not os.path.islink(os.path.join(d, x)))
-            links = [x for x in os.listdir(d) if os.path.islink(os.path.join(d, x))
-                     and os.path.isdir(os.path.join(d, x))]
-            for f in sorted(set(files) | set(links)):
-                if self._want(f):
-                    row = self._read(root, os.path.join(d, f))
-                    if row:
-                        yield row
+        todo = [partition.top]
+        while todo:
+            d = todo.pop()
+            yield from self._files(partition.root, d)
+            if partition.deep:
+                todo += reversed(self._dirs(d))
 
 
 class SecretTreeSource(DataSource):
@@ -109,4 +114,4 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def read_files(spark, roots: list[str]):
     """(worktree, path, content) for every secret-named file under the roots."""
     spark.dataSource.register(SecretTreeSource)
-    return spark.read.format("secret_tree").option("roots", ",".join(roots)).load()
+    return spark.read.format("secret_tree").option("roots", json.dumps(list(roots))).load()

@@ -47,13 +47,14 @@ def append_leak_events(events: DataFrame, path: str, mode: str = "append") -> No
 
 
 def read_leak_events(spark: SparkSession, path: str) -> DataFrame:
-    """The trail as a DataFrame of the 10 keys; timestamp kept as text
-    plus ``ts`` parsed (UTC)."""
+    """The trail as a DataFrame of the 10 keys, timestamp as text, plus ``ts``:
+    the same parsed (UTC, microseconds), by which trails are ordered."""
     if not _exists(spark, path):
         df = spark.createDataFrame([], TRAIL_SCHEMA)
     else:
         df = spark.read.schema(TRAIL_SCHEMA).option("mode", "FAILFAST").json(path)
-    return trail_records(df)
+    # '' (a missing key) has no time; FAILFAST above is for lines that are not JSON
+    return trail_records(df).withColumn("ts", F.try_to_timestamp(F.col("timestamp")))
 
 
 def redacted_inventory(fps: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from seepage.functions import columns as C
 
 def worktrees_from_listing(listings: DataFrame, id_col: str = "listing_id", text_col: str = "text") -> DataFrame:
     ln = listings.select(id_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-    ln = ln.withColumn("line", F.regexp_replace("raw", "\r+$", ""))
+    ln = ln.withColumn("line", F.regexp_replace("raw", r"\r+\z", ""))
     boundary = (F.col("line") == "") | F.col("line").startswith("worktree ")
     # Each listing is one text (one row before the explode): the window is
     # bounded by that text's line count.

@@ -72,3 +72,41 @@ def test_promote_unknown_hook_and_api(spark):
     ev = api.leaks(writes, files, roots).collect()
     assert [(e.source_worktree, e.target_worktree, e.match_kind) for e in ev] == [("/r/a", "/r/b", "exact")]
     assert s["totals"].first().n_fingerprints == 2
+
+
+def test_values_that_are_not_utf8_keep_their_bytes(spark):
+    """Latin-1, an invalid pair and a white-space byte that is none on its own."""
+    import hashlib
+    from seepage import api
+    raw = b"PASSWORD=caf\xe9-secret-12345\r\n\xa0K=\xff\xfe-abcdefgh\n\xc2\xa0Q = \"\xc2\xa0x\xe9\xe9yyyyyy\"\xe3\x80\x80\n"
+    files = spark.createDataFrame([("/r/a/.env", bytearray(raw))], "path string, content binary")
+    roots = spark.createDataFrame([("/r/a",), ("/r/b",)], "path string")
+    values = [b"caf\xe9-secret-12345", b"\xff\xfe-abcdefgh", b"\xc2\xa0x\xe9\xe9yyyyyy"]
+    got = fingerprints(files, roots).orderBy("ord").collect()
+    assert [r.value_hash for r in got] == [hashlib.sha256(v).hexdigest()[:16] for v in values]
+    assert [bytes(r.value_bin) for r in got] == values
+    writes = spark.createDataFrame([(i, None, "/r/b/x.txt", bytearray(b"xx " + v + b" yy")) for i, v in enumerate(values)],
+                                   "write_id long, ts timestamp_ntz, path string, content binary")
+    assert sorted((e.write_id, e.match_kind) for e in api.leaks(writes, files, roots).collect()) == [(0, "exact"), (1, "exact"), (2, "exact")]
+
+
+def test_pid_zero_does_not_hide_a_later_process(spark):
+    roots = spark.createDataFrame([("/r/a",), ("/r/b",)], "path string")
+    procs = spark.createDataFrame([(0, 1, "/r/a"), (7, 2, "/r/a/x"), (9, 3, "/r/a"), (0, 4, "/r/b")], "pid long, ord long, cwd string")
+    assert {r.worktree: r.agent_pid for r in actor_per_root(procs, roots).collect()} == {"/r/a": 7, "/r/b": 0}
+
+
+def test_many_chained_roots_and_no_broadcast(spark, monkeypatch):
+    """400 roots below one another: each has one direct child; the shuffled way agrees."""
+    from seepage.operators import broadcast as B
+    from seepage.operators.roots import root_closure
+    paths = ["/" + "/".join(f"d{j}" for j in range(i + 1)) for i in range(400)]
+    roots = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert root_closure(roots).selectExpr("max(size(nested)) AS n").first().n == 1
+    rows = spark.createDataFrame([(i, paths[i] + "/f", "content") for i in range(0, 400, 37)] + [(-1, "/other", "x")], "id long, path string, content string")
+    want = {i: paths[i] for i in range(0, 400, 37)}
+    assert {r.id: r.owner for r in owner_root(rows, "path", roots).collect()} == want
+    B.release()
+    monkeypatch.setattr(B.bounded_broadcast, "__defaults__", (None, 0, 0, False))
+    assert {r.id: r.owner for r in owner_root(rows, "path", roots).collect()} == want
+    B.release()

@@ -1,78 +1,71 @@
-"""Randomized parity: the env-line parser and the porcelain parser against a
-plain Python reading of the same rules."""
+"""Randomized tests of the env-line and porcelain parsers.
+
+The inputs are put together from parts whose meaning is known beforehand, so the
+expected rows come from the parts, not from a second parser."""
 
 import random
 
-from seepage.functions.constants import WS_CHARS
 from seepage.operators.fingerprint import env_entries
 from seepage.sources.worktrees import worktrees_from_listing
 
-WS = WS_CHARS
-
-
-def py_env(text):
-    out = []
-    for i, raw in enumerate(text.split("\n")):
-        line = raw.strip(WS)
-        if not line or line.startswith("#"):
-            continue
-        idx = line.find("=")
-        if idx <= 0:
-            continue
-        key, val = line[:idx].strip(WS), line[idx + 1:].strip(WS)
-        if len(val) >= 2 and ((val[0] == val[-1] == '"') or (val[0] == val[-1] == "'")):
-            val = val[1:-1]
-        if val:
-            out.append((i, key, val))
-    return out
-
-
-def py_porcelain(text):
-    wts, cur = [], None
-
-    def flush():
-        nonlocal cur
-        if cur and cur["path"]:
-            wts.append((cur["path"], cur["head"], cur["branch"], cur["bare"]))
-        cur = {"path": "", "head": "", "branch": "", "bare": False}
-
-    flush()
-    for line in text.split("\n"):
-        line = line.rstrip("\r")
-        if line == "":
-            flush()
-        elif line.startswith("worktree "):
-            flush()
-            cur["path"] = line[len("worktree "):].strip(WS)
-        elif line.startswith("HEAD "):
-            cur["head"] = line[len("HEAD "):].strip(WS)
-        elif line.startswith("branch "):
-            cur["branch"] = line[len("branch "):].strip(WS)
-        elif line == "bare":
-            cur["bare"] = True
-    flush()
-    return wts
+BLANKS = ["", " ", "\t", "\r", "\u3000", "\u00a0 ", "  \t"]
+#: line body -> (field, value) or None; white space around it must not matter
+ENV_LINES = {
+    "A=1": ("A", "1"),
+    "key = some value": ("key", "some value"),
+    "export B=2": ("export B", "2"),
+    "D==x=y": ("D", "=x=y"),
+    "Q=\"in quotes\"": ("Q", "in quotes"),
+    "Q=' kept blanks '": ("Q", " kept blanks "),
+    "Q=\"\"inner\"\"": ("Q", "\"inner\""),
+    "Q=\"open": ("Q", "\"open"),
+    "Q='": ("Q", "'"),
+    "C=v # not a comment": ("C", "v # not a comment"),
+    "é=ß\u4e2d": ("é", "ß\u4e2d"),
+    "# A=1": None,
+    "#": None,
+    "": None,
+    "no equals sign": None,
+    "=value only": None,
+    "EMPTY=": None,
+    "BLANK=   \t": None,
+    "QUOTED_EMPTY=\"\"": None,
+}
+#: listing block -> (path, head, branch, bare) or None
+BLOCKS = {
+    "worktree /a\nHEAD 1\nbranch x": ("/a", "1", "x", False),
+    "worktree /b/c\r\nHEAD 2\r\ndetached\r": ("/b/c", "2", "", False),
+    "worktree   /d e  \nbare": ("/d e", "", "", True),
+    "worktree /f\nHEAD 1\nlocked\nHEAD 2\nbranch y\nbranch z": ("/f", "2", "z", False),
+    "worktree /g\nbare \nHEADS 1\nbranch": ("/g", "", "", False),
+    "worktree \nHEAD 9": None,
+    "worktree": None,
+    "HEAD 7\nbranch lost\nbare": None,
+}
 
 
-def test_env_parser_random(spark):
+def test_env_lines(spark):
     rnd = random.Random(11)
-    atoms = ["A", "key", "DB_TOKEN", "=", "==", " ", "\t", "\r", "　", " ", "#", '"', "'", "x y",
-             "export ", "é", "v4l", ""]
-    texts = ["\n".join("".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 7)))
-                       for _ in range(rnd.randint(1, 8))) for _ in range(120)]
-    df = spark.createDataFrame([(f"/r/{i}.env", t) for i, t in enumerate(texts)], "path string, content_str string")
-    df = df.selectExpr("'/r' AS worktree", "path", "content_str", "'env' AS kind")
-    got = {(r.path, r.ord, r.field, r.value) for r in env_entries(df).collect()}
-    want = {(f"/r/{i}.env", o, k, v) for i, t in enumerate(texts) for o, k, v in py_env(t)}
-    assert got == want
+    rows, want = [], set()
+    for i in range(120):
+        lines = [rnd.choice(sorted(ENV_LINES)) for _ in range(rnd.randint(0, 9))]
+        rows.append((f"/r/{i}.env", "\n".join(rnd.choice(BLANKS) + x + rnd.choice(BLANKS) for x in lines)))
+        want |= {(f"/r/{i}.env", k, *ENV_LINES[x]) for k, x in enumerate(lines) if ENV_LINES[x]}
+    df = spark.createDataFrame(rows, "path string, content_str string").selectExpr("'/r' AS worktree", "path", "content_str", "'env' AS kind")
+    assert {(r.path, r.ord, r.field, r.value) for r in env_entries(df).collect()} == want
 
 
-def test_porcelain_parser_random(spark):
+def test_porcelain_blocks(spark):
     rnd = random.Random(5)
-    lines = ["worktree /a", "worktree /b/c", "worktree ", "worktree   /d  ", "HEAD 1", "HEAD 2", "branch x",
-             "branch y", "bare", "detached", "", "\r", "locked", "worktree /e\r"]
-    texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 12))) for _ in range(150)]
-    df = spark.createDataFrame(list(enumerate(texts)), "listing_id long, text string")
-    got = sorted((r.listing_id, r.path, r.head, r.branch, r.bare) for r in worktrees_from_listing(df).collect())
-    want = sorted((i,) + w for i, t in enumerate(texts) for w in py_porcelain(t))
-    assert got == want
+    rows, want = [], []
+    for i in range(150):
+        blocks = [rnd.choice(sorted(BLOCKS)) for _ in range(rnd.randint(0, 6))]
+        # a blank line ends a block; before a "worktree " line it may be missing
+        text = ""
+        for b in blocks:
+            glue = rnd.choice(["\n\n", "\n\r\n", "\n\n\n"] + ["\n"] * b.startswith("worktree "))
+            text += (glue if text else rnd.choice(["", "\n"])) + b
+        rows.append((i, text + rnd.choice(["", "\n", "\n\n"])))
+        want += [(i, *BLOCKS[b]) for b in blocks if BLOCKS[b]]
+    df = spark.createDataFrame(rows, "listing_id long, text string")
+    assert sorted((r.listing_id, r.path, r.head, r.branch, r.bare) for r in worktrees_from_listing(df).collect()) == sorted(want)

@@ -1,9 +1,12 @@
+import json
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
+from seepage import api
 from seepage.functions.constants import EVENT_KEYS
+from seepage.operators import rollups as R
 from seepage.operators.fingerprint import fingerprints_from_tree
 from seepage.sources.files import read_files
 from seepage.sources.trail import append_leak_events, read_leak_events
@@ -58,6 +61,41 @@ def test_secret_tree_source(spark):
         with open(os.path.join(root, rel), "w") as fh:
             fh.write(text)
     rows = read_files(spark, [root])
+    assert api.scan(rows, spark.createDataFrame([(root,)], "path string"))["totals"].first().n_fingerprints == 4
     assert sorted(os.path.relpath(r.path, root) for r in rows.collect()) == [".env", "_u.env", "sub/x.key"]
     fps = fingerprints_from_tree(rows).collect()
     assert sorted(r.field for r in fps) == ["A_KEY", "DB_TOKEN", "DEBUG", "x.key"]
+
+
+def test_tree_source_roots_with_commas_nested_and_deep(spark):
+    base = tempfile.mkdtemp(prefix="seepage-tree-")
+    root = os.path.join(base, "b,c")
+    deep = os.path.join(root, *[f"d{i}" for i in range(12)])
+    os.makedirs(deep)
+    for d in (root, deep, os.path.dirname(deep)):
+        with open(os.path.join(d, ".env"), "w") as fh:
+            fh.write("A_TOKEN=abcdefghijkl\n")
+    inner = os.path.join(root, "d0")
+    for splits in ("1", "3", "64"):
+        from seepage.sources.files import SecretTreeSource
+        spark.dataSource.register(SecretTreeSource)
+        df = spark.read.format("secret_tree").option("roots", json.dumps([root, inner])).option("splits", splits).load()
+        got = sorted((r.worktree, os.path.relpath(r.path, base)) for r in df.collect())
+        files = [os.path.relpath(os.path.join(d, ".env"), base) for d in (root, deep, os.path.dirname(deep))]
+        assert got == sorted([(root, f) for f in files] + [(inner, f) for f in files[1:]])
+
+
+def test_a_read_trail_is_ordered_by_time(spark):
+    """Trailing zeros are dropped in the text, so the text order is another one."""
+    path = os.path.join(tempfile.mkdtemp(prefix="seepage-trail-"), "trail")
+    rows = [(ts, "/r/a", 0, "/r/a/.env", f, "/r/b", 0, "/r/b/x", "exact", "secret")
+            for ts, f in (("2026-01-01 00:00:00.5", "second"), ("2026-01-01 00:00:00", "first"), ("2026-01-01 00:00:01.25", "third"))]
+    ev = spark.createDataFrame(rows, ", ".join(f"{k} {'long' if 'pid' in k else 'string'}" for k in EVENT_KEYS))
+    append_leak_events(ev.withColumn("timestamp", F.to_timestamp("timestamp")), path)
+    back = read_leak_events(spark, path)
+    assert [r.field for r in api.report(back)["ranked"].orderBy("rn").collect()] == ["first", "second", "third"]
+    roots = spark.createDataFrame([("/r/b",)], "path string")
+    m = api.trail_map(roots, back)
+    assert [r.edge_text.split("   ")[1] for r in m["edges"].orderBy("trail_pos").collect()] == ["first=secret", "second=secret", "third=secret"]
+    assert [(r.pos, r.path) for r in m["nodes"].orderBy("pos").collect()] == [(1, "/r/b"), (2, "/r/a")]
+    assert [r.summary[:22] for r in R.event_summary(back).orderBy("trail_pos").collect()] == ["[2026-01-01T00:00:00Z]"] * 2 + ["[2026-01-01T00:00:01Z]"]
