@@ -202,12 +202,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 80, budget: int
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that leak a benchmark item."""
-    name = fresh(docs, "text_hash_of_row")
-    bad = written(leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct(), "leaking")
+    name, leak_id, leak_hash = (fresh(docs, x) for x in ("text_hash_of_row", "leak_id", "leak_hash"))
+    bad = written(leaks(docs, benchmark, **how).select(F.col("doc_id").alias(leak_id), F.col("text_hash").alias(leak_hash)).distinct(), "leaking")
     if bad.count() <= MAX_BROADCAST_ROWS:
         bad = F.broadcast(bad)
     d = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = d["doc_id"].cast("bigint").eqNullSafe(bad["_leak_id"]) & (d[name] == bad["_leak_hash"])
+    same = d["doc_id"].cast("bigint").eqNullSafe(bad[leak_id]) & (d[name] == bad[leak_hash])
     return d.join(bad, same, "left_anti").drop(name)
 
 

@@ -128,11 +128,11 @@ def removed_lines(docs: DataFrame, **how) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with their texts cut down to the lines that stay (lines without words stay)."""
-    name = fresh(docs, "gone_lines")
-    gone = removed_lines(docs, **how).where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("no").alias(name))
-    d = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+    name, key = fresh(docs, "gone_lines"), fresh(docs, "gone_id")
+    gone = removed_lines(docs, **how).where("removed").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("no").alias(name))
+    d = docs.join(gone, docs["doc_id"] == gone[key], "left")
     keep = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col(name), i), F.lit(False)) | (F.btrim(x, F.lit(GAPS)) == ""))
-    return d.withColumn("text", F.array_join(keep, "\n")).drop("_id", name)
+    return d.withColumn("text", F.array_join(keep, "\n")).drop(key, name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

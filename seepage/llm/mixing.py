@@ -37,6 +37,8 @@ GAPS = " \t\n\x0b\f\r"
 FEATURES = ("lang", "length", "lines", "non_ascii", "upper")
 #: More domains than this are an error: a step returns one sum for each.
 MAX_DOMAINS = 1000
+#: Up to this many cells their rates are broadcast to the documents; beyond it the join shuffles.
+MAX_BROADCAST_CELLS = 200_000
 
 
 def _features(docs: DataFrame, name: str, domain: str) -> DataFrame:
@@ -138,19 +140,20 @@ def rate(posterior: Column, history: list[list[float]], eta: float, ridge: float
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", ridge: float = 0.01, **how) -> DataFrame:
-    """docs with one struct column ``mixing``-like (name: the last column): tokens, domain, rate, kept."""
-    name = fresh(docs, "mixing_stats")
+    """docs with one more struct column, the last: tokens, domain, rate, kept."""
+    name, cell, own_cell, own_rate = (fresh(docs, x) for x in ("mixing_stats", "mixing_cell", "fitted_cell", "fitted_rate"))
     d = _features(docs, name, domain)
     cells, known, history, eta = fit(d, labels, name, domain=domain, ridge=ridge, **how)
     # One rate a cell: few rows, bounded by the product of the bins.
-    rates = written(cells.select(F.struct(*FEATURES).alias("_cell"), F.round(rate(F.col("posterior"), history, eta, ridge), 6).alias("_rate")), "rates")
-    top = rates.agg(F.max("_rate").alias("m")).first()["m"] or 1.0
+    rates = written(cells.select(F.struct(*FEATURES).alias(own_cell), F.round(rate(F.col("posterior"), history, eta, ridge), 6).alias(own_rate)), "rates")
+    top = rates.agg(F.max(own_rate).alias("m")).first()["m"] or 1.0
     f = F.col(name)
-    d = d.withColumn(fresh(docs, "mixing_cell"), F.struct(*[f[k].alias(k) for k in FEATURES]))
-    cell = d.columns[-1]
-    out = d.join(F.broadcast(rates), d[cell] == rates["_cell"], "left")
+    d = d.withColumn(cell, F.struct(*[f[k].alias(k) for k in FEATURES]))
+    if rates.count() <= MAX_BROADCAST_CELLS:
+        rates = F.broadcast(rates)
+    out = d.join(rates, d[cell] == rates[own_cell], "left")
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col("_rate").alias("rate"), (u < F.col("_rate") / top).alias("kept"))).drop(cell, "_cell", "_rate")
+    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col(own_rate).alias("rate"), (u < F.col(own_rate) / top).alias("kept"))).drop(cell, own_cell, own_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, stats string, quality_stats int, _kept_id int, anchor string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, stats string, quality_stats int, kept_id int, anchor string"
 
 
 def words(rng, n, vocab=60):
