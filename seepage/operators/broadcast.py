@@ -87,3 +87,16 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
         res = (df, False)
     _CHECKED.setdefault(key, []).append((orig, res))
     return res
+
+
+def broadcast_slices(df: DataFrame, key: str, width: Column) -> list[DataFrame]:
+    """df as one or more broadcast sides that each fit the bound: parts by the hash of
+    ``key``, as many as the measured size asks for. A join with each part and the union of
+    the results is the join with df, with the same plan for every size, and the other
+    side (contents) is never shuffled."""
+    df = hold(df)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width + F.lit(32)), F.lit(0)).alias("b")).first()
+    n = max(1, -(-row["n"] // max(1, MAX_BROADCAST_ROWS)), -(-row["b"] // max(1, MAX_BROADCAST_BYTES)))
+    if n == 1:
+        return [F.broadcast(df)]
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(n)]

@@ -5,25 +5,29 @@ Inputs
   fps:    fp_worktree, fp_path, fp_ord, secret_field, classification, value_bin, vlen
 Fingerprint key = (fp_worktree, fp_path, fp_ord); one event per (write, key).
 
-J5 exact, aligned q-gram join (per write, map-only). A value of L >= q + k - 1 bytes occurring at
-byte p covers the content q-gram at the next multiple of k, a = p + c with
-c = (-p) mod k, and that gram equals the value's gram at offset c. So content
-emits only every k-th q-gram (n/k rows), a value emits its grams at offsets
-0..k-1, and an equi-join on the gram finds every occurrence. Each hit is
-verified in place (same stage, content still in the row): bytes at p equal the
-value, and no earlier occurrence exists, so exactly one row per (write, key)
-survives without a dedup shuffle.
+Matching runs on the distinct values (nested roots and copied files repeat them); what a
+write matched is joined back to the fingerprints afterwards, on value ids, where the
+other-domain rule (J4) applies. Contents take part map-side only: probe tables are broadcast
+in as many bounded slices as their measured size asks for, and everything that is
+shuffled is thin (ids, positions, counts).
+
+J5 exact, aligned q-gram join. Fix an offset s of the value, s <= L - (q + k - 1). A value
+at byte p of the content covers the content q-gram at the next multiple of k from p + s on,
+a = p + s + c with c < k, and that gram equals the value's gram at offset s + c. So content
+emits every k-th q-gram, a value emits its grams at offsets s .. s + k - 1, and an equi-join
+finds every occurrence, for any s: the one is taken whose grams are rarest among the values,
+so common beginnings ("-----BEGIN", "postgres://") are not probed. Each hit is verified in
+place: bytes at p equal the value, and no earlier occurrence exists.
 
 J6 fuzzy, trigram prefix filter. A window W matches V iff 10|W∩V| >= 9|W∪V|,
 which needs |W∩V| >= m = ceil(0.9 T), T = |trigrams(V)|. So among any
 T - m + h trigrams of V, W holds at least h (pigeonhole). V emits its
 T - m + h rarest trigrams (rarity = frequency among all values, h = 2); the
-content emits every trigram position. The join plus a per-pair count of
-distinct hits (>= h) yields candidates with positions; a window holding the
-trigram at t starts in [t - L + 3, t]. Candidates are reduced to
-(min t, max t) (partial aggregation, thin rows), brought back to the
-content, and tested window by window, exact pairs excluded. All of this runs
-once per distinct content (SHA-256); matches fan out to the writes carrying it.
+content emits every trigram position. Hits are counted per content hash, value and stretch of
+two buckets of L positions (a window starting in bucket b ends before bucket b + 2), so far
+apart hits do not add up; copies of a content collapse in the partial aggregation.
+Stretches with enough distinct hits come back to the contents by broadcast, and the
+windows that can hold them, at most 2 L bytes, are tested; exact pairs are excluded.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.functions.similarity import fuzzy_window_udf
-from seepage.operators.broadcast import bounded_broadcast, hold
+from seepage.operators.broadcast import broadcast_slices, hold
 
 FP_KEY = ["fp_worktree", "fp_path", "fp_ord"]
 FP_ATTRS = FP_KEY + ["secret_field", "classification", "value_bin", "vlen"]
@@ -67,109 +71,118 @@ def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
                                             (F.lit(total) - F.coalesce("c", F.lit(0))).cast("bigint").alias("n_candidates"))
 
 
-def exact_matches(writes: DataFrame, fps: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
-    """J5 on writes, map-only: probe the broadcast grams, verify the bytes at
-    the implied offset, keep the first occurrence; the other-domain rule (J4)
-    is a join residual. One row per (write, fingerprint key)."""
+def distinct_values(fps: DataFrame) -> DataFrame:
+    """vid, value_bin, vlen: the values that take part in matching, once each."""
+    v = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN).select("value_bin", "vlen").distinct()
+    return v.select(F.unhex(F.md5("value_bin")).alias("vid"), "value_bin", "vlen")
+
+
+def rare_grams(values: DataFrame, q: int, k: int) -> DataFrame:
+    """(vid, off, g): each value's k consecutive q-grams whose commonest is rarest."""
+    g = values.select("vid", "vlen", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.col("vlen") - q), lambda i: F.substring("value_bin", i + 1, q))).alias("off", "g"))
+    freq = g.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
+    g = g.join(freq, "g")
+    # bounded by one value's length
+    run = Window.partitionBy("vid").orderBy("off").rowsBetween(0, k - 1)
+    worst = F.max("_df").over(run)
+    start = (g.select("vid", "vlen", "off", worst.alias("_w")).where(F.col("off") <= F.col("vlen") - (q + k - 1))
+              .groupBy("vid").agg(F.min(F.struct("_w", "off"))["off"].alias("_s")))
+    g = g.join(start, "vid").where((F.col("off") >= F.col("_s")) & (F.col("off") < F.col("_s") + k))
+    return g.select("vid", "off", "g")
+
+
+def exact_values(writes: DataFrame, values: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
+    """J5, map-only on the writes: (write columns without content, vid)."""
     assert q + k - 1 <= K.MIN_MATCH_LEN
-    grams = (fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
-                .select(*FP_ATTRS, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_c"))
-                .withColumn("_g", F.substring("value_bin", F.col("_c") + 1, q)))
-    grams, _ = bounded_broadcast(grams, width=F.col("vlen") + F.lit(q + 48), sensitive=True)
+    grams = rare_grams(values, q, k).withColumnRenamed("vid", "_gv").join(values, F.col("_gv") == F.col("vid")).drop("_gv")
     w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
     w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
     w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
-    j = w.join(grams, (w["_wg"] == grams["_g"]) & (w["target_worktree"] != grams["fp_worktree"]))
-    p = F.col("_a") - F.col("_c")
-    j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
-    j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
-    first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
-    return (j.where(first).drop("_n", "_a", "_wg", "_g", "_c", "content_bin", "value_bin")
-             .withColumn("match_kind", F.lit(K.MATCH_EXACT)))
-
-
-def prefix_trigrams(fps: DataFrame, hits: int = 2) -> DataFrame:
-    """Per fingerprint: its P = min(T, T - m + hits) rarest distinct trigrams,
-    m = ceil(0.9 T), and ``_need`` = P - (T - m): a matching window misses at
+    out = None
+    for side in broadcast_slices(grams, "vid", F.col("vlen") + F.lit(q + 64)):
+        j = w.join(side, w["_wg"] == side["g"])
+        p = F.col("_a") - F.col("off")
+        j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
+        j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
+        first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
+        j = j.where(first).drop("_n", "_a", "_wg", "g", "off", "vlen", "content_bin", "value_bin")
+        out = j if out is None else out.unionByName(j)
+    return out
+
+
+def prefix_trigrams(values: DataFrame, hits: int = 2) -> DataFrame:
+    """(vid, vlen, _tri, _need): per value its P = min(T, T - m + hits) rarest distinct
+    trigrams, m = ceil(0.9 T), and ``_need`` = P - (T - m): a matching window misses at
     most T - m trigrams of V, so it holds at least ``_need`` of these P."""
-    f = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
-    f = f.withColumn("_vt", C.trigrams(F.col("value_bin")))
-    tri = f.select(*FP_ATTRS, F.size("_vt").alias("_ntri"), F.explode("_vt").alias("_tri"))
+    f = values.withColumn("_vt", C.trigrams(F.col("value_bin")))
+    tri = f.select("vid", "vlen", F.size("_vt").alias("_ntri"), F.explode("_vt").alias("_tri"))
     freq = tri.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
     tri = tri.join(freq, "_tri")
-    r = F.row_number().over(Window.partitionBy(*FP_KEY).orderBy("_df", "_tri"))
+    r = F.row_number().over(Window.partitionBy("vid").orderBy("_df", "_tri"))
     slack = F.col("_ntri") - F.expr("CAST((9 * _ntri + 9) DIV 10 AS BIGINT)")  # T - m
     p = F.least(F.col("_ntri"), slack + F.lit(hits))
     tri = tri.withColumn("_r", r).where(F.col("_r") <= p)
-    return tri.withColumn("_need", p - slack).drop("_r", "_df", "_ntri")
-
+    return tri.select("vid", "vlen", "_tri", (p - slack).alias("_need"))
 
-def distinct_contents(writes: DataFrame) -> DataFrame:
-    """_ch (SHA-256 of the bytes), content_bin: one row per distinct content.
 
-    Copies are collapsed map-side first (partial aggregation), so a hot group
-    of identical writes ships one row per task, never a hot reducer."""
-    return (writes.select(F.sha2("content_bin", 256).alias("_ch"), "content_bin")
-                  .dropDuplicates(["_ch"]))
-
-
-def fuzzy_candidates(contents: DataFrame, fps: DataFrame, hits: int = 2) -> DataFrame:
-    """(_ch, fingerprint attrs, win_lo, win_hi) for contents holding at least
+def fuzzy_candidates(contents: DataFrame, values: DataFrame, hits: int = 2) -> DataFrame:
+    """(_ch, vid, win_lo, win_hi): stretches of contents (_ch, content_bin) with at least
     ``_need`` distinct prefix trigrams of the value (necessary, not sufficient)."""
-    pre, _ = bounded_broadcast(prefix_trigrams(fps, hits), width=F.col("vlen") + F.lit(64), sensitive=True)
     w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3)
     w = _positions(w, F.col("_n"), F.col("_n") - 3, 1, "_pos")
     w = w.withColumn("_wt", F.substring("content_bin", F.col("_pos") + 1, 3)).drop("content_bin")
-    j = w.join(pre, w["_wt"] == pre["_tri"])
-    g = j.groupBy("_ch", *FP_ATTRS, "_need").agg(
-        F.size(F.collect_set("_tri")).alias("_hits"), F.min("_pos").alias("_tmin"), F.max("_pos").alias("_tmax"))
-    g = g.where(F.col("_hits") >= F.col("_need"))
-    return g.select("_ch", *FP_ATTRS, (F.col("_tmin") - F.col("vlen") + 3).alias("win_lo"),
-                    F.col("_tmax").alias("win_hi"))
-
-
-def fuzzy_on_contents(contents: DataFrame, fps: DataFrame) -> tuple[DataFrame, bool]:
-    """J6 core on (_ch, content_bin): not exact, some window Jaccard >= 0.9.
-    Also returns whether the candidates passed the broadcast bound."""
-    cand, small = bounded_broadcast(fuzzy_candidates(contents, fps), width=F.col("vlen") + F.lit(96), sensitive=True)
-    cand = cand.withColumnRenamed("_ch", "_cch")
-    v = contents.join(cand, contents["_ch"] == cand["_cch"]).drop("_cch")
-    v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
-    v = v.where(fuzzy_window_udf("content_bin", "value_bin", "win_lo", "win_hi"))
-    return v.select("_ch", *FP_ATTRS, F.lit(K.MATCH_FUZZY).alias("match_kind")), small
-
-
-def fuzzy_matches(writes: DataFrame, fps: DataFrame) -> DataFrame:
-    """J6 on writes: run once per distinct content (copies collapse map-side
-    before the one content shuffle, so copies cannot multiply candidates or
-    make a hot reducer), then fan the per-content matches, a small relation,
-    out to the writes through a size-checked broadcast join where the
-    other-domain rule (J4) applies."""
-    contents = hold(distinct_contents(writes))
-    m, cand_small = fuzzy_on_contents(contents, fps)
-    m = m.drop("value_bin").withColumnRenamed("_ch", "_mch")  # verified: the value is no longer needed
-    # Hits are a filtered subset of the candidates with narrower rows: when
-    # the candidates passed the bound, so do the hits (proven, not measured).
-    hits = F.broadcast(m) if cand_small else bounded_broadcast(m, width=F.lit(128))[0]
-    w = writes.withColumn("_ch", F.sha2("content_bin", 256)).drop("content_bin")
-    out = w.join(hits, (w["_ch"] == hits["_mch"]) & (w["target_worktree"] != hits["fp_worktree"]))
-    return out.drop("_ch", "_mch")
+    out = None
+    for side in broadcast_slices(prefix_trigrams(values, hits), "vid", F.lit(64)):
+        j = w.join(side, w["_wt"] == side["_tri"])
+        b = F.floor(F.col("_pos") / F.col("vlen"))
+        j = j.select("_ch", "vid", "vlen", "_need", "_pos", "_tri", F.explode(F.array(b, b - 1)).alias("_b")).where("_b >= 0")
+        g = j.groupBy("_ch", "vid", "vlen", "_need", "_b").agg(
+            F.size(F.collect_set("_tri")).alias("_hits"), F.min("_pos").alias("_tmin"), F.max("_pos").alias("_tmax"))
+        g = g.where(F.col("_hits") >= F.col("_need"))
+        lo = F.greatest(F.col("_b") * F.col("vlen"), F.col("_tmin") - F.col("vlen") + 3, F.lit(0))
+        hi = F.least((F.col("_b") + 1) * F.col("vlen") - 1, F.col("_tmax"))
+        g = g.select("_ch", "vid", lo.cast("int").alias("win_lo"), hi.cast("int").alias("win_hi")).where("win_lo <= win_hi")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def fuzzy_values(writes: DataFrame, values: DataFrame) -> DataFrame:
+    """(write columns without content, vid)."""
+    w = writes.withColumn("_ch", F.unhex(F.sha2("content_bin", 256)))
+    cand = fuzzy_candidates(w.select("_ch", "content_bin"), values).join(values, "vid").withColumnRenamed("_ch", "_cch")
+    out = None
+    for side in broadcast_slices(cand, "_cch", F.col("vlen") + F.lit(112)):
+        v = w.join(side, w["_ch"] == side["_cch"])
+        v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
+        # only the bytes of the windows go to Python; a shorter content is compared whole
+        n = F.octet_length("content_bin")
+        part = F.when(n < F.col("vlen"), F.col("content_bin")).otherwise(
+            F.substring("content_bin", F.col("win_lo") + 1, F.col("win_hi") - F.col("win_lo") + F.col("vlen")))
+        v = v.withColumn("_part", part).withColumn("_last", F.col("win_hi") - F.col("win_lo")).drop("content_bin")
+        v = v.where(fuzzy_window_udf("_part", "value_bin", F.lit(0), "_last"))
+        v = v.drop("_ch", "_cch", "_part", "_last", "value_bin", "vlen", "win_lo", "win_hi").dropDuplicates(["write_id", "vid"])
+        out = v if out is None else out.unionByName(v)
+    return out
 
 
 def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:
     """J7 core: exact else fuzzy (fuzzy pairs exclude exact ones), one row per
-    (write, fingerprint key). The fingerprints feed both probe tables and are
-    held once (memory + disk; lost blocks are recomputed from lineage)."""
+    (write, fingerprint key). The fingerprints and their distinct values feed several
+    tables and are held (memory + disk; lost blocks are recomputed from lineage)."""
     fps = hold(fps)
+    values = hold(distinct_values(fps))
     parts = []
     if "exact" in kinds:
-        parts.append(exact_matches(writes, fps))
+        parts.append(exact_values(writes, values).withColumn("match_kind", F.lit(K.MATCH_EXACT)))
     if "fuzzy" in kinds:
-        parts.append(fuzzy_matches(writes, fps))
-    out = parts[0]
+        parts.append(fuzzy_values(writes, values).withColumn("match_kind", F.lit(K.MATCH_FUZZY)))
+    found = parts[0]
     for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+        found = found.unionByName(extra)
+    keys = fps.select(*FP_KEY, "secret_field", "classification", "vlen", F.unhex(F.md5("value_bin")).alias("_fv"))
+    j = found.join(keys, (found["vid"] == keys["_fv"]) & (found["target_worktree"] != keys["fp_worktree"]))
+    return j.drop("vid", "_fv")
 
 
 def event_columns(m: DataFrame) -> DataFrame:

@@ -105,3 +105,23 @@ def test_long_content_windows_parity(spark):
                 want.add((wid, f, k))
     got = {(e.write_id, e.secret_field, e.match_kind) for e in run(spark, fps, writes)}
     assert got == want and len(want) > 10
+
+
+def test_slices_give_the_same_result(spark, monkeypatch):
+    """Probe tables beyond the broadcast bound: several slices, no other plan."""
+    from seepage.operators import broadcast as B
+    rnd = random.Random(3)
+    values = ["-----BEGIN KEY-----" + "".join(rnd.choice("abcdef0123") for _ in range(rnd.randint(8, 40))) for _ in range(20)]
+    fps = [(f"wt-{i % 2}", f"F{i}", v) for i, v in enumerate(values)]
+    writes = [(i, "-" * rnd.randint(0, 50) + (v if i % 3 else v[:-1] + "Z") + "-" * 9, "wt-9", f"/w/{i}", 0) for i, v in enumerate(values)]
+    one = sorted(map(str, run(spark, fps, writes)))
+    monkeypatch.setattr(B, "MAX_BROADCAST_ROWS", 7)
+    assert sorted(map(str, run(spark, fps, writes))) == one and len(one) == 20
+
+
+def test_common_beginnings_are_not_probed(spark):
+    """The probe grams of a value lie where values differ."""
+    from seepage.operators.match import distinct_values, rare_grams
+    fps = [("wt-a", f"F{i}", "-----BEGIN RSA PRIVATE KEY-----" + f"{i * 7919:09d}") for i in range(200)]
+    g = rare_grams(distinct_values(fps_df(spark, fps)), 4, 5).collect()
+    assert len(g) == 1000 and min(r.off for r in g) >= 20
