@@ -32,6 +32,8 @@ windows that can hold them, at most 2 L bytes, are tested; exact pairs are exclu
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,15 +94,39 @@ def rare_grams(values: DataFrame, q: int, k: int) -> DataFrame:
     return g.select("vid", "off", "g")
 
 
-def exact_values(writes: DataFrame, values: DataFrame, q: int = 4, k: int = 5) -> DataFrame:
+_Q, _STRIDE = 4, 5  # together at most MIN_MATCH_LEN + 1 bytes
+
+
+@dataclass
+class Probes:
+    """What matching needs of the fingerprints: built once, used for any number of write
+    batches (a stream's index is fixed at start). All parts are held until release()."""
+    fps: DataFrame
+    values: DataFrame
+    grams: list[DataFrame]
+    prefixes: list[DataFrame]
+
+
+def probe_tables(fps: DataFrame, kinds=("exact", "fuzzy"), hits: int = 2) -> Probes:
+    fps = hold(fps)
+    values = hold(distinct_values(fps))
+    grams, prefixes = [], []
+    if "exact" in kinds:
+        g = rare_grams(values, _Q, _STRIDE).withColumnRenamed("vid", "_gv").join(values, F.col("_gv") == F.col("vid")).drop("_gv")
+        grams = broadcast_slices(g, "vid", F.col("vlen") + F.lit(_Q + 64))
+    if "fuzzy" in kinds:
+        prefixes = broadcast_slices(prefix_trigrams(values, hits), "vid", F.lit(64))
+    return Probes(fps, values, grams, prefixes)
+
+
+def exact_values(writes: DataFrame, sides: list[DataFrame], q: int = _Q, k: int = _STRIDE) -> DataFrame:
     """J5, map-only on the writes: (write columns without content, vid)."""
     assert q + k - 1 <= K.MIN_MATCH_LEN
-    grams = rare_grams(values, q, k).withColumnRenamed("vid", "_gv").join(values, F.col("_gv") == F.col("vid")).drop("_gv")
     w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
     w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
     w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
     out = None
-    for side in broadcast_slices(grams, "vid", F.col("vlen") + F.lit(q + 64)):
+    for side in sides:
         j = w.join(side, w["_wg"] == side["g"])
         p = F.col("_a") - F.col("off")
         j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
@@ -126,14 +152,14 @@ def prefix_trigrams(values: DataFrame, hits: int = 2) -> DataFrame:
     return tri.select("vid", "vlen", "_tri", (p - slack).alias("_need"))
 
 
-def fuzzy_candidates(contents: DataFrame, values: DataFrame, hits: int = 2) -> DataFrame:
+def fuzzy_candidates(contents: DataFrame, sides: list[DataFrame]) -> DataFrame:
     """(_ch, vid, win_lo, win_hi): stretches of contents (_ch, content_bin) with at least
     ``_need`` distinct prefix trigrams of the value (necessary, not sufficient)."""
     w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3)
     w = _positions(w, F.col("_n"), F.col("_n") - 3, 1, "_pos")
     w = w.withColumn("_wt", F.substring("content_bin", F.col("_pos") + 1, 3)).drop("content_bin")
     out = None
-    for side in broadcast_slices(prefix_trigrams(values, hits), "vid", F.lit(64)):
+    for side in sides:
         j = w.join(side, w["_wt"] == side["_tri"])
         b = F.floor(F.col("_pos") / F.col("vlen"))
         j = j.select("_ch", "vid", "vlen", "_need", "_pos", "_tri", F.explode(F.array(b, b - 1)).alias("_b")).where("_b >= 0")
@@ -147,10 +173,10 @@ def fuzzy_candidates(contents: DataFrame, values: DataFrame, hits: int = 2) -> D
     return out
 
 
-def fuzzy_values(writes: DataFrame, values: DataFrame) -> DataFrame:
+def fuzzy_values(writes: DataFrame, values: DataFrame, sides: list[DataFrame]) -> DataFrame:
     """(write columns without content, vid)."""
     w = writes.withColumn("_ch", F.unhex(F.sha2("content_bin", 256)))
-    cand = fuzzy_candidates(w.select("_ch", "content_bin"), values).join(values, "vid").withColumnRenamed("_ch", "_cch")
+    cand = fuzzy_candidates(w.select("_ch", "content_bin"), sides).join(values, "vid").withColumnRenamed("_ch", "_cch")
     out = None
     for side in broadcast_slices(cand, "_cch", F.col("vlen") + F.lit(112)):
         v = w.join(side, w["_ch"] == side["_cch"])
@@ -166,17 +192,17 @@ def fuzzy_values(writes: DataFrame, values: DataFrame) -> DataFrame:
     return out
 
 
-def leak_matches(writes: DataFrame, fps: DataFrame, kinds=("exact", "fuzzy")) -> DataFrame:
+def leak_matches(writes: DataFrame, fps: DataFrame | Probes, kinds=("exact", "fuzzy")) -> DataFrame:
     """J7 core: exact else fuzzy (fuzzy pairs exclude exact ones), one row per
-    (write, fingerprint key). The fingerprints and their distinct values feed several
-    tables and are held (memory + disk; lost blocks are recomputed from lineage)."""
-    fps = hold(fps)
-    values = hold(distinct_values(fps))
+    (write, fingerprint key). The fingerprints, their distinct values and the probe tables
+    are held (memory + disk; lost blocks are recomputed from lineage)."""
+    probes = fps if isinstance(fps, Probes) else probe_tables(fps, kinds)
+    fps = probes.fps
     parts = []
     if "exact" in kinds:
-        parts.append(exact_values(writes, values).withColumn("match_kind", F.lit(K.MATCH_EXACT)))
+        parts.append(exact_values(writes, probes.grams).withColumn("match_kind", F.lit(K.MATCH_EXACT)))
     if "fuzzy" in kinds:
-        parts.append(fuzzy_values(writes, values).withColumn("match_kind", F.lit(K.MATCH_FUZZY)))
+        parts.append(fuzzy_values(writes, probes.values, probes.prefixes).withColumn("match_kind", F.lit(K.MATCH_FUZZY)))
     found = parts[0]
     for extra in parts[1:]:
         found = found.unionByName(extra)

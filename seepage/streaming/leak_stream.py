@@ -1,5 +1,5 @@
 """ST1 leak_stream + ST2 sink: writes arrive as a stream; each micro-batch is
-matched (the batch job J7) against a fingerprint snapshot fixed at start.
+matched (the batch job J7) against an index, roots and actors fixed at start.
 
 Stateless: no streaming aggregation or join state. The gram joins need
 distinct/group-by, so they run inside ``foreachBatch`` on the micro-batch as a
@@ -16,7 +16,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from seepage.operators.broadcast import scoped
 from seepage.operators.fingerprint import as_match_side
-from seepage.operators.match import event_columns, leak_matches
+from seepage.operators.match import Probes, event_columns, leak_matches, probe_tables
+from seepage.operators.roots import measured_closure
 from seepage.plans import jobs
 from seepage.plans.fixtures import fixture
 from seepage.session import scratch_path
@@ -38,20 +39,19 @@ def write_stream(spark: SparkSession, log_dir: str, schema: StructType = WRITE_L
 
 
 def snapshot(df: DataFrame) -> DataFrame:
-    """Materialise the fingerprint index once at start. It carries raw values,
-    so it is held in executor memory (spilling to local disk), never written
-    to shared storage; blocks lost with an executor are recomputed."""
+    """A dimension as it is at start, held in memory (spilling to local disk); blocks
+    lost with an executor are recomputed."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     return df
 
 
-def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFrame, trail_dir: str):
+def leak_batch_writer(probes: Probes, roots: DataFrame, actors: DataFrame, trail_dir: str):
     """foreachBatch body: J7 on the micro-batch, events to trail/batch_id=N."""
     def run(batch: DataFrame, batch_id: int) -> None:
         with scoped():
             owned = jobs.owned_writes(batch, roots, actors)
-            ev = event_columns(leak_matches(owned, fps_snapshot))
+            ev = event_columns(leak_matches(owned, probes))
             append_leak_events(ev, f"{trail_dir}/batch_id={batch_id}", mode="overwrite")
     return run
 
@@ -59,9 +59,11 @@ def leak_batch_writer(fps_snapshot: DataFrame, roots: DataFrame, actors: DataFra
 def run_leak_stream(spark: SparkSession, log_dir: str, fps: DataFrame, roots: DataFrame,
                     actors: DataFrame, trail_dir: str, checkpoint: str, available_now: bool = True,
                     max_files_per_trigger: int | None = None):
-    fps_snap = snapshot(as_match_side(fps))
+    probes = probe_tables(as_match_side(fps))
+    roots, actors = snapshot(roots), snapshot(actors)
+    measured_closure(roots)  # measured and held once; batches find it
     q = (write_stream(spark, log_dir, max_files_per_trigger=max_files_per_trigger).writeStream
-         .foreachBatch(leak_batch_writer(fps_snap, roots, actors, trail_dir))
+         .foreachBatch(leak_batch_writer(probes, roots, actors, trail_dir))
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 second")
     return q.start()

@@ -63,3 +63,33 @@ def test_stream_matches_batch(spark):
     key = lambda r: (r.target_path, r.source_path, r.match_kind, r.target_agent_pid)
     assert sorted(map(key, streamed.collect())) == sorted(map(key, batch.collect()))
     assert streamed.count() == 10
+
+
+def test_stream_releases_what_a_batch_keeps(spark):
+    from seepage.operators import broadcast as B
+    roots = spark.createDataFrame([("/r/a",), ("/r/b",)], "path string")
+    files = spark.createDataFrame([("/r/a/.env", "DB_TOKEN=super-secret-token-1234567890\n")], "path string, content string")
+    actors = spark.createDataFrame([("/r/a", 0), ("/r/b", 4242)], "worktree string, agent_pid long")
+    d = tempfile.mkdtemp(prefix="seepage-stream-")
+    for i in range(5):
+        rows = [(i, None, f"/r/b/f{i}.txt", "x super-secret-token-1234567890 y", "write" if i % 2 == 0 else "remove")]
+        spark.createDataFrame(rows, "write_id long, ts timestamp_ntz, path string, content string, kind string").coalesce(1).write.mode("append").parquet(os.path.join(d, "log"))
+    B.release()
+    held = []
+    from seepage.streaming import leak_stream as L
+    real = L.append_leak_events
+
+    def counted(ev, path, mode="append"):
+        real(ev, path, mode=mode)
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+
+    L.append_leak_events = counted
+    try:
+        q = run_leak_stream(spark, os.path.join(d, "log"), fingerprints(files, roots), roots, actors, os.path.join(d, "trail"),
+                            os.path.join(d, "ckpt"), max_files_per_trigger=1)
+        q.awaitTermination()
+    finally:
+        L.append_leak_events = real
+    assert len(held) == 5 and len(set(held)) == 1
+    assert read_leak_events(spark, os.path.join(d, "trail")).count() == 3
+    B.release()
