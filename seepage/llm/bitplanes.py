@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import clean_docs, shared_path, table
+from seepage.llm.common import clean_docs, shared_path, small_batches, table
 
 MAGIC = b"IDPLANE1"
 END_ID = 1
@@ -266,7 +266,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, block: int = 1 << 16,
 
     h = F.xxhash64("text")
     ordered = clean_docs(docs).repartitionByRange(F.col("doc_id").asc_nulls_first(), h).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), h, "text")
-    rows = ordered.mapInArrow(run, "part bigint, seq bigint, file string, docs bigint, ids bigint").collect()
+    with small_batches(docs.sparkSession):
+        rows = ordered.mapInArrow(run, "part bigint, seq bigint, file string, docs bigint, ids bigint").collect()
     return [(r.file, r.docs, r.ids) for r in sorted(rows, key=lambda r: (r.part, r.seq))]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +38,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """What runs inside hands at most so many rows at a time to Python, so that the
+    memory of workers does not depend on how long the rows' texts are. (Spark's own
+    default of 10,000 documents is 30 MB in each of several copies.)"""
+    was = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, was)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: later plans
     start at the files, which survive the loss of executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -131,3 +149,34 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+class Packed:
+    """State that pickles its arrays as bytes and reads them in place afterwards. (With
+    spark.io.encryption.enabled, Spark cannot broadcast large arrays as they are.)"""
+
+    def __getstate__(self) -> dict:
+        return {k: _pack(v) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update({k: _unpack(v) for k, v in state.items()})
+
+
+class _Array(tuple):
+    """(dtype, shape, bytes)"""
+
+
+def _pack(x):
+    if isinstance(x, np.ndarray):
+        return _Array((x.dtype.str, x.shape, x.tobytes()))
+    if isinstance(x, (list, tuple)) and any(isinstance(v, (np.ndarray, list, tuple)) for v in x):
+        return type(x)(_pack(v) for v in x)
+    return x
+
+
+def _unpack(x):
+    if isinstance(x, _Array):
+        return np.frombuffer(x[2], x[0]).reshape(x[1])
+    if isinstance(x, (list, tuple)) and any(isinstance(v, (_Array, list, tuple)) for v in x):
+        return type(x)(_unpack(v) for v in x)
+    return x

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import clean_docs, table
+from seepage.llm.common import clean_docs, table, written
 from seepage.llm.tagger import KINDS, Tagger, tags_of
 
 Span = tuple[str, int, int]
@@ -197,7 +197,7 @@ def find_pii(docs: DataFrame, width: int = 96, max_windows: int = 400, least: fl
                      pa.array([len(x) - len(y) for x, y in zip(all_, base_)], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return written(docs.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"), "personal-data")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ windows have equal anchors, and consecutive windows mostly share one.
 1. Each document's distinct anchors are shuffled (a fifth of its words); anchors that only
    one document has go: their windows occur nowhere else.
 2. For the rest, the runs of consecutive windows of one anchor are cut out as segments.
-   Equal segments of a batch become one with the least and largest doc_id, so what many
-   documents share is sent once for each batch. Anchors of very many documents are split by
+   Equal segments of some ten thousand documents become one with the least and largest doc_id, so what many
+   documents share is sent once for each of these. Anchors of very many documents are split by
    the windows' second-least hash, which equal windows share too.
 3. Segments are dealt out by anchor. A task takes them in order of anchor in shards of about
    ``shard_words`` words, cut between anchors, builds the shard's FM-index, streams all its
@@ -46,6 +46,8 @@ from seepage.llm.fmindex import FMIndex
 
 #: Anchors of more documents than this are split by the second-least hash.
 HOT_ANCHOR = 5_000
+#: About so many distinct segments are gathered before they are sent.
+_SEGMENTS = 100_000
 
 
 def window_anchors(h: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,7 @@ def shard_results(shard: list[tuple[int, bytes, int, int, int]], span: int) -> l
     return out
 
 
-def removed_words(docs: DataFrame, span: int = 13, gram: int = 5, shard_words: int = 300_000) -> DataFrame:
+def removed_words(docs: DataFrame, span: int = 13, gram: int = 5, shard_words: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     docs = clean_docs(docs).withColumn("h", F.xxhash64("text"))
     named = docs.where("doc_id IS NOT NULL")
@@ -147,9 +149,16 @@ def removed_words(docs: DataFrame, span: int = 13, gram: int = 5, shard_words: i
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["segment", "doc_id", "h", "first"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each distinct segment of a batch, with its words."""
+        """A row for each distinct segment of some documents, with its words."""
+        got: dict[int, list] = {}
+
+        def done() -> pa.RecordBatch:
+            cols = list(zip(*got.values())) or [[]] * 6
+            got.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
+                                              names=["key", "segment", "words", "n", "lo", "hi"])
+
         for b in batches:
-            got: dict[int, list] = {}
             for doc_id, t, wanted, hot in zip(b.column(0).to_pylist(), b.column(1), b.column(3), b.column(4)):
                 buf = text_bytes(t.as_py())
                 starts, ends = word_bounds(buf)
@@ -163,9 +172,9 @@ def removed_words(docs: DataFrame, span: int = 13, gram: int = 5, shard_words: i
                         got[d] = [k, d, buf[left:right], n, doc_id, doc_id]
                     else:
                         s[4], s[5] = min(s[4], doc_id), max(s[5], doc_id)
-            cols = list(zip(*got.values())) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))],
-                                             names=["key", "segment", "words", "n", "lo", "hi"])
+            if len(got) > _SEGMENTS:
+                yield done()
+        yield done()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
@@ -217,7 +226,7 @@ def removed_words(docs: DataFrame, span: int = 13, gram: int = 5, shard_words: i
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     none = F.lit(None).cast("array<struct<h:bigint,w:bigint>>").alias("gone")
     judged = named.join(gone, named["doc_id"] == gone["g_id"], "left").select("doc_id", "text", "h", "gone").mapInArrow(cut, schema)
-    return judged.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", "h", none).mapInArrow(cut, schema))
+    return written(judged.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", "h", none).mapInArrow(cut, schema)), "kept-words")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
