@@ -42,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seepage.llm.common import clean_docs, table, text_bytes, word_hashes, written
+from seepage.llm.common import Packed, clean_docs, table, text_bytes, word_hashes, written
 
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 SYMBOLS = 255  # what may follow: all bytes but START
-_PIECE = 1 << 19
+_PIECE = 1 << 18
+#: A list of distinct words covers about so many words of documents.
+_LIST_WORDS = 1_000_000
 
 
 def framed(text: bytes, order: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def gram_keys(seq: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-class Trie:
+class Trie(Packed):
     """grams: for each length 1..order + 1 the (keys, counts) kept."""
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
@@ -79,6 +81,12 @@ class Trie:
                 ok = shorter[at] == suffix if len(shorter) else np.zeros(len(keys), bool)
                 keys, counts = keys[ok], counts[ok]
             kept.append((keys, counts))
+        # Tables have a column for each byte that occurs (code 0: all others), not 256.
+        used = np.union1d(kept[0][0], np.array([START], np.uint64)).astype(np.int64)
+        self.code = np.zeros(256, np.uint8)
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        last = lambda keys: self.code[(keys & np.uint64(255)).astype(np.int64)]
         # Contexts of d bytes: nodes 0..n of a level; node 0 is "not in the trie".
         self.contexts: list[np.ndarray] = []
         self.total: list[np.ndarray] = []
@@ -86,26 +94,26 @@ class Trie:
         self.count: list[np.ndarray] = []  # count[d][node, byte]
         for d, (keys, counts) in enumerate(kept):
             ctx, back = np.unique(keys >> np.uint64(8), return_inverse=True)
-            table_ = np.zeros((len(ctx) + 1, 256), np.float32)
-            table_[back + 1, (keys & np.uint64(255)).astype(np.int64)] = counts
+            table_ = np.zeros((len(ctx) + 1, self.width), np.float32)
+            table_[back + 1, last(keys)] = counts
             self.contexts.append(ctx)
             self.count.append(table_)
             self.total.append(table_.sum(axis=1, dtype=np.float64))
             self.distinct.append((table_ > 0).sum(axis=1).astype(np.float64))
         # child[d][node of d - 1 bytes, byte] = node of d bytes
-        self.child: list[np.ndarray] = [np.zeros((0, 256), np.int32)]
+        self.child: list[np.ndarray] = [np.zeros((0, self.width), np.int32)]
         for d in range(1, self.depth):
             ctx = self.contexts[d]
-            prefix, byte = ctx >> np.uint64(8), (ctx & np.uint64(255)).astype(np.int64)
+            prefix, byte = ctx >> np.uint64(8), last(ctx)
             if d == 1:
-                table_ = np.zeros((1, 256), np.int32)
+                table_ = np.zeros((1, self.width), np.int32)
                 table_[0, byte] = np.arange(1, len(ctx) + 1)
             else:
                 # the first d - 1 bytes need a node of their own even where they predict nothing
                 names = np.unique(prefix)
                 self._names(d - 1, names)
                 at = self._node(d - 1, prefix)
-                table_ = np.zeros((len(self.contexts[d - 1]) + 1, 256), np.int32)
+                table_ = np.zeros((len(self.contexts[d - 1]) + 1, self.width), np.int32)
                 table_[at, byte] = np.arange(1, len(ctx) + 1)
             self.child.append(table_)
         self._finish()
@@ -116,18 +124,18 @@ class Trie:
         if not len(missing):
             return
         raise_to = np.concatenate([self.contexts[d], missing])
-        self.count[d] = np.concatenate([self.count[d], np.zeros((len(missing), 256), np.float32)])
+        self.count[d] = np.concatenate([self.count[d], np.zeros((len(missing), self.width), np.float32)])
         self.total[d] = np.concatenate([self.total[d], np.zeros(len(missing))])
         self.distinct[d] = np.concatenate([self.distinct[d], np.zeros(len(missing))])
         self.contexts[d] = raise_to
-        prefix, byte = missing >> np.uint64(8), (missing & np.uint64(255)).astype(np.int64)
+        prefix, byte = missing >> np.uint64(8), self.code[(missing & np.uint64(255)).astype(np.int64)]
         ids = np.arange(len(raise_to) - len(missing) + 1, len(raise_to) + 1)
         if d > 1:
             before = len(self.contexts[d - 1])
             self._names(d - 1, np.unique(prefix))
             grown = len(self.contexts[d - 1]) - before
             if grown:
-                self.child[d] = np.concatenate([self.child[d], np.zeros((grown, 256), np.int32)])
+                self.child[d] = np.concatenate([self.child[d], np.zeros((grown, self.width), np.int32)])
             self.child[d][self._node(d - 1, prefix), byte] = ids
         else:
             self.child[1][0, byte] = ids
@@ -180,6 +188,7 @@ class Trie:
 
     def _piece(self, seq: np.ndarray) -> np.ndarray:
         order, n = self.depth - 1, len(seq) - (self.depth - 1)
+        seq = self.code[seq]
         byte = seq[order:].astype(np.int64)
         if not self.alive[0][-1:].any():
             return np.full(n, -math.log10(SYMBOLS))
@@ -227,7 +236,7 @@ def train(docs: DataFrame, order: int = 4, max_nodes: int = 100_000) -> Trie:
             for t in b.column(0):
                 got.append(gram_keys(framed(text_bytes(t.as_py()), order), order))
                 size += len(got[-1])
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield done()
                     got, size = [], 0
             yield done()
@@ -238,8 +247,8 @@ def train(docs: DataFrame, order: int = 4, max_nodes: int = 100_000) -> Trie:
     for d in range(1, order + 2):  # grams of d bytes: the last d bytes of the longest
         mask = F.lit((1 << 8 * d) - 1).cast("bigint")
         short = grams.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-        top = short.orderBy(F.desc("n"), "gram").limit(max_nodes).toPandas()
-        levels.append((top["gram"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)))
+        top = short.orderBy(F.desc("n"), "gram").limit(max_nodes).toArrow()
+        levels.append((top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()))
     return Trie(levels)
 
 
@@ -263,25 +272,34 @@ def scores(docs: DataFrame, order: int = 4, max_nodes: int = 100_000, folds: int
         """kind 0: a document with its distinct words as places in the batch's word list and
         how often each occurs. kind 1: a word of that list with its count in training texts."""
         model = trie.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            batch, hashes, score = uuid.uuid4().int >> 65, [], []
-            for t in b.column(1):
-                buf = text_bytes(t.as_py()).lower()
-                hashes.append(word_hashes(buf))
-                score.append(model.log10(buf))
-            sizes = np.array([len(h) for h in hashes])
+
+        def done(ids: list, held_out: list[bool], hashes: list[np.ndarray], score: list[float]) -> Iterator[pa.RecordBatch]:
+            batch, sizes = uuid.uuid4().int >> 65, np.array([len(h) for h in hashes])
             words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            learn = np.repeat(~np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool), sizes)
+            learn = np.repeat(~np.array(held_out, bool), sizes)
             counts = np.bincount(place[learn], minlength=len(words))
             at, times = zip(*(np.unique(x, return_counts=True) for x in np.split(place, np.cumsum(sizes)[:-1])))
             same = lambda n, k: (pa.array(np.full(n, k, np.int8)), pa.array(np.full(n, batch, np.int64)))
             kind, own = same(len(sizes), 0)
-            yield rows(len(sizes), kind=kind, batch=own, doc_id=b.column(0), held_out=b.column(2), n_tokens=pa.array(sizes + 1, pa.int64()), score=pa.array(score, pa.float64()), at=listed(list(at)), times=listed(list(times)))
+            yield rows(len(sizes), kind=kind, batch=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held_out, pa.bool_()), n_tokens=pa.array(sizes + 1, pa.int64()), score=pa.array(score, pa.float64()), at=listed(list(at)), times=listed(list(times)))
             kind, own = same(len(words), 1)
             yield rows(len(words), kind=kind, batch=own, i=pa.array(np.arange(len(words), dtype=np.int32)), word=pa.array(words.view(np.int64)), n=pa.array(counts.astype(np.int64)))
 
+        got: tuple[list, list, list, list] = ([], [], [], [])
+        size = 0
+        for b in batches:
+            for doc_id, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                buf = text_bytes(t.as_py()).lower()
+                h = word_hashes(buf)
+                for part, x in zip(got, (doc_id, held_out, h, model.log10(buf))):
+                    part.append(x)
+                size += len(h)
+                if size > _LIST_WORDS:
+                    yield from done(*got)
+                    got, size = ([], [], [], []), 0
+        if got[0]:
+            yield from done(*got)
+
     schema = "kind tinyint, batch bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double, at array<int>, times array<int>, i int, word bigint, n bigint"
     both = written(d.mapInArrow(run, schema), "scored")
     w = Window.partitionBy("word")
