@@ -8,8 +8,8 @@ item if some region of it is within k = ``budget``% of the segment's length in e
 Filter: with k edits a region shares at least m + 1 - q * (k + 1) of the segment's m + 1 - q
 q-grams, all on k + 1 neighbouring diagonals (document offset - segment offset). Shared
 q-grams are counted in bins of k + 1 diagonals; two neighbouring bins form a band, so every
-run of k + 1 diagonals lies within one. Only bands that reach the bound are verified, by an
-edit distance banded around their diagonals. The filter loses no region, the alignment
+run of k + 1 diagonals lies within one. Only bands that reach the bound (and the same bound for
+grams of 4 bytes) are verified, by an edit distance banded around their diagonals. The filter loses no region, the alignment
 admits no other. ``q`` is lowered for segments for which the bound would not be positive.
 
 The benchmark is broadcast in blocks of at most ``block_bytes`` of text, one scan of the
@@ -31,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seepage.llm.common import fresh, table, text_bytes, written
+from seepage.llm.common import Packed, fresh, table, text_bytes, written
 
 MAX_BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 20
+_SHORT = 4
 
 
 def normal(text: bytes) -> bytes:
@@ -84,11 +85,11 @@ def region_distance(segment: bytes, text: bytes, lo: int, hi: int, k: int) -> in
     return min(min(last), far)
 
 
-class Index:
+class Index(Packed):
     """Segments of a block of items, grouped by the q that their length allows."""
 
     def __init__(self, items: list[tuple[int, bytes]], segment: int, budget: int, q: int):
-        self.items, self.parts, self.k, self.need = [], [], [], []
+        self.items, self.parts, self.k, self.need, self.short = [], [], [], [], []
         grams: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
             text = normal(text)
@@ -107,6 +108,7 @@ class Index:
                 self.parts.append(part)
                 self.k.append(k)
                 self.need.append(max(1, m + 1 - own * (k + 1)))
+                self.short.append([part[i:i + _SHORT] for i in range(m - _SHORT + 1)])
         self.tables = []
         for own, found in sorted(grams.items()):
             code = np.concatenate([c for c, _ in found])
@@ -148,26 +150,37 @@ class Index:
             if not len(pos):
                 continue
             n = count[at]
-            of = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            ends = np.cumsum(n)
+            of = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])
             s, diagonal = seg[of], np.repeat(pos, n) - off[of]
             width = self.k_of[s] + 1
             big = np.int64(1) << 32
             key, shared = np.unique(s * big + (diagonal // width + (big >> 1)), return_counts=True)
             # bands: bin b with bin b + 1
-            after = np.r_[np.where(key[1:] == key[:-1] + 1, shared[1:], 0), 0]
+            next_ = key[1:] == key[:-1] + 1
+            after = np.zeros(len(key), np.int64)
+            after[:-1] = shared[1:] * next_
             own = key // big
             for i in np.flatnonzero(shared + after >= self.need_of[own]).tolist():
                 self._verify(int(own[i]), int(key[i] % big - (big >> 1)), text, found)
             # and a bin whose upper neighbour alone was listed
-            lone = np.r_[True, key[1:] != key[:-1] + 1]
+            lone = np.ones(len(key), bool)
+            lone[1:] = ~next_
             for i in np.flatnonzero(lone & (shared >= self.need_of[own])).tolist():
                 self._verify(int(own[i]), int(key[i] % big - (big >> 1)) - 1, text, found)
 
     def _verify(self, s: int, b: int, text: bytes, found: set[int]) -> None:
         if s not in found:
-            k = self.k[s]
-            lo = b * (k + 1)
-            if region_distance(self.parts[s], text, lo, lo + 2 * k + 1, k) <= k:
+            k, m = self.k[s], len(self.parts[s])
+            lo, hi = b * (k + 1), (b + 2) * (k + 1) - 1
+            # the same lemma with short grams, anywhere in the region: cheap, and most bands end here
+            need = m + 1 - _SHORT * (k + 1)
+            if need > 0:
+                a, e = max(0, lo - k), hi + m + k
+                have = {text[i:i + _SHORT] for i in range(a, min(e, len(text)) - _SHORT + 1)}
+                if sum(g in have for g in self.short[s]) < need:
+                    return
+            if region_distance(self.parts[s], text, lo, hi, k) <= k:
                 found.add(s)
 
 
