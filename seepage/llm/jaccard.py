@@ -221,12 +221,17 @@ def set_classes(docs: DataFrame, n: int = 5, share: int = 80, max_frequent: int
         return d
 
     def leaves(own: DataFrame) -> DataFrame:
-        """What is outside a group's largest class against the sets of other classes."""
+        """What is outside a group's largest class against the sets of other classes, as far as
+        their part counts (here cut off at 127, which widens nothing) leave possible."""
+        few = rep.select("sid", F.transform("parts", lambda v: F.least(v, F.lit(127)).cast("tinyint")).alias("parts"))
+        own = own.join(few, "sid")
         most = own.groupBy("s", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max(F.struct("k", "c"))["c"].alias("big"))
-        x = own.join(most, "s").where("c <> big").select("s", F.col("sid").alias("x"), "n", "i", F.col("c").alias("cx"), F.col("dist").alias("dx"))
-        y = own.select("s", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("i").alias("ip"), F.col("c").alias("cy"), F.col("dist").alias("dy"))
+        x = own.join(most, "s").where("c <> big").select("s", F.col("sid").alias("x"), "n", "i", F.col("c").alias("cx"), F.col("dist").alias("dx"), F.col("parts").alias("px"))
+        y = own.select("s", F.col("sid").alias("p"), F.col("n").alias("np"), F.col("i").alias("ip"), F.col("c").alias("cy"), F.col("dist").alias("dy"), F.col("parts").alias("py"))
         window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= near, F.lit(True))
-        both = x.join(y, "s").where((F.col("cx") != F.col("cy")) & size_ok & window)
+        apart = F.aggregate(F.zip_with("px", "py", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda a, d: a + d)
+        near_parts = apart * (100 + share) <= (F.col("n") + F.col("np")) * (100 - share)
+        both = x.join(y, "s").where((F.col("cx") != F.col("cy")) & size_ok & window & near_parts)
         return both.select(F.least("x", "p").alias("x"), F.greatest("x", "p").alias("p"))
 
     # What two sets share begins with their first common shingle, at places i and ip: from
