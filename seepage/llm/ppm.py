@@ -10,14 +10,16 @@ a context's escape and denominator under exclusion are two numbers computed once
 empty context all bytes not seen are equally likely. A text's score is the sum of log10 of these
 probabilities over its bytes and the end byte (its code length, negated).
 
-Training. Each task counts the (order + 1)-grams of its batches by sorting; Spark adds them up,
-and the counts of shorter contexts are sums over the longer ones. The trie keeps the
-``max_nodes`` most frequent grams of each order (a capacity of the model, like its order; all
-texts are counted and scored whole), so its broadcast has a fixed bound. A kept gram's suffix is
-kept too.
+Training. Each task counts the (order + 1)-grams of its batches; Spark adds them up, and the counts
+of shorter grams are sums over the longer ones. All grams are kept, as a table of rows (bytes of
+context, key, count) whose key has the context's bytes from last to first, then the next byte: what
+shares a context's end is a range of keys on every level.
 
-Scoring. A text is walked down the trie level by level for all its positions at once:
-node(d, i) = child(node(d - 1, i - 1), byte i).
+Scoring. The table is cut into ranges of contexts of measured size: at most ``max_nodes`` grams of
+a length (or those of the contexts that share order - 1 bytes, at most 65,536), so what a task holds
+does not grow with the corpus. A slice has all that its contexts' probabilities need, also the
+shorter contexts. The documents are read once for each slice (once in all if the grams fit one); a
+task looks up its batch's distinct grams, and a text's score is the sum over the slices.
 
 Base. Words are counted without a common dictionary and without shuffling texts: each batch of
 documents writes its list of distinct words (64-bit hashes, with training counts) and its
@@ -27,19 +29,20 @@ return to their batch, where each document adds up its own.
 Defined results: null and empty texts have the end token only; a null doc_id counts as training
 (crc32 of the empty string); without training rows N and V are 0 and the trie predicts all bytes
 alike; repeated rows count as often as they occur; empty table: no rows; further columns
-are ignored. A long text is walked in pieces.
+are ignored. A long text is scored in pieces.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seepage.llm.common import Packed, clean_docs, table, text_bytes, word_hashes, written
@@ -56,210 +59,203 @@ def framed(text: bytes, order: int) -> np.ndarray:
 
 
 def gram_keys(seq: np.ndarray, order: int) -> np.ndarray:
-    """Each window of order + 1 bytes as one integer, the last byte lowest."""
+    """Each window of order + 1 bytes as one integer: the context from its last byte to its first,
+    then the byte after it."""
     a = seq.astype(np.uint64)
     n = len(a) - order
     out = np.zeros(n, np.uint64)
-    for j in range(order + 1):
+    for j in (*range(order - 1, -1, -1), order):
         out = out << np.uint64(8) | a[j:j + n]
     return out
 
 
-class Trie(Packed):
-    """grams: for each length 1..order + 1 the (keys, counts) kept."""
+def shorter(keys: np.ndarray, drop: int) -> np.ndarray:
+    """The keys without the first ``drop`` bytes of their contexts."""
+    return keys >> np.uint64(8 * drop + 8) << np.uint64(8) | keys & np.uint64(255)
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(grams)
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+class Slice(Packed):
+    """grams: for each context length 0..order the (keys, counts) of whole contexts; lo, hi: the
+    keys it answers for, lo <= context < hi."""
+
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], lo: int = 0, hi: int | None = None):
+        self.order = len(grams) - 1
+        self.lo, self.hi = lo, 1 << 8 * self.order if hi is None else hi
+        self.keys: list[np.ndarray] = []
+        self.log: list[np.ndarray] = []  # log10 of a gram's count
+        self.contexts: list[np.ndarray] = []
+        self.own: list[np.ndarray] = []  # log10 of total + distinct
+        self.escape: list[np.ndarray] = []  # log10 of escaping from the context, nothing excluded
+        self.under: list[np.ndarray] = []  # log10 of the suffix's denominator, the context's bytes excluded
+        self.pass_: list[np.ndarray] = []  # log10 of escaping from the suffix, the context's bytes excluded
+        last = None
         for d, (keys, counts) in enumerate(grams):
             by = np.argsort(keys)
             keys, counts = keys[by].astype(np.uint64), counts[by].astype(np.float64)
-            if d:
-                shorter = kept[-1][0]
-                suffix = keys & np.uint64((1 << 8 * d) - 1)
-                at = np.minimum(np.searchsorted(shorter, suffix), max(0, len(shorter) - 1))
-                ok = shorter[at] == suffix if len(shorter) else np.zeros(len(keys), bool)
-                keys, counts = keys[ok], counts[ok]
-            kept.append((keys, counts))
-        # Tables have a column for each byte that occurs (code 0: all others), not 256.
-        used = np.union1d(kept[0][0], np.array([START], np.uint64)).astype(np.int64)
-        self.code = np.zeros(256, np.uint8)
-        self.code[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
-        last = lambda keys: self.code[(keys & np.uint64(255)).astype(np.int64)]
-        # Contexts of d bytes: nodes 0..n of a level; node 0 is "not in the trie".
-        self.contexts: list[np.ndarray] = []
-        self.total: list[np.ndarray] = []
-        self.distinct: list[np.ndarray] = []
-        self.count: list[np.ndarray] = []  # count[d][node, byte]
-        for d, (keys, counts) in enumerate(kept):
-            ctx, back = np.unique(keys >> np.uint64(8), return_inverse=True)
-            table_ = np.zeros((len(ctx) + 1, self.width), np.float32)
-            table_[back + 1, last(keys)] = counts
-            self.contexts.append(ctx)
-            self.count.append(table_)
-            self.total.append(table_.sum(axis=1, dtype=np.float64))
-            self.distinct.append((table_ > 0).sum(axis=1).astype(np.float64))
-        # child[d][node of d - 1 bytes, byte] = node of d bytes
-        self.child: list[np.ndarray] = [np.zeros((0, self.width), np.int32)]
-        for d in range(1, self.depth):
-            ctx = self.contexts[d]
-            prefix, byte = ctx >> np.uint64(8), last(ctx)
-            if d == 1:
-                table_ = np.zeros((1, self.width), np.int32)
-                table_[0, byte] = np.arange(1, len(ctx) + 1)
-            else:
-                # the first d - 1 bytes need a node of their own even where they predict nothing
-                names = np.unique(prefix)
-                self._names(d - 1, names)
-                at = self._node(d - 1, prefix)
-                table_ = np.zeros((len(self.contexts[d - 1]) + 1, self.width), np.int32)
-                table_[at, byte] = np.arange(1, len(ctx) + 1)
-            self.child.append(table_)
-        self._finish()
-
-    def _names(self, d: int, names: np.ndarray) -> None:
-        """Adds nodes of d bytes that have no counts, so that longer ones can be reached."""
-        missing = np.setdiff1d(names, self.contexts[d])
-        if not len(missing):
-            return
-        raise_to = np.concatenate([self.contexts[d], missing])
-        self.count[d] = np.concatenate([self.count[d], np.zeros((len(missing), self.width), np.float32)])
-        self.total[d] = np.concatenate([self.total[d], np.zeros(len(missing))])
-        self.distinct[d] = np.concatenate([self.distinct[d], np.zeros(len(missing))])
-        self.contexts[d] = raise_to
-        prefix, byte = missing >> np.uint64(8), self.code[(missing & np.uint64(255)).astype(np.int64)]
-        ids = np.arange(len(raise_to) - len(missing) + 1, len(raise_to) + 1)
-        if d > 1:
-            before = len(self.contexts[d - 1])
-            self._names(d - 1, np.unique(prefix))
-            grown = len(self.contexts[d - 1]) - before
-            if grown:
-                self.child[d] = np.concatenate([self.child[d], np.zeros((grown, self.width), np.int32)])
-            self.child[d][self._node(d - 1, prefix), byte] = ids
-        else:
-            self.child[1][0, byte] = ids
-
-    def _node(self, d: int, names: np.ndarray) -> np.ndarray:
-        by = np.argsort(self.contexts[d])
-        return by[np.searchsorted(self.contexts[d], names, sorter=by)] + 1
-
-    def _finish(self) -> None:
-        """Per level: log10 of a byte's probability without exclusion, and, for the step down from a
-        node, log10 of the escapes and the denominators that hold then."""
-        self.suffix: list[np.ndarray] = [np.zeros(2, np.int64)]
-        self.escape: list[np.ndarray] = []  # log10 of escaping from the node, nothing excluded
-        self.own: list[np.ndarray] = []  # log10 of total + distinct
-        self.under: list[np.ndarray] = []  # log10 of the suffix's denominator, the node's bytes excluded
-        self.pass_: list[np.ndarray] = []  # log10 of escaping from the suffix, the node's bytes excluded
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for d in range(self.depth):
-                t, k = self.total[d], self.distinct[d]
-                self.own.append(np.log10(t + k))
-                self.escape.append(np.where(t > 0, np.log10(k / (t + k)), 0.0))
-                if d == 0:
-                    self.under.append(np.log10(np.maximum(SYMBOLS - k, 1)))  # below the empty context
-                    self.pass_.append(np.zeros(len(t)))
-                    continue
-                names = self.contexts[d] & np.uint64((1 << 8 * (d - 1)) - 1)
-                up = np.r_[0, np.ones(len(names), np.int64) if d == 1 else self._node_or_0(d - 1, names)]
-                self.suffix.append(up)
-                seen = self.count[d] > 0
-                left = self.total[d - 1][up] - np.array([self.count[d - 1][u][s].sum(dtype=np.float64) for u, s in zip(up, seen)])
-                new = self.distinct[d - 1][up] - k
-                self.under.append(np.log10(left + new))
-                self.pass_.append(np.where(new > 0, np.log10(new / (left + new)), 0.0))
-        # per level and node: 0 means the context has no counts
-        self.alive = [t > 0 for t in self.total]
-
-    def _node_or_0(self, d: int, names: np.ndarray) -> np.ndarray:
-        by = np.argsort(self.contexts[d])
-        at = np.minimum(np.searchsorted(self.contexts[d], names, sorter=by), len(by) - 1)
-        return np.where(self.contexts[d][by[at]] == names, by[at] + 1, 0)
-
-    def log10(self, text: bytes) -> float:
-        """log10 of the probability of the text and its end."""
-        order = self.depth - 1
-        seq = framed(text, order)
-        total = 0.0
-        for at in range(0, len(seq) - order, _PIECE):
-            total += float(self._piece(seq[at:at + _PIECE + order]).sum())
-        return total
-
-    def _piece(self, seq: np.ndarray) -> np.ndarray:
-        order, n = self.depth - 1, len(seq) - (self.depth - 1)
-        seq = self.code[seq]
-        byte = seq[order:].astype(np.int64)
-        if not self.alive[0][-1:].any():
-            return np.full(n, -math.log10(SYMBOLS))
-        # nodes[d]: the context of d bytes before each position, 0 where it is not in the trie
-        nodes = [np.ones(n, np.int64)]
-        walk = self.child[1][0][seq] if order else None  # strings of 1 byte ending at each offset
-        for d in range(1, order + 1):
-            nodes.append(np.where(self.alive[d][walk[order - 1:order - 1 + n]], walk[order - 1:order - 1 + n], 0))
-            if d < order:
-                walk = np.r_[0, self.child[d + 1][walk[:-1], seq[1:]]]
-        out = np.zeros(n)
-        open_ = np.ones(n, bool)  # not yet predicted
-        above = np.zeros(n, np.int64)  # the node escaped from last, on level d + 1; 0: none
-        for d in range(order, -1, -1):
-            node = nodes[d]
-            at = np.flatnonzero(open_ & (node > 0))
-            if not len(at):
-                continue
-            nd, ab = node[at], above[at]
-            c = self.count[d][nd, byte[at]].astype(np.float64)
-            hit = c > 0
-            fresh = ab == 0
-            den = np.where(fresh, self.own[d][nd], self.under[d + 1][ab] if d < order else 0.0)
-            esc = np.where(fresh, self.escape[d][nd], self.pass_[d + 1][ab] if d < order else 0.0)
+            names, first = np.unique(keys >> np.uint64(8), return_index=True)
+            total = np.add.reduceat(counts, first) if len(first) else np.zeros(0)
+            kinds = np.diff(np.r_[first, len(keys)]).astype(np.float64)
             with np.errstate(divide="ignore"):
-                out[at] += np.where(hit, np.log10(np.maximum(c, 1e-30)) - den, esc)
-            open_[at[hit]] = False
-            above[:] = 0
-            above[at] = nd
-        rest = np.flatnonzero(open_)
-        out[rest] -= self.under[0][1]
+                self.own.append(np.log10(total + kinds))
+                self.escape.append(np.log10(kinds / (total + kinds)))
+                if last is None:
+                    self.under.append(np.log10(np.maximum(SYMBOLS - kinds, 1)))  # below the empty context
+                    self.pass_.append(np.zeros(len(names)))
+                else:
+                    gone = last[1][np.searchsorted(last[0], shorter(keys, 1))]
+                    up = np.searchsorted(last[2], names >> np.uint64(8))
+                    left = last[3][up] - (np.add.reduceat(gone, first) if len(first) else 0.0)
+                    new = last[4][up] - kinds
+                    # left + new is 0 if the suffix has seen nothing more: then nothing is read there
+                    self.under.append(np.log10(np.maximum(left + new, 1e-30)))
+                    self.pass_.append(np.where(new > 0, np.log10(np.maximum(new, 1e-30) / np.maximum(left + new, 1e-30)), 0.0))
+            self.keys.append(keys)
+            self.log.append(np.log10(counts))
+            self.contexts.append(names)
+            last = keys, counts, names, total, kinds
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after its context; 0 for the grams of
+        other slices."""
+        out = np.zeros(len(keys))
+        context = keys >> np.uint64(8)
+        mine = np.flatnonzero((context >= np.uint64(self.lo)) & (context < np.uint64(self.hi)))
+        mine = mine[np.argsort(keys[mine])]  # neighbours are looked up near each other
+        keys = keys[mine]
+        got = np.zeros(len(keys))
+        open_ = np.arange(len(keys))  # not yet predicted
+        above = np.full(len(keys), -1)  # the context escaped from last, one byte longer; -1: none
+        for d in range(self.order, -1, -1):
+            if not len(self.keys[d]):
+                continue
+            key = shorter(keys[open_], self.order - d)
+            at = _find(self.contexts[d], key >> np.uint64(8))
+            place = _find(self.keys[d], key)
+            known, hit, ab = at >= 0, place >= 0, above[open_]
+            fresh = ab < 0
+            den, esc = self.own[d][at], self.escape[d][at]
+            if d < self.order and len(self.under[d + 1]):
+                den = np.where(fresh, den, self.under[d + 1][ab])
+                esc = np.where(fresh, esc, self.pass_[d + 1][ab])
+            got[open_] += np.where(hit, self.log[d][place] - den, np.where(known, esc, 0.0))
+            above[open_] = np.where(known, at, -1)
+            open_ = open_[~hit]
+        got[open_] -= self.under[0][0] if len(self.under[0]) else math.log10(SYMBOLS)
+        out[mine] = got
         return out
 
+    def _piece(self, seq: np.ndarray) -> np.ndarray:
+        return self.log10(gram_keys(seq, self.order))
+
+
+def _find(names: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where x is in the sorted names, -1 where it is not."""
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    return np.where(names[at] == x, at, -1)
+
+
+class Model:
+    """The counts of all grams as a table, and the ranges of contexts it is given out in."""
 
-def train(docs: DataFrame, order: int = 4, max_nodes: int = 100_000) -> Trie:
-    """The trie of all texts of docs (doc_id, text)."""
+    def __init__(self, levels: DataFrame, order: int, ranges: list[tuple[int, int]]):
+        self.levels, self.order, self.ranges = levels, order, ranges
+        self._held: list[Slice] = []
+
+    def slice(self, i: int) -> Slice:
+        lo, hi = self.ranges[i]
+        drop = [8 * (self.order - d) for d in range(self.order + 1)]
+        own = [(F.col("d") == d) & F.col("key").between(lo >> x << 8, (hi - 1 >> x << 8) + 255) for d, x in enumerate(drop)]
+        rows = self.levels.where(reduce(Column.__or__, own)).toArrow()
+        level, keys, counts = (rows[c].to_numpy() for c in ("d", "key", "n"))
+        return Slice([(keys[level == d].astype(np.uint64), counts[level == d]) for d in range(self.order + 1)], lo, hi)
+
+    def _piece(self, seq: np.ndarray) -> np.ndarray:
+        """All slices at once, for models that fit the driver."""
+        self._held = self._held or [self.slice(i) for i in range(len(self.ranges))]
+        return sum(x._piece(seq) for x in self._held)
+
+
+def _ranges(levels: DataFrame, order: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of contexts with at most ``most`` grams each: what has more is split by one more
+    byte, as far as order - 1 bytes, then neighbours are joined."""
+    top = levels.where(F.col("d") == order)
+    parts, new = [], [(0, top.count())]
+    for d in range(1, order):
+        large = [lo >> 8 * (order - d + 1) for lo, n in new if n > most]
+        if not large:
+            break
+        parts += [x for x in new if x[1] <= most]
+        whole, byte = (F.shiftright("key", 8 * (order - d + x) + 8) for x in (1, 0))
+        got = top.where(whole.isin(large)).groupBy(byte.alias("p")).count().collect()
+        new = [(r["p"] << 8 * (order - d), r["count"]) for r in got]
+    parts += new
+    starts, held = [], 0
+    for lo, n in sorted(parts):
+        if not starts or held + n > most:
+            starts.append(lo)
+            held = 0
+        held += n
+    return list(zip([0, *starts[1:]], [*starts[1:], 1 << 8 * order]))
+
+
+def train(docs: DataFrame, order: int = 4, max_nodes: int = 2_000_000) -> Model:
+    """The model of all texts of docs (doc_id, text); a slice of it has about max_nodes grams of a length."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, size = [], 0
+            for keys, codes, _, _ in _distinct((text_bytes(t.as_py()) for t in b.column(0)), order):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(codes, minlength=len(keys)))], names=["key", "n"])
+
+    grams = docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    grams = written(grams, "grams")
+    byte = F.col("key").bitwiseAND(F.lit(255).cast("bigint"))
+    each = [F.struct(F.lit(d).alias("d"), F.shiftleft(F.shiftright("key", 8 * (order - d) + 8), 8).bitwiseOR(byte).alias("key")) for d in range(order + 1)]
+    levels = written(grams.select(F.inline(F.array(*each)), "n").groupBy("d", "key").agg(F.sum("n").alias("n")), "levels")
+    return Model(levels, order, _ranges(levels, order, max_nodes))
 
-            def done() -> pa.RecordBatch:
-                keys, counts = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["gram", "n"])
 
-            for t in b.column(0):
-                got.append(gram_keys(framed(text_bytes(t.as_py()), order), order))
-                size += len(got[-1])
-                if size > 1 << 21:
-                    yield done()
-                    got, size = [], 0
-            yield done()
+def _distinct(texts: Iterable[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], list[int]]]:
+    """(distinct grams, the place of each gram among them, whose they are, where each one's end)
+    of texts, a few MB at a time; a long text comes in pieces."""
+    got, whose, size = [], [], 0
 
-    grams = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = written(grams, "grams")
-    levels = []
-    for d in range(1, order + 2):  # grams of d bytes: the last d bytes of the longest
-        mask = F.lit((1 << 8 * d) - 1).cast("bigint")
-        short = grams.groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-        top = short.orderBy(F.desc("n"), "gram").limit(max_nodes).toArrow()
-        levels.append((top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()))
-    return Trie(levels)
+    def done() -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+        codes, keys = pd.factorize(np.concatenate(got))
+        return keys, codes, whose, np.cumsum([len(x) for x in got]).tolist()
+
+    for i, t in enumerate(texts):
+        seq = framed(t, order)
+        for at in range(0, len(seq) - order, _PIECE):
+            got.append(gram_keys(seq[at:at + _PIECE + order], order))
+            whose.append(i)
+            size += len(got[-1])
+            if size > 1 << 21:
+                yield done()
+                got, whose, size = [], [], 0
+    if got:
+        yield done()
+
+
+def text_scores(model: Slice, texts: list[bytes]) -> np.ndarray:
+    """The part of each text's score that the slice answers for."""
+    out = np.zeros(len(texts))
+    for keys, codes, whose, ends in _distinct(texts, model.order):
+        logs = model.log10(keys)[codes]
+        np.add.at(out, whose, np.add.reduceat(logs, [0, *ends[:-1]]))
+    return out
 
 
-def scores(docs: DataFrame, order: int = 4, max_nodes: int = 100_000, folds: int = 7, held: int = 2) -> DataFrame:
+def scores(docs: DataFrame, order: int = 4, max_nodes: int = 2_000_000, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     d = clean_docs(docs)
     d = d.withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held)
-    trie = spark.sparkContext.broadcast(train(d.where("NOT held_out"), order, max_nodes))
+    trained = train(d.where("NOT held_out"), order, max_nodes)
+    d = d.withColumn("row", F.monotonically_increasing_id())
+    if len(trained.ranges) > 1:  # every pass must give a row the same number
+        d = written(d, "numbered")
+    trie = spark.sparkContext.broadcast(trained.slice(0))
     lists = pa.list_(pa.int32())
-    fields = [("kind", pa.int8()), ("batch", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("at", lists), ("times", lists), ("i", pa.int32()), ("word", pa.int64()), ("n", pa.int64())]
+    fields = [("kind", pa.int8()), ("batch", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("at", lists), ("times", lists), ("i", pa.int32()), ("word", pa.int64()), ("n", pa.int64())]
 
     def rows(size: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([cols[k] if k in cols else pa.nulls(size, t) for k, t in fields], names=[k for k, _ in fields])
@@ -273,7 +269,8 @@ def scores(docs: DataFrame, order: int = 4, max_nodes: int = 100_000, folds: int
         how often each occurs. kind 1: a word of that list with its count in training texts."""
         model = trie.value
 
-        def done(ids: list, held_out: list[bool], hashes: list[np.ndarray], score: list[float]) -> Iterator[pa.RecordBatch]:
+        def done(ids: list, held_out: list[bool], row: list[int], hashes: list[np.ndarray], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+            score = text_scores(model, texts)
             batch, sizes = uuid.uuid4().int >> 65, np.array([len(h) for h in hashes])
             words, place = np.unique(np.concatenate(hashes), return_inverse=True)
             learn = np.repeat(~np.array(held_out, bool), sizes)
@@ -281,27 +278,28 @@ def scores(docs: DataFrame, order: int = 4, max_nodes: int = 100_000, folds: int
             at, times = zip(*(np.unique(x, return_counts=True) for x in np.split(place, np.cumsum(sizes)[:-1])))
             same = lambda n, k: (pa.array(np.full(n, k, np.int8)), pa.array(np.full(n, batch, np.int64)))
             kind, own = same(len(sizes), 0)
-            yield rows(len(sizes), kind=kind, batch=own, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held_out, pa.bool_()), n_tokens=pa.array(sizes + 1, pa.int64()), score=pa.array(score, pa.float64()), at=listed(list(at)), times=listed(list(times)))
+            yield rows(len(sizes), kind=kind, batch=own, row=pa.array(row, pa.int64()), doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held_out, pa.bool_()), n_tokens=pa.array(sizes + 1, pa.int64()), score=pa.array(score, pa.float64()), at=listed(list(at)), times=listed(list(times)))
             kind, own = same(len(words), 1)
             yield rows(len(words), kind=kind, batch=own, i=pa.array(np.arange(len(words), dtype=np.int32)), word=pa.array(words.view(np.int64)), n=pa.array(counts.astype(np.int64)))
 
-        got: tuple[list, list, list, list] = ([], [], [], [])
+        got: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for b in batches:
-            for doc_id, t, held_out in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+            for doc_id, t, held_out, row in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 buf = text_bytes(t.as_py()).lower()
                 h = word_hashes(buf)
-                for part, x in zip(got, (doc_id, held_out, h, model.log10(buf))):
+                for part, x in zip(got, (doc_id, held_out, row, h, buf)):
                     part.append(x)
                 size += len(h)
                 if size > _LIST_WORDS:
                     yield from done(*got)
-                    got, size = ([], [], [], []), 0
+                    got, size = ([], [], [], [], []), 0
         if got[0]:
             yield from done(*got)
 
-    schema = "kind tinyint, batch bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double, at array<int>, times array<int>, i int, word bigint, n bigint"
+    schema = "kind tinyint, batch bigint, row bigint, doc_id bigint, held_out boolean, n_tokens bigint, score double, at array<int>, times array<int>, i int, word bigint, n bigint"
     both = written(d.mapInArrow(run, schema), "scored")
+    rest = [_more(d, trained.slice(i)) for i in range(1, len(trained.ranges))]
     w = Window.partitionBy("word")
     words = both.where("kind = 1").select("batch", "i", "word", "n")
     words = words.withColumns({"c": F.sum("n").over(w), "first": F.row_number().over(w.orderBy("batch", "i")) == 1})
@@ -322,9 +320,26 @@ def scores(docs: DataFrame, order: int = 4, max_nodes: int = 100_000, folds: int
 
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     names = [x.split()[0] for x in out.split(", ")]
-    scored = both.where("kind = 0").select("batch", "doc_id", "held_out", "n_tokens", "score", "at", "times")
+    scored = both.where("kind = 0").select("batch", "row", "doc_id", "held_out", "n_tokens", "score", "at", "times")
+    if rest:
+        more = reduce(DataFrame.unionAll, rest).groupBy("row").agg(F.sum("more").alias("more"))
+        scored = scored.join(more, "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
     return scored.groupBy("batch").cogroup(words.select("batch", "i", "c").groupBy("batch")).applyInPandas(base, out)
 
 
+def _more(docs: DataFrame, part: Slice) -> DataFrame:
+    """row, more: what a further slice adds to each document's score."""
+    trie = docs.sparkSession.sparkContext.broadcast(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = text_scores(trie.value, [text_bytes(t.as_py()) for t in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["row", "more"])
+
+    out = written(docs.select("row", "text").mapInArrow(run, "row bigint, more double"), "more")
+    trie.unpersist()
+    return out
+
+
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(table(spark, sf_dir, "documents"))

@@ -85,3 +85,28 @@ def test_empty_and_untrained(spark):
     r = ppm.scores(cases.frame(spark, [(held_out, "a b")])).collect()[0]
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0)
     assert abs(r.score + 4 * math.log10(255)) < 1e-9
+
+
+def expected_scores(pairs, order):
+    model = Brute([t for d, t in pairs if not held(d)], order)
+    return sorted((d, round(sum(model.log10(model.seq(t), p) for p in range(order, len(model.seq(t)))), 2)) for d, t in pairs)
+
+
+def test_default_parameters_keep_every_gram(spark):
+    """More than 100,000 distinct grams of 5 bytes, with the parameters of the query."""
+    rng = np.random.default_rng(5)
+    pairs = [(i, "".join(rng.choice(list("abcdefghijklmnop \u00e9"), 5000))) for i in range(30)]
+    assert len({t[i:i + 5] for d, t in pairs if not held(d) for i in range(len(t) - 4)}) > 100_000
+    got = ppm.scores(cases.frame(spark, pairs)).collect()
+    assert sorted((r.doc_id, round(r.score, 2)) for r in got) == expected_scores(pairs, 4)
+
+
+def test_slices_add_up_to_the_whole_model(spark):
+    pairs = [(i, t) for i, (_, t) in enumerate(cases.rows(3, 40))]
+    docs = cases.frame(spark, pairs)
+    trained = ppm.train(docs, order=3, max_nodes=700)
+    sizes = [len(trained.slice(i).keys[3]) for i in range(len(trained.ranges))]
+    whole = ppm.train(docs, order=3)
+    assert len(sizes) > 2 and len(whole.ranges) == 1 and sum(sizes) == len(whole.slice(0).keys[3])
+    got = ppm.scores(docs, order=3, max_nodes=700).collect()
+    assert sorted((r.doc_id, round(r.score, 2)) for r in got) == expected_scores(pairs, 3)
