@@ -7,10 +7,13 @@ its counts come from one aggregation. Documents of equal bins have equal posteri
 form cells (at most the product of the bin counts, however many documents there are), which are
 what the fit works on after one aggregation of tokens.
 
-Fit: nonnegative rates r minimise |sum_c tokens_c r_c posterior_c - target|^2 / (2 total^2) +
-ridge / 2 * sum_c tokens_c / total (r_c - 1)^2 by projected gradient steps in the metric weighted
-by tokens, whose Lipschitz constant is at most 1 + ridge. A step costs one aggregation of one sum
-a domain; the rate after t steps is a fold over the t residual vectors, one expression. Target
+Fit: nonnegative rates r minimise |sum_c tokens_c r_c posterior_c / total - target|^2 / 2 +
+ridge / 2 * sum_c tokens_c / total (r_c - 1)^2 with a ridge that falls until the gap (L1 distance of
+the expected totals from the target) is at most ``gap``, or no smaller ridge brings it nearer: then
+the target cannot be reached. At the minimum r = max(0, 1 - posterior . m) with one number m_i a
+domain, found by Newton steps on the dual, a convex function of m; a step costs one aggregation of
+n sums for each of n domains over the cells. The remaining gap is a field of the result, and a
+warning if it is above ``gap``. Given ``steps``, so many plain projected gradient steps are made instead. Target
 weights default to the tempered shares share^temper / sum.
 
 ``mix`` keeps each document with probability rate / largest rate by a hash of its id and text, so
@@ -27,7 +30,9 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,9 +100,8 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, name: str, domain: str = "source", targets: dict[str, float] | None = None,
-        temper: float = 0.5, steps: int = 30, ridge: float = 0.01, tolerance: float = 1e-7) -> tuple[DataFrame, Classifier, list[list[float]], float]:
-    """(cells with bins, tokens, posterior; classifier; residual history; step size) for docs with features in column ``name``."""
-    spark = docs.sparkSession
+        temper: float = 0.5, steps: int | None = None, ridge: float = 0.01, tolerance: float = 1e-7, gap: float = 1e-3) -> tuple[DataFrame, Classifier, list[list[float]], float]:
+    """(cells with bins, tokens, posterior, rate; classifier; residual history; remaining gap) for docs with features in column ``name``."""
     f = docs.select("doc_id", F.col(name).alias("f"))
     rows = written(f.select("doc_id", "f.*"), "mixing")
     cells = rows.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"))
@@ -115,10 +119,80 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, domain: str = "source", t
         targets = {d: own_share.get(d, 0.0) for d in known.domains}
     scale = sum(targets.get(d, 0.0) for d in known.domains) or 1.0
     aim = [targets.get(d, 0.0) / scale for d in known.domains]
+    if not n:
+        return cells.withColumn("rate", F.lit(1.0)), known, [], 0.0
+    if steps is None:
+        m, history = _newton(cells, np.array(aim), total, ridge, gap)
+        cells = cells.withColumn("rate", _dual_rate(m))
+    else:
+        history, eta = _plain(cells, aim, total, steps, ridge, tolerance)
+        cells = cells.withColumn("rate", rate(F.col("posterior"), history, eta, ridge))
+    # One rate a cell: few rows, bounded by the product of the bins.
+    cells = written(cells.withColumn("rate", F.round("rate", 6)), "rates")
+    sums = cells.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]).alias(f"d{i}") for i in range(n)]).first()
+    left = sum(abs((x or 0.0) / total - a) for x, a in zip(sums, aim))
+    if steps is None and left > gap:
+        warnings.warn(f"expected totals stay {left:.4f} (L1) from the target weights; asked for {gap}")
+    return cells, known, history, left
+
+
+def _dual_rate(m: np.ndarray) -> Column:
+    dot = F.aggregate(F.zip_with("posterior", _literal([float(x) for x in m], "array<double>"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return F.greatest(F.lit(0.0), 1.0 - dot)
+
+
+def _newton(cells: DataFrame, aim: np.ndarray, total: float, ridge: float, gap: float) -> tuple[np.ndarray, list[list[float]]]:
+    """(m, the residual after each step): minimises sum_c tokens_c / total max(0, 1 - posterior_c . m)^2 / 2
+    + aim . m + ridge |m|^2 / 2, whose gradient is aim - expected totals + ridge m."""
+    n = len(aim)
+
+    def at(m: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of squares, expected totals and second derivatives, without the ridge."""
+        c = cells.select((F.col("tokens") / total).alias("w"), "posterior", _dual_rate(m).alias("r"))
+        c = c.where("r > 0 AND w > 0").select("w", "r", "posterior", F.posexplode("posterior").alias("i", "p"))
+        each = [F.sum(F.col("w") * F.col("p") * F.col("posterior")[j]).alias(f"h{j}") for j in range(n)]
+        # the posterior's entries sum to 1, so the squares weighted by them add up to the squares
+        rows = c.groupBy("i").agg(F.sum(F.expr("w * p * r * r")).alias("s"), F.sum(F.expr("w * p * r")).alias("t"), *each).collect()
+        squares, totals, second = 0.0, np.zeros(n), np.zeros((n, n))
+        for x in rows:
+            squares += x["s"]
+            totals[x["i"]] = x["t"]
+            second[x["i"]] = x[3:]
+        return squares, totals, second
+
+    m = np.zeros(n)
+    now, history, best = at(m), [], math.inf
+    value = lambda m, x, e: x[0] / 2 + aim @ m + e / 2 * m @ m
+    for e in (ridge * 10.0 ** -k for k in range(9)):
+        for _ in range(100):
+            history.append((now[1] - aim).tolist())
+            down = aim - now[1] + e * m
+            if np.abs(down).sum() < gap / 10 or np.abs(now[1] - aim).sum() <= gap / 2:
+                break
+            step = np.linalg.solve(now[2] + e * np.eye(n), -down)
+            size, was = 1.0, value(m, now, e)
+            new = at(m + step)
+            while value(m + size * step, new, e) > was + 1e-4 * size * (down @ step) and size > 1e-6:
+                size /= 2
+                new = at(m + size * step)
+            if size <= 1e-6:
+                break
+            m, now = m + size * step, new
+        left = np.abs(now[1] - aim).sum()
+        if left <= gap / 2 or (e < ridge * 1e-4 and left > 0.99 * best):
+            break
+        best = min(best, left)
+    return m, history
+
+
+def _plain(cells: DataFrame, aim: list[float], total: float, steps: int, ridge: float, tolerance: float) -> tuple[list[list[float]], float]:
+    """(residual before each step, step size) of projected gradient steps in the metric weighted by
+    tokens, whose Lipschitz constant is at most 1 + ridge."""
+    n = len(aim)
     history: list[list[float]] = []
     eta = 1 / (1 + ridge)
     last = None
-    for _ in range(steps if n else 0):
+    for _ in range(steps):
         r = cells.select("tokens", "posterior", rate(F.col("posterior"), history, eta, ridge).alias("r"))
         sums = r.agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("posterior")[i]).alias(f"d{i}") for i in range(n)]).first()
         residual = [(sums[i] or 0.0) / total - aim[i] for i in range(n)]
@@ -126,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str, domain: str = "source", t
         if last is not None and max(abs(a - b) for a, b in zip(residual, last)) < tolerance:
             break
         last = residual
-    return cells, known, history, eta
+    return history, eta
 
 
 def rate(posterior: Column, history: list[list[float]], eta: float, ridge: float) -> Column:
@@ -139,13 +213,12 @@ def rate(posterior: Column, history: list[list[float]], eta: float, ridge: float
     return F.aggregate(_literal(history, "array<array<double>>"), F.lit(1.0), step)
 
 
-def with_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", ridge: float = 0.01, **how) -> DataFrame:
-    """docs with one more struct column, the last: tokens, domain, rate, kept."""
+def with_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", **how) -> DataFrame:
+    """docs with one more struct column, the last: tokens, domain, rate, kept, gap."""
     name, cell, own_cell, own_rate = (fresh(docs, x) for x in ("mixing_stats", "mixing_cell", "fitted_cell", "fitted_rate"))
     d = _features(docs, name, domain)
-    cells, known, history, eta = fit(d, labels, name, domain=domain, ridge=ridge, **how)
-    # One rate a cell: few rows, bounded by the product of the bins.
-    rates = written(cells.select(F.struct(*FEATURES).alias(own_cell), F.round(rate(F.col("posterior"), history, eta, ridge), 6).alias(own_rate)), "rates")
+    cells, _, _, left = fit(d, labels, name, domain=domain, **how)
+    rates = cells.select(F.struct(*FEATURES).alias(own_cell), F.col("rate").alias(own_rate))
     top = rates.agg(F.max(own_rate).alias("m")).first()["m"] or 1.0
     f = F.col(name)
     d = d.withColumn(cell, F.struct(*[f[k].alias(k) for k in FEATURES]))
@@ -153,7 +226,7 @@ def with_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", ridge
         rates = F.broadcast(rates)
     out = d.join(rates, d[cell] == rates[own_cell], "left")
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col(own_rate).alias("rate"), (u < F.col(own_rate) / top).alias("kept"))).drop(cell, own_cell, own_rate)
+    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col(own_rate).alias("rate"), (u < F.col(own_rate) / top).alias("kept"), F.lit(left).alias("gap"))).drop(cell, own_cell, own_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -165,4 +238,4 @@ def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     m = F.col(d.columns[-1])
-    return d.select("doc_id", m["domain"].alias("domain"), m["tokens"].alias("n_tokens"), m["rate"].alias("rate"), m["kept"].alias("kept"))
+    return d.select("doc_id", m["domain"].alias("domain"), m["tokens"].alias("n_tokens"), m["rate"].alias("rate"), m["kept"].alias("kept"), m["gap"].alias("gap"))

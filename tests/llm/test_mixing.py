@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from seepage.llm import mixing
 from tests.llm import cases
@@ -80,3 +82,37 @@ def test_without_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert mixing.with_rates(cases.frame(spark, cases.rows(1, 10, long=False)), none, steps=3).count() > 0
     assert mixing.mix(cases.empty(spark), none).count() == 0
+
+
+def hot(spark, n=600):
+    """Texts that hardly tell their source, and one source with half of them."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(n):
+        d = "hot" if i % 2 else "xyz"[rng.integers(0, 3)]
+        rows.append((i, " ".join(["w"] * int(rng.integers(3, 60) + 3 * (d == "hot"))), ["en", "de", "fr"][rng.integers(0, 3)], d, 1))
+    return (spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id bigint, quality int, toxic int"))
+
+
+def test_fit_reaches_its_targets(spark):
+    docs, labels = hot(spark)
+    d = mixing._features(docs, "f", "source")
+    cells, known, history, left = mixing.fit(d, labels, "f")
+    tokens = {r.domain: r.t for r in d.groupBy("f.domain").agg({"f.tokens": "sum"}).toDF("domain", "t").collect()}
+    aim = np.sqrt([tokens[x] for x in known.domains])
+    aim /= aim.sum()
+    c = cells.toPandas()
+    totals = (c.tokens * c.rate).to_numpy() @ np.array(c.posterior.tolist()) / c.tokens.sum()
+    gap = np.abs(totals - aim).sum()
+    assert abs(gap - left) < 1e-6 and gap < 2e-3 and (c.rate >= 0).all()
+    assert np.abs(history[0]).sum() > 0.1
+    out = mixing.with_rates(docs, labels)
+    assert abs(out.first()[out.columns[-1]].gap - left) < 1e-9
+
+
+def test_unreachable_targets_are_reported(spark):
+    docs, labels = hot(spark, 100)
+    d = mixing._features(docs.withColumn("text", F.lit("same")).withColumn("lang", F.lit("en")), "f", "source")
+    with pytest.warns(UserWarning, match="target weights"):
+        _, _, _, left = mixing.fit(d, labels, "f", targets={"x": 1.0})
+    assert left > 0.5
