@@ -16,9 +16,9 @@ n sums for each of n domains over the cells. The remaining gap is a field of the
 warning if it is above ``gap``. Given ``steps``, so many plain projected gradient steps are made instead. Target
 weights default to the tempered shares share^temper / sum.
 
-``mix`` keeps each document with probability rate / largest rate by a hash of its id and text, so
-the kept tokens of the domains are in expectation in the proportions of the fitted totals and no
-document is repeated.
+``copies`` is floor(rate), and one more with the rate's fraction as probability, by a hash of id and
+text. ``mix`` keeps each document that has copies, once: with probability min(1, rate), so that no
+cell thins another. It repeats none, so what rates above 1 ask for is only in ``copies``.
 
 Defined results: null texts are empty texts of 0 tokens, null sources and languages are the empty
 name; without labelled rows the domains of all documents are used; targets naming unknown domains
@@ -214,19 +214,20 @@ def rate(posterior: Column, history: list[list[float]], eta: float, ridge: float
 
 
 def with_rates(docs: DataFrame, labels: DataFrame, domain: str = "source", **how) -> DataFrame:
-    """docs with one more struct column, the last: tokens, domain, rate, kept, gap."""
+    """docs with one more struct column, the last: tokens, domain, rate, copies, kept, gap."""
     name, cell, own_cell, own_rate = (fresh(docs, x) for x in ("mixing_stats", "mixing_cell", "fitted_cell", "fitted_rate"))
     d = _features(docs, name, domain)
     cells, _, _, left = fit(d, labels, name, domain=domain, **how)
     rates = cells.select(F.struct(*FEATURES).alias(own_cell), F.col("rate").alias(own_rate))
-    top = rates.agg(F.max(own_rate).alias("m")).first()["m"] or 1.0
     f = F.col(name)
     d = d.withColumn(cell, F.struct(*[f[k].alias(k) for k in FEATURES]))
     if rates.count() <= MAX_BROADCAST_CELLS:
         rates = F.broadcast(rates)
     out = d.join(rates, d[cell] == rates[own_cell], "left")
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col(own_rate).alias("rate"), (u < F.col(own_rate) / top).alias("kept"), F.lit(left).alias("gap"))).drop(cell, own_cell, own_rate)
+    whole = F.floor(own_rate)
+    copies = (whole + (u < F.col(own_rate) - whole).cast("int")).cast("int")
+    return out.withColumn(name, F.struct(f["tokens"].alias("tokens"), f["domain"].alias("domain"), F.col(own_rate).alias("rate"), copies.alias("copies"), (copies > 0).alias("kept"), F.lit(left).alias("gap"))).drop(cell, own_cell, own_rate)
 
 
 def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
@@ -238,4 +239,4 @@ def mix(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = with_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     m = F.col(d.columns[-1])
-    return d.select("doc_id", m["domain"].alias("domain"), m["tokens"].alias("n_tokens"), m["rate"].alias("rate"), m["kept"].alias("kept"), m["gap"].alias("gap"))
+    return d.select("doc_id", m["domain"].alias("domain"), m["tokens"].alias("n_tokens"), m["rate"].alias("rate"), m["copies"].alias("copies"), m["kept"].alias("kept"), m["gap"].alias("gap"))

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -116,3 +117,17 @@ def test_unreachable_targets_are_reported(spark):
     with pytest.warns(UserWarning, match="target weights"):
         _, _, _, left = mixing.fit(d, labels, "f", targets={"x": 1.0})
     assert left > 0.5
+
+
+def test_mix_honours_rates(spark):
+    """copies follow the rates; a cell with a large rate takes nothing from the others."""
+    docs, labels = hot(spark)
+    out = mixing.with_rates(docs, labels)
+    rows = [(r.doc_id, r[out.columns[-1]]) for r in out.collect()]
+    assert max(m.rate for _, m in rows) > 1.5
+    assert all(int(m.rate) <= m.copies <= int(m.rate) + 1 and m.kept == (m.copies > 0) for _, m in rows)
+    assert abs(sum(m.tokens * (m.copies - m.rate) for _, m in rows)) < 0.1 * sum(m.tokens for _, m in rows)
+    mixed = mixing.mix(docs, labels)
+    assert mixed.columns == docs.columns
+    got = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert got == Counter({i: 1 for i, m in rows if m.copies})
