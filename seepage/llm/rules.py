@@ -224,9 +224,11 @@ def verdict(stats: Column, rules: list[Rule]) -> Column:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """docs without those that the base rules or the learned list reject."""
+    """docs without those that the base rules or the learned list reject. The statistics are
+    written with their rows first: a filter on them as expressions would be moved below the
+    projections, and split the whole text again for every window of it."""
     name = fresh(docs, "quality_stats")
-    d = with_stats(docs, name)
+    d = written(with_stats(docs, name), "quality-rows")
     rules = learn(d.select("doc_id", F.col(name).alias("stats")), labels, **how)
     return d.where(verdict(F.col(name), rules).isNull()).drop(name)
 

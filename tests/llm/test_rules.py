@@ -80,3 +80,10 @@ def test_without_usable_labels_base_rules_decide(spark):
 
 def test_empty(spark):
     assert rules.quality_filter(cases.empty(spark), spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int")).count() == 0
+
+
+def test_filter_reads_written_statistics(spark):
+    """No text function is left in the filter's plan: it would run for every window."""
+    docs, labels, _ = labelled(spark, 60)
+    plan = rules.quality_filter(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "split(" not in plan and "btrim(" not in plan and "lambda" not in plan
