@@ -1,10 +1,10 @@
 """The corpus pipeline: quality rules, one document of each near-copy class, no benchmark
-leaks, sources mixed to target weights, token files.
+leaks, sources mixed to target weights (documents are repeated, none is dropped), token files.
 
 Each stage takes (spark, docs, sf_dir) and works on what the one before it kept; run()
 writes each stage's result to the shared folder and reads it again. The first four stages
 return the columns of ``documents``; the last one returns, read back from the files, a row
-per document: doc_id, start, n_tokens, ids_crc32.
+per document and copy: doc_id, start, n_tokens, ids_crc32.
 """
 
 from __future__ import annotations
@@ -28,13 +28,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), lowest=1.0, size=MIXED_SIZE)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bitplanes.token_files(spark, docs)
 
 
+#: The mixed corpus has so many times the tokens of what enters the stage: no document is dropped, and
+#: the tokens beyond the first copies (at most mixing's cap of 4 each) go where the targets ask for more.
+MIXED_SIZE = 1.5
+
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", jaccard_join),
