@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, jaccard, lines, mixing, pii, ppm, rules, substrings
+from seepage.llm import bitplanes, chat, decontaminate, filters, jaccard, lines, mixing, pii, ppm, rules, substrings
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_filter_audit": filters.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL}
+    return {"op1_line_dedup": lines.ORACLE_SQL, "op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL,
+            "op11_filter_audit": filters.ORACLE_SQL}

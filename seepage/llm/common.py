@@ -54,11 +54,11 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(_BATCH_ROWS, was)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """df written as Parquet in the shared folder and read again: later plans
     start at the files, which survive the loss of executors."""
     path = shared_path(df.sparkSession, name)
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
