@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seepage.llm import bitplanes, chat, decontaminate, divergence, filters, jaccard, lines, mixing, pii, ppm, rules, substrings
+from seepage.llm import bitplanes, chat, decontaminate, divergence, filters, jaccard, lines, mixing, neighbours, pii, ppm, rules, substrings
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_chat_format": chat.op10_chat_format,
         "op11_filter_audit": filters.op11_filter_audit,
+        "op12_nearest": neighbours.op12_nearest,
         "op13_source_divergence": divergence.op13_source_divergence,
     }
 
@@ -25,4 +26,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": lines.ORACLE_SQL, "op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL,
             "op11_filter_audit": filters.ORACLE_SQL,
-            "op13_source_divergence": divergence.ORACLE_SQL}
+            "op12_nearest": neighbours.op12_nearest,
+        "op13_source_divergence": divergence.ORACLE_SQL}
