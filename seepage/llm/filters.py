@@ -1,13 +1,14 @@
 """Operator 11, filter interaction audit: what five filters take, alone and after one another.
 
 Sparse document-term matrix. A batch of documents becomes a CSR shard: the batch's own dictionary
-gives column numbers, a row a document, an entry the count of a word in it. All batches' words
-meet by word, so that a distinct word of the corpus gets one global number (``dictionary``), and
-what a batch is sent back is one number for each of its distinct words, never a row for each
-entry; with it the shard's columns become global (``document_term_matrix``, kept as Parquet: row
-pointers, columns and counts as little-endian 32-, 64- and 32-bit integers). Row sums are the
-numbers of words and nonzero counts those of distinct words: they decide A and B. Symbols and
-capitals (C, D) are counted on the batch's bytes; identity (E) is that of the texts' SHA-256.
+gives column numbers, a row a document, an entry the count of a word in it. Each shard sends its
+distinct words, dealt to buckets by hash and packed, a row a bucket; where a bucket's words meet, a
+word gets its global number once (``numbers``, of which ``dictionary`` reads the words), and the shard gets
+the numbers of its words back, never a row for each entry. With them its columns become global
+(``document_term_matrix``, kept as Parquet: row pointers, columns and counts as little-endian 32-, 64-
+and 32-bit integers, each compressed by zstandard). Row sums are the numbers of words and nonzero
+counts those of distinct words: they decide A and B. Symbols and capitals (C, D) are counted on the
+bytes; identity (E) is that of the texts' SHA-256.
 
 Documents of one text fail the same of A to D, so rows are counted by (text, part, labels) before
 the smallest doc_id of each text is sought: a text that a third of all rows share costs a few
@@ -27,11 +28,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,23 +45,25 @@ LETTERS = "ABCDE"
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 MIN_WORDS = 200
 SYMBOLS = b"#$%&*|"
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
-_SHARD = ("shard bigint, docs array<struct<doc_id: bigint, part: string, text_hash: binary, c: boolean, d: boolean>>, "
-          "indptr binary, columns binary, counts binary, words array<binary>")
+_DOCS = "docs array<struct<doc_id: bigint, part: string, text_hash: binary, c: boolean, d: boolean>>"
+_SHARD = f"shard bigint, {_DOCS}, indptr binary, columns binary, counts binary, parts array<struct<bucket: int, words: binary>>"
+_UPPER, _TAIL = bytes(range(65, 91)), bytes(range(0x80, 0xC0))
 
 
-def _marks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each text fails C and D, from one pass over all their bytes."""
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    def per_text(flags: np.ndarray) -> np.ndarray:
-        run = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return np.diff(run[np.concatenate([[0], ends])])
-    upper = per_text((buf >= 65) & (buf <= 90))
-    points = per_text((buf & 0xC0) != 0x80)
-    symbol = per_text(np.isin(buf, np.frombuffer(SYMBOLS, np.uint8)))
-    return 100 * upper > 2 * points, symbol > 0
+def pack(values, kind: str) -> bytes:
+    return zstandard.compress(np.asarray(values, kind).tobytes(), 1)
+
+
+def unpack(blob: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+def _marks(text: bytes) -> tuple[bool, bool]:
+    """Whether a text fails C and D."""
+    points = len(text.translate(None, _TAIL))
+    return 100 * (len(text) - len(text.translate(None, _UPPER))) > 2 * points, len(text.translate(None, SYMBOLS)) < len(text)
 
 
 def _batches(tables):
@@ -75,24 +80,47 @@ def _batches(tables):
         yield rows
 
 
-def _shards(tables):
-    """CSR shards with the batch's own column numbers, and its words in that order."""
-    schema = pa.schema([("shard", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("text_hash", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_())]))),
-                        ("indptr", pa.binary()), ("columns", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.binary()))])
-    first = TaskContext.get().partitionId() << 32
-    for k, rows in enumerate(_batches(tables)):
-        texts = [t for _, _, t in rows]
-        c, d = _marks(texts)
-        own: dict[bytes, int] = {}
-        columns, counts, indptr = [], [], [0]
-        for t in texts:
-            n = Counter(t.split())
-            columns += [own.setdefault(w, len(own)) for w in n]
-            counts += n.values()
-            indptr.append(len(columns))
-        docs = [{"doc_id": i, "part": p, "text_hash": hashlib.sha256(t).digest(), "c": bool(x), "d": bool(y)} for (i, p, t), x, y in zip(rows, c, d)]
-        yield pa.RecordBatch.from_pylist([{"shard": first + k, "docs": docs, "indptr": np.array(indptr, "<i4").tobytes(), "columns": np.array(columns, "<i4").tobytes(),
-                                           "counts": np.array(counts, "<i4").tobytes(), "words": list(own)}], schema)
+class _Shards:
+    """CSR shards with the batch's own column numbers, its words by bucket in the order of these."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __call__(self, tables):
+        schema = pa.schema([("shard", pa.int64()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("part", pa.string()), ("text_hash", pa.binary()), ("c", pa.bool_()), ("d", pa.bool_())]))),
+                            ("indptr", pa.binary()), ("columns", pa.binary()), ("counts", pa.binary()), ("parts", pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))])
+        first = TaskContext.get().partitionId() << 32
+        for k, rows in enumerate(_batches(tables)):
+            own: dict[bytes, int] = {}
+            columns, counts, indptr, docs = [], [], [0], []
+            for i, part, text in rows:
+                n = Counter(text.split())
+                columns += [own.setdefault(w, len(own)) for w in n]
+                counts += n.values()
+                indptr.append(len(columns))
+                c, d = _marks(text)
+                docs.append({"doc_id": i, "part": part, "text_hash": hashlib.sha256(text).digest(), "c": c, "d": d})
+            words, bucket = list(own), np.array([zlib.crc32(w) % self.buckets for w in own], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ends = np.cumsum(np.bincount(bucket, minlength=self.buckets))
+            parts = [{"bucket": b, "words": b" ".join([words[j] for j in order[a:e]])} for b, (a, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > a]
+            yield pa.RecordBatch.from_pylist([{"shard": first + k, "docs": docs, "indptr": pack(indptr, "<i4"), "columns": pack(place[np.array(columns, np.int64)], "<i4"),
+                                               "counts": pack(counts, "<i4"), "parts": parts}], schema)
+
+
+def _number(tables):
+    """Numbers for the words of a task's buckets, and the words that are new to it."""
+    have: dict[bytes, int] = {}
+    base = TaskContext.get().partitionId() << 33
+    for t in tables:
+        out = []
+        for blob in t["words"].to_pylist():
+            was, words = len(have), blob.split(b" ")
+            ids = np.array([have.setdefault(w, len(have)) for w in words], np.int64) + base
+            out.append((pack(ids, "<i8"), base + was, b" ".join([w for w, i in zip(words, ids) if i >= base + was])))
+        yield pa.RecordBatch.from_arrays([t["shard"], t["bucket"], *(pa.array(x, k) for x, k in zip(zip(*out), (pa.binary(), pa.int64(), pa.binary())))], ["shard", "bucket", "ids", "first", "new"])
 
 
 def _global_columns(tables):
@@ -100,41 +128,45 @@ def _global_columns(tables):
     for t in tables:
         out = []
         for row in t.select(["indptr", "columns", "counts", "ids"]).to_pylist():
-            indptr, columns, counts = (np.frombuffer(row[k], "<i4") for k in ("indptr", "columns", "counts"))
-            ids = np.array(row["ids"], "<i8")
-            found = ids[columns] if len(columns) else np.zeros(0, "<i8")
+            indptr, columns, counts = (unpack(row[k], "<i4") for k in ("indptr", "columns", "counts"))
+            found = np.concatenate([np.zeros(0, "<i8"), *(unpack(x, "<i8") for x in row["ids"])])[columns]
             order = np.lexsort((found, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-            out.append((found[order].astype("<i8").tobytes(), counts[order].astype("<i4").tobytes()))
+            out.append((pack(found[order], "<i8"), pack(counts[order], "<i4")))
         yield pa.RecordBatch.from_arrays([t["shard"], t["docs"], t["indptr"], pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["shard", "docs", "indptr", "columns", "counts"])
 
 
-def dictionary(local: DataFrame) -> DataFrame:
-    """word, id: every distinct word of the shards, once. Written, so the numbers stay as they are."""
-    words = local.select(F.explode("words").alias("word")).distinct()
-    return written(words.select("word", F.monotonically_increasing_id().alias("id")), "dictionary")
+def numbers(local: DataFrame, buckets: int) -> DataFrame:
+    """shard, bucket, ids: the global numbers of the shard's words of that bucket; first, new: the words
+    that got theirs there, from ``first`` on. Written, so the numbers stay as they are."""
+    places = local.select("shard", F.explode("parts").alias("x")).select("shard", "x.bucket", "x.words")
+    return written(places.repartition(buckets, "bucket").mapInArrow(_number, "shard bigint, bucket int, ids binary, first bigint, new binary"), "numbers")
+
+
+def dictionary(numbered: DataFrame) -> DataFrame:
+    """word, id: every distinct word of the corpus, once."""
+    new = numbered.where(F.octet_length("new") > 0)
+    return new.select("first", F.posexplode(F.split(F.col("new").cast("string"), " ")).alias("at", "word")).select("word", (F.col("first") + F.col("at")).alias("id"))
 
 
 def document_term_matrix(docs: DataFrame) -> DataFrame:
     """CSR shards of docs (doc_id, text, source): shard, docs, indptr, columns, counts."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    local = written(d.mapInArrow(_shards, _SHARD), "shards")
-    places = local.select("shard", F.posexplode("words").alias("at", "word"))
-    ids = dictionary(local)
-    # A shard has as many numbers as its batch has distinct words: bounded as the batch is.
-    own = places.join(ids, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("x"))
-    own = own.select(F.col("shard").alias("own"), F.transform("x", lambda e: e["id"]).alias("ids"))
-    whole = local.drop("words").join(own, F.col("shard") == F.col("own"), "left").drop("own")
-    whole = whole.withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    return written(whole.mapInArrow(_global_columns, _SHARD.rsplit(",", 1)[0]), "matrix", 4)  # a row is a whole shard
+    # A task holds the distinct words of its buckets: their number grows with the setting that sizes all shuffles.
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = written(d.mapInArrow(_Shards(buckets), _SHARD), "shards")
+    own = numbers(local, buckets).groupBy(F.col("shard").alias("own")).agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("x"))
+    whole = local.drop("parts").join(own.select("own", F.transform("x", lambda e: e["ids"]).alias("ids")), F.col("shard") == F.col("own"), "left").drop("own")
+    whole = whole.withColumn("ids", F.coalesce("ids", F.array().cast("array<binary>")))
+    return written(whole.mapInArrow(_global_columns, f"shard bigint, {_DOCS}, indptr binary, columns binary, counts binary"), "matrix", 4)  # a row is a whole shard
 
 
 def _rows(tables):
     """From each row of the matrix: its sum and its number of entries."""
     for t in tables:
         for docs, indptr, counts in zip(t["docs"], t["indptr"].to_pylist(), t["counts"].to_pylist()):
-            indptr = np.frombuffer(indptr, "<i4")
-            run = np.concatenate([[0], np.cumsum(np.frombuffer(counts, "<i4"), dtype=np.int64)])
+            indptr = unpack(indptr, "<i4")
+            run = np.concatenate([[0], np.cumsum(unpack(counts, "<i4"), dtype=np.int64)])
             flat = docs.values
             yield pa.RecordBatch.from_arrays([*flat.flatten(), pa.array(run[indptr[1:]] - run[indptr[:-1]], pa.int64()), pa.array(np.diff(indptr), pa.int64())],
                                              ["doc_id", "part", "text_hash", "c", "d", "n_words", "n_distinct"])

@@ -69,15 +69,15 @@ def test_matrix_holds_the_corpus(spark, monkeypatch):
     """Global columns name words: the matrix and the dictionary give the words back."""
     monkeypatch.setattr(filters, "BATCH_ROWS", 5)
     seen = []
-    make = filters.dictionary
-    monkeypatch.setattr(filters, "dictionary", lambda local: seen.append(make(local)) or seen[-1])
+    make = filters.numbers
+    monkeypatch.setattr(filters, "numbers", lambda *a: seen.append(make(*a)) or seen[-1])
     rows = [(i, t, "s") for i, t in enumerate(texts())]
     shards = filters.document_term_matrix(table(spark, rows)).collect()
-    words = {r.id: bytes(r.word).decode() for r in seen[0].collect()}
+    words = {r.id: r.word for r in filters.dictionary(seen[0]).collect()}
     assert len(words) == len(set(words.values())) and len(shards) > 3
     got = {}
     for s in shards:
-        at, col, n = (np.frombuffer(s[k], t) for k, t in (("indptr", "<i4"), ("columns", "<i8"), ("counts", "<i4")))
+        at, col, n = (filters.unpack(s[k], t) for k, t in (("indptr", "<i4"), ("columns", "<i8"), ("counts", "<i4")))
         for k, doc in enumerate(s.docs):
             assert (np.diff(col[at[k]:at[k + 1]]) > 0).all()
             got[doc.doc_id] = {words[c]: int(x) for c, x in zip(col[at[k]:at[k + 1]], n[at[k]:at[k + 1]])}
