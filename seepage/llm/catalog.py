@@ -24,7 +24,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.ORACLE_SQL, "op3_jaccard_join": jaccard.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op10_chat_format": chat.ORACLE_SQL,
-            "op11_filter_audit": filters.ORACLE_SQL,
-            "op12_nearest": neighbours.op12_nearest,
-        "op13_source_divergence": divergence.ORACLE_SQL}
+    return {
+        "op1_line_dedup": lines.ORACLE_SQL,
+        "op3_jaccard_join": jaccard.ORACLE_SQL,
+        "op9_substring_dedup": substrings.ORACLE_SQL,
+        "op10_chat_format": chat.ORACLE_SQL,
+        "op11_filter_audit": filters.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
+    }

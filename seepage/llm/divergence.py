@@ -49,7 +49,7 @@ ROUND_BYTES = 64 << 20
 #: Entries of a task's table of document counts, and of its dense arrays, before they are sent out.
 ENTRIES, SLOTS = 400_000, 1 << 23
 #: Cells of a block's matrix.
-CELLS = 1 << 20
+CELLS = 1 << 16
 SCALE = 1_000_000_000
 
 _CUT = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))

@@ -37,6 +37,7 @@ def test_native_plans_run_no_python(spark, name, monkeypatch):
 
 
 def test_every_operator_has_one_query():
+    assert all(isinstance(x, str) for x in catalog.oracle_sql().values()) and set(catalog.oracle_sql()) < set(catalog.queries())
     numbers = [int(k[2:].split("_")[0]) for k in catalog.queries()]
     assert numbers == list(range(1, len(numbers) + 1))
 
