@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seepage.operators import rollups as R
 from seepage.operators.fingerprint import as_match_side, fingerprints, fingerprints_from_tree
-from seepage.operators.match import event_columns, leak_matches
+from seepage.operators.match import event_columns
 from seepage.operators.roots import actor_per_root
-from seepage.plans.jobs import owned_writes
+from seepage.plans.jobs import write_matches
 from seepage.streaming.leak_stream import run_leak_stream
 
 
@@ -35,8 +35,7 @@ def scan(files: DataFrame, roots: DataFrame, procs: DataFrame | None = None, pro
 
 def leaks(writes: DataFrame, files: DataFrame, roots: DataFrame, procs: DataFrame | None = None) -> DataFrame:
     s = scan(files, roots, procs)
-    owned = owned_writes(writes, roots, s["actors"])
-    return event_columns(leak_matches(owned, as_match_side(s["fingerprints"])))
+    return event_columns(write_matches(writes, as_match_side(s["fingerprints"]), roots, s["actors"]))
 
 
 def watch(spark: SparkSession, write_log_dir: str, files: DataFrame, roots: DataFrame, trail_dir: str,

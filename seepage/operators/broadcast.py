@@ -53,8 +53,7 @@ class scoped:
 
 
 def bounded_broadcast(df: DataFrame, width: Column | None = None,
-                      max_rows: int = MAX_BROADCAST_ROWS,
-                      max_bytes: int = MAX_BROADCAST_BYTES,
+                      max_rows: int | None = None, max_bytes: int | None = None,
                       sensitive: bool = False) -> tuple[DataFrame, bool]:
     """Return (broadcast(side), True) if df is proven small, else (df, False).
 
@@ -68,6 +67,8 @@ def bounded_broadcast(df: DataFrame, width: Column | None = None,
     persisted (memory + local disk) instead of checkpointed. Results are kept
     per analysed plan for the session (the identity Spark's cache manager uses).
     """
+    max_rows = MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    max_bytes = MAX_BROADCAST_BYTES if max_bytes is None else max_bytes
     key = (id(df.sparkSession), df.semanticHash(), max_rows, max_bytes)
     for orig, res in _CHECKED.get(key, ()):
         if orig.sameSemantics(df):  # the hash is 32-bit: confirm plan equality

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from seepage.functions import columns as C
 from seepage.functions import constants as K
-from seepage.operators.partitioning import spread
-from seepage.operators.roots import files_in_roots, in_ignored_dir
+from seepage.operators.roots import files_in_roots, in_ignored_dir, measured_roots
 
 FP_COLS = ["worktree", "path", "ord", "field", "value", "value_bin", "vlen",
            "value_hash", "classification", "masked"]
@@ -32,11 +31,14 @@ def content_text(df: DataFrame, col: str = "content") -> DataFrame:
 
 def secret_files(files: DataFrame, roots: DataFrame) -> DataFrame:
     """worktree, path, kind ('env' | 'blob') + content columns: J1, F1, F2, F3."""
-    fr = files_in_roots(files, roots)
-    fr = fr.where(~in_ignored_dir(F.col("worktree"), F.col("path")))
+    fr = files_in_roots(with_kind(files), roots)
+    return fr.where(~in_ignored_dir(F.col("worktree"), F.col("path")))
+
+
+def with_kind(files: DataFrame) -> DataFrame:
+    """the files with a secret name, and how they are read."""
     name = C.basename(F.col("path"))
-    fr = fr.where(C.is_secret_file(name))
-    return fr.withColumn("kind", F.when(C.is_env_file(name), F.lit("env")).otherwise(F.lit("blob")))
+    return files.where(C.is_secret_file(name)).withColumn("kind", F.when(C.is_env_file(name), F.lit("env")).otherwise(F.lit("blob")))
 
 
 def env_entries(sf: DataFrame) -> DataFrame:
@@ -79,18 +81,27 @@ def enrich(entries: DataFrame) -> DataFrame:
 
 def fingerprints(files: DataFrame, roots: DataFrame,
                  promote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The inventory: one row per (root, file, entry)."""
-    sf = secret_files(content_text(spread(files)), roots)
-    fps = enrich(env_entries(sf).unionByName(blob_entries(sf)))
-    return promote_unknown(fps, promote).select(*FP_COLS)
+    """The inventory: one row per (root, file, entry).
+
+    Roots within the broadcast bound: contents are cut where they are scanned, under each root that has
+    them. Beyond it each content is cut once, whatever roots it is in, and the roots of the distinct
+    paths are joined to the entries: no content is shuffled for its root."""
+    if measured_roots(roots)[1]:
+        sf = secret_files(content_text(files), roots)
+        entries = env_entries(sf).unionByName(blob_entries(sf))
+    else:
+        sf = with_kind(content_text(files)).withColumn("worktree", F.lit(""))
+        entries = env_entries(sf).unionByName(blob_entries(sf)).drop("worktree")
+        own = files_in_roots(with_kind(files.select("path")).select(F.col("path").alias("_path")).distinct(), roots, "_path")
+        own = own.where(~in_ignored_dir(F.col("worktree"), F.col("_path")))
+        entries = entries.join(own, entries["path"] == own["_path"]).drop("_path")
+    return promote_unknown(enrich(entries), promote).select(*FP_COLS)
 
 
 def fingerprints_from_tree(files: DataFrame, promote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The inventory from S1 rows (worktree, path, content): the walk already
     pruned ignored directories and applied the name filter."""
-    sf = content_text(files)
-    sf = sf.where(C.is_secret_file(C.basename(F.col("path"))))
-    sf = sf.withColumn("kind", F.when(C.is_env_file(C.basename(F.col("path"))), F.lit("env")).otherwise(F.lit("blob")))
+    sf = with_kind(content_text(files))
     return promote_unknown(enrich(env_entries(sf).unionByName(blob_entries(sf))), promote).select(*FP_COLS)
 
 

@@ -7,27 +7,29 @@ Fingerprint key = (fp_worktree, fp_path, fp_ord); one event per (write, key).
 
 Matching runs on the distinct values (nested roots and copied files repeat them); what a
 write matched is joined back to the fingerprints afterwards, on value ids, where the
-other-domain rule (J4) applies. Contents take part map-side only: probe tables are broadcast
-in as many bounded slices as their measured size asks for, and everything that is
-shuffled is thin (ids, positions, counts).
-
-J5 exact, aligned q-gram join. Fix an offset s of the value, s <= L - (q + k - 1). A value
-at byte p of the content covers the content q-gram at the next multiple of k from p + s on,
-a = p + s + c with c < k, and that gram equals the value's gram at offset s + c. So content
-emits every k-th q-gram, a value emits its grams at offsets s .. s + k - 1, and an equi-join
-finds every occurrence, for any s: the one is taken whose grams are rarest among the values,
-so common beginnings ("-----BEGIN", "postgres://") are not probed. Each hit is verified in
-place: bytes at p equal the value, and no earlier occurrence exists.
+other-domain rule (J4) applies. One reading of the contents finds what may match
+(gramscan.py: filters of fixed size, tested on every byte); only thin rows (content hash,
+position, gram) leave it, and they meet the values' grams in one join: broadcast if those
+fit the measured bound, else by a shuffle of the thin rows, so that the number of values
+changes neither the number of readings nor what is read.
+
+J5 exact: each value has one anchor, its rarest 8-byte gram among the values, at offset s (so
+common beginnings, "-----BEGIN", "postgres://", are not probed). An occurrence at p shows the
+anchor at p + s.
 
 J6 fuzzy, trigram prefix filter. A window W matches V iff 10|W∩V| >= 9|W∪V|,
 which needs |W∩V| >= m = ceil(0.9 T), T = |trigrams(V)|. So among any
-T - m + h trigrams of V, W holds at least h (pigeonhole). V emits its
-T - m + h rarest trigrams (rarity = frequency among all values, h = 2); the
-content emits every trigram position. Hits are counted per content hash, value and stretch of
-two buckets of L positions (a window starting in bucket b ends before bucket b + 2), so far
-apart hits do not add up; copies of a content collapse in the partial aggregation.
-Stretches with enough distinct hits come back to the contents by broadcast, and the
-windows that can hold them, at most 2 L bytes, are tested; exact pairs are excluded.
+T - m + 2 trigrams of V, W holds at least 2 (pigeonhole; 1 if V has no T - m + 2). V emits its
+T - m + 2 rarest trigrams (rarity = frequency among all values), numbered. Hits are
+counted per content hash, value and stretch of two buckets of L positions (a window starting
+in bucket b ends before bucket b + 2), so far apart hits do not add up: two different
+trigrams are there iff the smallest and the largest number differ, so sums of hits need four
+numbers a group and collapse before they are shuffled, copies of a content too.
+
+Candidates, exact and fuzzy, go back to the contents in as many bounded broadcasts as their
+measured size asks for (it follows what matches, not how many values there are): an exact one
+compares the bytes at p, a fuzzy one tests the windows that can hold it, at most 2 L bytes, unless the
+value occurs exactly.
 """
 
 from __future__ import annotations
@@ -40,23 +42,14 @@ from pyspark.sql import functions as F
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.functions.similarity import fuzzy_window_udf
-from seepage.operators.broadcast import broadcast_slices, hold
+from seepage.operators import gramscan
+from seepage.operators.broadcast import bounded_broadcast, broadcast_slices, hold
+from seepage.operators.gramscan import ANCHOR, EXACT, FUZZY
 
 FP_KEY = ["fp_worktree", "fp_path", "fp_ord"]
-FP_ATTRS = FP_KEY + ["secret_field", "classification", "value_bin", "vlen"]
-
-# Explode in blocks so no per-row position array grows with the content size.
-_BLOCK = 1 << 16
-
-
-def _positions(df: DataFrame, n: F.Column, last: F.Column, step: int, out: str) -> DataFrame:
-    """Rows for positions 0, step, 2*step, ... <= last (two-level explode)."""
-    blk = _BLOCK - (_BLOCK % step)
-    x = df.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(blk))).alias("_blk"))
-    x = x.select("*", F.explode(F.sequence(F.col("_blk"),
-                                           F.least(F.col("_blk") + F.lit(blk - step), last),
-                                           F.lit(step))).alias(out))
-    return x.drop("_blk")
+_KINDS = {"exact": EXACT, "fuzzy": FUZZY}
+#: Offsets at which a value's anchor is sought: the rarest gram there is found as well as any.
+_ANCHOR_OFFSETS = 4096
 
 
 def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
@@ -79,22 +72,30 @@ def distinct_values(fps: DataFrame) -> DataFrame:
     return v.select(F.unhex(F.md5("value_bin")).alias("vid"), "value_bin", "vlen")
 
 
-def rare_grams(values: DataFrame, q: int, k: int) -> DataFrame:
-    """(vid, off, g): each value's k consecutive q-grams whose commonest is rarest."""
+def anchors(values: DataFrame) -> DataFrame:
+    """(vid, off, vlen, g): each value's rarest 8-byte gram among all values' grams."""
+    last = F.least(F.col("vlen") - ANCHOR, F.lit(_ANCHOR_OFFSETS))
     g = values.select("vid", "vlen", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.col("vlen") - q), lambda i: F.substring("value_bin", i + 1, q))).alias("off", "g"))
+        F.sequence(F.lit(0), last), lambda i: F.substring("value_bin", i + 1, ANCHOR))).alias("off", "g"))
     freq = g.groupBy("g").agg(F.count(F.lit(1)).alias("_df"))
-    g = g.join(freq, "g")
-    # bounded by one value's length
-    run = Window.partitionBy("vid").orderBy("off").rowsBetween(0, k - 1)
-    worst = F.max("_df").over(run)
-    start = (g.select("vid", "vlen", "off", worst.alias("_w")).where(F.col("off") <= F.col("vlen") - (q + k - 1))
-              .groupBy("vid").agg(F.min(F.struct("_w", "off"))["off"].alias("_s")))
-    g = g.join(start, "vid").where((F.col("off") >= F.col("_s")) & (F.col("off") < F.col("_s") + k))
-    return g.select("vid", "off", "g")
+    least = g.join(freq, "g").groupBy("vid", "vlen").agg(F.min(F.struct("_df", "off", "g")).alias("_a"))
+    return least.select("vid", "_a.off", "vlen", "_a.g")
 
 
-_Q, _STRIDE = 4, 5  # together at most MIN_MATCH_LEN + 1 bytes
+def prefix_trigrams(values: DataFrame) -> DataFrame:
+    """(vid, vlen, key, idx, need): per value its P = min(T, T - m + 2) rarest distinct
+    trigrams as numbers, m = ceil(0.9 T), and need = P - (T - m): a matching window misses at
+    most T - m trigrams of V, so it holds at least ``need`` of these P, 2 or 1."""
+    f = values.withColumn("_vt", C.trigrams(F.col("value_bin")))
+    tri = f.select("vid", "vlen", F.size("_vt").alias("_ntri"), F.explode("_vt").alias("_tri"))
+    freq = tri.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
+    tri = tri.join(freq, "_tri")
+    # bounded by one value's length
+    r = F.row_number().over(Window.partitionBy("vid").orderBy("_df", "_tri"))
+    slack = F.col("_ntri") - F.expr("CAST((9 * _ntri + 9) DIV 10 AS BIGINT)")  # T - m
+    p = F.least(F.col("_ntri"), slack + F.lit(2))
+    tri = tri.withColumn("idx", r).where(F.col("idx") <= p)
+    return tri.select("vid", "vlen", F.conv(F.hex("_tri"), 16, 10).cast("bigint").alias("key"), "idx", (p - slack).cast("int").alias("need"))
 
 
 @dataclass
@@ -103,109 +104,78 @@ class Probes:
     batches (a stream's index is fixed at start). All parts are held until release()."""
     fps: DataFrame
     values: DataFrame
-    grams: list[DataFrame]
-    prefixes: list[DataFrame]
+    probe: DataFrame
+    filters: object
+    kinds: tuple[int, ...]
 
 
-def probe_tables(fps: DataFrame, kinds=("exact", "fuzzy"), hits: int = 2) -> Probes:
+def probe_tables(fps: DataFrame, kinds=("exact", "fuzzy")) -> Probes:
     fps = hold(fps)
     values = hold(distinct_values(fps))
-    grams, prefixes = [], []
-    if "exact" in kinds:
-        g = rare_grams(values, _Q, _STRIDE).withColumnRenamed("vid", "_gv").join(values, F.col("_gv") == F.col("vid")).drop("_gv")
-        grams = broadcast_slices(g, "vid", F.col("vlen") + F.lit(_Q + 64))
-    if "fuzzy" in kinds:
-        prefixes = broadcast_slices(prefix_trigrams(values, hits), "vid", F.lit(64))
-    return Probes(fps, values, grams, prefixes)
-
-
-def exact_values(writes: DataFrame, sides: list[DataFrame], q: int = _Q, k: int = _STRIDE) -> DataFrame:
-    """J5, map-only on the writes: (write columns without content, vid)."""
-    assert q + k - 1 <= K.MIN_MATCH_LEN
-    w = writes.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= K.MIN_MATCH_LEN)
-    w = _positions(w, F.col("_n"), F.col("_n") - q, k, "_a")
-    w = w.withColumn("_wg", F.substring("content_bin", F.col("_a") + 1, q))
-    out = None
-    for side in sides:
-        j = w.join(side, w["_wg"] == side["g"])
-        p = F.col("_a") - F.col("off")
-        j = j.where((p >= 0) & (p + F.col("vlen") <= F.col("_n")))
-        j = j.where(F.substring("content_bin", p + 1, F.col("vlen")) == F.col("value_bin"))
-        first = ~F.contains(F.substring("content_bin", F.lit(1), p + F.col("vlen") - 1), F.col("value_bin"))
-        j = j.where(first).drop("_n", "_a", "_wg", "g", "off", "vlen", "content_bin", "value_bin")
-        out = j if out is None else out.unionByName(j)
-    return out
-
-
-def prefix_trigrams(values: DataFrame, hits: int = 2) -> DataFrame:
-    """(vid, vlen, _tri, _need): per value its P = min(T, T - m + hits) rarest distinct
-    trigrams, m = ceil(0.9 T), and ``_need`` = P - (T - m): a matching window misses at
-    most T - m trigrams of V, so it holds at least ``_need`` of these P."""
-    f = values.withColumn("_vt", C.trigrams(F.col("value_bin")))
-    tri = f.select("vid", "vlen", F.size("_vt").alias("_ntri"), F.explode("_vt").alias("_tri"))
-    freq = tri.groupBy("_tri").agg(F.count(F.lit(1)).alias("_df"))
-    tri = tri.join(freq, "_tri")
-    r = F.row_number().over(Window.partitionBy("vid").orderBy("_df", "_tri"))
-    slack = F.col("_ntri") - F.expr("CAST((9 * _ntri + 9) DIV 10 AS BIGINT)")  # T - m
-    p = F.least(F.col("_ntri"), slack + F.lit(hits))
-    tri = tri.withColumn("_r", r).where(F.col("_r") <= p)
-    return tri.select("vid", "vlen", "_tri", (p - slack).alias("_need"))
-
-
-def fuzzy_candidates(contents: DataFrame, sides: list[DataFrame]) -> DataFrame:
-    """(_ch, vid, win_lo, win_hi): stretches of contents (_ch, content_bin) with at least
-    ``_need`` distinct prefix trigrams of the value (necessary, not sufficient)."""
-    w = contents.withColumn("_n", F.octet_length("content_bin")).where(F.col("_n") >= 3)
-    w = _positions(w, F.col("_n"), F.col("_n") - 3, 1, "_pos")
-    w = w.withColumn("_wt", F.substring("content_bin", F.col("_pos") + 1, 3)).drop("content_bin")
-    out = None
-    for side in sides:
-        j = w.join(side, w["_wt"] == side["_tri"])
-        b = F.floor(F.col("_pos") / F.col("vlen"))
-        j = j.select("_ch", "vid", "vlen", "_need", "_pos", "_tri", F.explode(F.array(b, b - 1)).alias("_b")).where("_b >= 0")
-        g = j.groupBy("_ch", "vid", "vlen", "_need", "_b").agg(
-            F.size(F.collect_set("_tri")).alias("_hits"), F.min("_pos").alias("_tmin"), F.max("_pos").alias("_tmax"))
-        g = g.where(F.col("_hits") >= F.col("_need"))
-        lo = F.greatest(F.col("_b") * F.col("vlen"), F.col("_tmin") - F.col("vlen") + 3, F.lit(0))
-        hi = F.least((F.col("_b") + 1) * F.col("vlen") - 1, F.col("_tmax"))
-        g = g.select("_ch", "vid", lo.cast("int").alias("win_lo"), hi.cast("int").alias("win_hi")).where("win_lo <= win_hi")
-        out = g if out is None else out.unionByName(g)
-    return out
-
-
-def fuzzy_values(writes: DataFrame, values: DataFrame, sides: list[DataFrame]) -> DataFrame:
-    """(write columns without content, vid)."""
+    found, own = tuple(_KINDS[k] for k in kinds), []
+    if EXACT in found:
+        a = gramscan.encode_anchors(anchors(values))
+        own.append(a.select(F.lit(EXACT).alias("kind"), "key", "vid", "vlen", "off", F.lit(1).alias("idx"), F.lit(1).alias("need")))
+    if FUZZY in found:
+        t = prefix_trigrams(values)
+        own.append(t.select(F.lit(FUZZY).alias("kind"), "key", "vid", "vlen", F.lit(0).alias("off"), "idx", "need"))
+    probe, _ = bounded_broadcast(own[0] if len(own) == 1 else own[0].unionByName(own[1]), sensitive=True)
+    words = gramscan.filter_words(probe.where(F.col("kind") == EXACT).count())
+    filters = fps.sparkSession.sparkContext.broadcast(gramscan.build_filters(probe, words))
+    return Probes(fps, values, probe, filters, found)
+
+
+def candidates(contents: DataFrame, probes: Probes) -> DataFrame:
+    """(_ch, kind, vid, vlen, lo, hi): places of contents (_ch, content_bin) that may hold a value,
+    an exact one at lo, a fuzzy one in a window that starts at lo .. hi (necessary, not sufficient)."""
+    s = gramscan.scan(contents, probes.filters, probes.kinds)
+    p = probes.probe.withColumnRenamed("kind", "_kind").withColumnRenamed("key", "_key")
+    j = s.join(p, (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind")))
+    exact = F.col("kind") == EXACT
+    b = F.when(exact, F.col("pos") - F.col("off")).otherwise(F.floor(F.col("pos") / F.col("vlen"))).cast("int")
+    j = j.select("_ch", "n", "kind", "vid", "vlen", "need", "idx", "pos", F.explode(F.when(exact, F.array(b)).otherwise(F.array(b, b - 1))).alias("b"))
+    j = j.where((F.col("b") >= 0) & (~exact | (F.col("b") + F.col("vlen") <= F.col("n"))))
+    g = j.groupBy("_ch", "kind", "vid", "vlen", "need", "b").agg(
+        F.min("idx").alias("_imin"), F.max("idx").alias("_imax"), F.min("pos").alias("_tmin"), F.max("pos").alias("_tmax"))
+    g = g.where((F.col("need") <= 1) | (F.col("_imin") < F.col("_imax")))
+    lo = F.greatest(F.col("b") * F.col("vlen"), F.col("_tmin") - F.col("vlen") + 3, F.lit(0))
+    hi = F.least((F.col("b") + 1) * F.col("vlen") - 1, F.col("_tmax"))
+    g = g.select("_ch", "kind", "vid", "vlen", F.when(exact, F.col("b")).otherwise(lo).cast("int").alias("lo"), F.when(exact, F.col("b")).otherwise(hi).cast("int").alias("hi"))
+    return g.where("lo <= hi")
+
+
+def matched_values(writes: DataFrame, probes: Probes) -> DataFrame:
+    """(write columns without content, vid, kind), exact else fuzzy."""
     w = writes.withColumn("_ch", F.unhex(F.sha2("content_bin", 256)))
-    cand = fuzzy_candidates(w.select("_ch", "content_bin"), sides).join(values, "vid").withColumnRenamed("_ch", "_cch")
+    cand = candidates(w, probes).join(probes.values.drop("vlen"), "vid").withColumnRenamed("_ch", "_cch")
     out = None
     for side in broadcast_slices(cand, "_cch", F.col("vlen") + F.lit(112)):
         v = w.join(side, w["_ch"] == side["_cch"])
-        v = v.where(~F.contains(F.col("content_bin"), F.col("value_bin")))
-        # only the bytes of the windows go to Python; a shorter content is compared whole
+        exact = (F.col("kind") == EXACT) & (F.substring("content_bin", F.col("lo") + 1, F.col("vlen")) == F.col("value_bin"))
+        # only the bytes of the windows go to Python, and nothing of an exact candidate; a shorter content is compared whole
         n = F.octet_length("content_bin")
         part = F.when(n < F.col("vlen"), F.col("content_bin")).otherwise(
-            F.substring("content_bin", F.col("win_lo") + 1, F.col("win_hi") - F.col("win_lo") + F.col("vlen")))
-        v = v.withColumn("_part", part).withColumn("_last", F.col("win_hi") - F.col("win_lo")).drop("content_bin")
-        v = v.where(fuzzy_window_udf("_part", "value_bin", F.lit(0), "_last"))
-        v = v.drop("_ch", "_cch", "_part", "_last", "value_bin", "vlen", "win_lo", "win_hi").dropDuplicates(["write_id", "vid"])
+            F.substring("content_bin", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("vlen")))
+        part = F.when((F.col("kind") == FUZZY) & ~F.contains(F.col("content_bin"), F.col("value_bin")), part)
+        v = v.withColumn("_same", exact).withColumn("_part", part).withColumn("_last", F.col("hi") - F.col("lo")).drop("content_bin")
+        v = v.where("_same OR _part IS NOT NULL")
+        if FUZZY in probes.kinds:
+            v = v.where(F.col("_same") | fuzzy_window_udf("_part", "value_bin", F.lit(0), "_last"))
+        v = v.drop("_ch", "_cch", "_part", "_last", "_same", "value_bin", "vlen", "lo", "hi").dropDuplicates(["write_id", "vid"])
         out = v if out is None else out.unionByName(v)
     return out
 
 
-def leak_matches(writes: DataFrame, fps: DataFrame | Probes, kinds=("exact", "fuzzy")) -> DataFrame:
+def leak_matches(writes: DataFrame, fps: DataFrame | Probes, kinds=("exact", "fuzzy"), owned=None) -> DataFrame:
     """J7 core: exact else fuzzy (fuzzy pairs exclude exact ones), one row per
     (write, fingerprint key). The fingerprints, their distinct values and the probe tables
-    are held (memory + disk; lost blocks are recomputed from lineage)."""
+    are held (memory + disk; lost blocks are recomputed from lineage). ``owned`` adds
+    target_worktree to what was found, if the writes do not have it yet."""
     probes = fps if isinstance(fps, Probes) else probe_tables(fps, kinds)
     fps = probes.fps
-    parts = []
-    if "exact" in kinds:
-        parts.append(exact_values(writes, probes.grams).withColumn("match_kind", F.lit(K.MATCH_EXACT)))
-    if "fuzzy" in kinds:
-        parts.append(fuzzy_values(writes, probes.values, probes.prefixes).withColumn("match_kind", F.lit(K.MATCH_FUZZY)))
-    found = parts[0]
-    for extra in parts[1:]:
-        found = found.unionByName(extra)
+    found = matched_values(writes, probes)
+    found = owned(found) if owned else found
+    found = found.withColumn("match_kind", F.when(F.col("kind") == EXACT, F.lit(K.MATCH_EXACT)).otherwise(F.lit(K.MATCH_FUZZY))).drop("kind")
     keys = fps.select(*FP_KEY, "secret_field", "classification", "vlen", F.unhex(F.md5("value_bin")).alias("_fv"))
     j = found.join(keys, (found["vid"] == keys["_fv"]) & (found["target_worktree"] != keys["fp_worktree"]))
     return j.drop("vid", "_fv")

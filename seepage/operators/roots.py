@@ -2,8 +2,10 @@
 J3 (first actor per root), J8 (target pid), F1 (ignored directories).
 
 A root R contains path P iff P == R or P starts with R + '/'. Equivalently R is
-one of P's '/'-cut prefixes (or P itself), so containment becomes an equi-join
-on exploded prefixes: no LIKE, no nested loop, separator-safe by construction.
+one of P's '/'-cut prefixes (or P itself), and of those only the prefixes with as many
+components as some root has count. So containment is an equi-join: no LIKE, no nested
+loop, separator-safe by construction, and one join for each number of components that roots
+have (two or three of them, as a rule) finds the longest without a group or an array.
 """
 
 from __future__ import annotations
@@ -40,64 +42,79 @@ def root_paths(roots: DataFrame) -> DataFrame:
                  .where(F.col("root").isNotNull() & (F.col("root") != "")).distinct())
 
 
-def root_closure(roots: DataFrame) -> DataFrame:
-    """root, nested: the roots directly below each root (no root in between). A path
-    under a deeper one is also under one of these, so they are enough for J2, and
-    each root is listed once however deep the roots are nested."""
-    r = root_paths(roots)
-    child = explode_prefixes(r.select(F.col("root").alias("child")), "child", "_anc")
-    child = child.where(F.col("_anc") != F.col("child"))
-    pairs = child.join(r, child["_anc"] == r["root"]).select("root", "child")
-    parent = pairs.groupBy("child").agg(F.max_by("root", F.length("root")).alias("root"))
-    nested = parent.groupBy("root").agg(F.collect_list("child").alias("nested"))
-    return (r.join(nested, "root", "left")
-             .select("root", F.coalesce("nested", F.array().cast("array<string>")).alias("nested"),
-                     C.basename(F.col("root")).alias("root_base")))
+def _components(path: Column) -> Column:
+    return F.size(F.split(path, "/"))
 
 
-def measured_closure(roots: DataFrame) -> tuple[DataFrame, bool]:
-    """The closure, broadcast if its measured bytes fit; and whether they do."""
-    width = F.octet_length("root") + F.octet_length("root_base") + F.aggregate(
-        "nested", F.lit(0), lambda n, x: n + F.octet_length(x) + F.lit(16))
-    return bounded_broadcast(root_closure(roots), width=width)
+#: With more different numbers of components than this, prefixes are exploded instead of one join for each.
+MAX_DEPTHS = 24
 
 
-def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner") -> DataFrame:
-    """Add ``out`` = the longest root containing ``path_col``; unowned rows drop.
+def measured_roots(roots: DataFrame) -> tuple[DataFrame, bool, list[int]]:
+    """(root, depth), broadcast if their measured bytes fit; whether they do; the different depths,
+    i.e. numbers of components, deepest first (at most as many as the longest path has)."""
+    r = root_paths(roots).withColumn("depth", _components(F.col("root")))
+    side, small = bounded_broadcast(r, width=F.octet_length("root") + F.lit(8))
+    if not hasattr(side, "_depths"):
+        side._depths = sorted((x.depth for x in side.select("depth").distinct().collect()), reverse=True)
+    return side, small, side._depths
 
-    Broadcast closure (measured): prefixes are probed in a broadcast hash join
-    and the deepest hit is kept by a per-row test against the hit root's direct
-    child roots, so ownership costs no shuffle at all. If the roots do not fit a
-    broadcast, the owners of the distinct paths are found by a shuffle of paths
-    alone, and the rows are joined to them once.
-    """
-    clo, small = measured_closure(roots)
 
-    def owned(rows: DataFrame, path: str) -> DataFrame:
-        x = explode_prefixes(rows, path, "_anc", keep_array="_pre")
-        # A child root contains the path iff it is one of its prefixes: a plain
-        # array test, no lambda over the path in a join predicate.
-        x = x.join(clo, (x["_anc"] == clo["root"]) & ~F.arrays_overlap(clo["nested"], x["_pre"]))
-        return x.drop("_anc", "_pre", "nested").withColumnRenamed("root", out).withColumnRenamed("root_base", out + "_base")
+def owners_of_paths(paths: DataFrame, path_col: str, roots: DataFrame, out: str) -> DataFrame:
+    """Beyond the broadcast bound: (path_col, out) for the owned ones of distinct paths, by a shuffle of paths alone."""
+    side, _, depths = measured_roots(roots)
+    x = _containing(paths.select(path_col).distinct(), path_col, side, depths)
+    return x.groupBy(path_col).agg(F.max_by("root", "depth").alias(out))
+
 
-    if small:
-        return owned(df, path_col)
-    by = owned(df.select(F.col(path_col).alias("_path")).distinct(), "_path")
-    return df.join(by, df[path_col] == by["_path"]).drop("_path")
+def owner_root(df: DataFrame, path_col: str, roots: DataFrame, out: str = "owner") -> DataFrame:
+    """Add ``out`` = the longest root containing ``path_col`` (and ``out``_base, its
+    name); unowned rows drop.
+
+    Roots within the measured bound: for each depth of roots a broadcast join on the path's prefix of
+    that many components, and the deepest that hits. Rows stay where they are and as many as
+    they were; nothing in a broadcast row grows with the number of roots in a root. Beyond the
+    bound the owners of the distinct paths are found by a shuffle of paths, to which ``df`` is joined:
+    hand in thin rows then (ids and paths, no contents).
+    """
+    side, small, depths = measured_roots(roots)
+    if small and len(depths) <= MAX_DEPTHS:
+        x = df.where(F.col(path_col).isNotNull())
+        for d in depths:
+            one = side.where(F.col("depth") == d).select(F.col("root").alias(f"_root{d}"))
+            x = x.join(F.broadcast(one), _prefix(F.col(path_col), F.lit(d)) == F.col(f"_root{d}"), "left")
+        found = F.coalesce(*[F.col(f"_root{d}") for d in depths]) if depths else F.lit(None).cast("string")
+        x = x.withColumn(out, found).drop(*[f"_root{d}" for d in depths]).where(F.col(out).isNotNull())
+    else:
+        by = owners_of_paths(df, path_col, roots, out).withColumnRenamed(path_col, "_path")
+        x = df.join(by, df[path_col] == by["_path"]).drop("_path")
+    return x.withColumn(out + "_base", C.basename(F.col(out)))
+
+
+def _containing(df: DataFrame, path_col: str, side: DataFrame, depths: list[int]) -> DataFrame:
+    """df with root, depth: a row for each root that contains the path."""
+    path = F.col(path_col)
+    x = df.where(path.isNotNull())
+    if len(depths) > MAX_DEPTHS:
+        x = explode_prefixes(x, path_col, "_anc")
+    else:
+        n = _components(path)
+        own = F.array(*[F.when(n >= d, _prefix(path, F.lit(d))) for d in depths] or [F.lit(None).cast("string")])
+        x = x.select("*", F.explode(F.filter(own, lambda p: p.isNotNull())).alias("_anc"))
+    return x.join(side, x["_anc"] == side["root"]).drop("_anc")
 
 
 def files_in_roots(files: DataFrame, roots: DataFrame, path_col: str = "path",
                    out: str = "worktree") -> DataFrame:
-    """One row per (containing root, file); nested roots each get the file."""
-    clo, _ = measured_closure(roots)  # the same measured side as J2
-    r = clo.select("root")
-    x = explode_prefixes(files, path_col, "_anc")
-    return x.join(r, x["_anc"] == r["root"]).drop("_anc").withColumnRenamed("root", out)
+    """One row per (containing root, file); nested roots each get the file. Beyond the
+    broadcast bound ``files`` are shuffled: hand in thin rows then."""
+    side, _, depths = measured_roots(roots)
+    return _containing(files, path_col, side, depths).drop("depth").withColumnRenamed("root", out)
 
 
 def in_ignored_dir(root: Column, path: Column, root_base: Column | None = None) -> Column:
     """basename(root) or a directory of the path below root is ignored.
-    ``root_base`` may carry the precomputed basename (from the root closure)."""
+    ``root_base`` may carry the precomputed basename (as J2 adds it)."""
     rel_s = path.substr(F.length(root) + 2, F.length(path))
     parts = F.split(rel_s, "/")
     dirs = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
@@ -112,7 +129,7 @@ def actor_per_root(procs: DataFrame, roots: DataFrame) -> DataFrame:
     p = procs.where(F.col("cwd").isNotNull() & (F.col("cwd") != "") & (F.col("pid") != 0))
     owned = owner_root(p.select("pid", "ord", "cwd"), "cwd", roots, "worktree").drop("worktree_base")
     first = owned.groupBy("worktree").agg(F.min_by("pid", "ord").alias("agent_pid"))
-    if measured_closure(roots)[1]:  # one narrower row per root at most, and the roots fit
+    if measured_roots(roots)[1]:  # one narrower row per root at most, and the roots fit
         first = F.broadcast(first)
     r = root_paths(roots).withColumnRenamed("root", "worktree")
     return (r.join(first, "worktree", "left")
@@ -124,7 +141,7 @@ def with_target_pid(df: DataFrame, actors: DataFrame, root_col: str = "target_wo
     """Look up the root's actor pid (0 when unknown).
 
     small: whether the actors (one row per root) are known to fit a broadcast,
-    as when their roots passed the closure's check; None measures them."""
+    as when their roots passed the check; None measures them."""
     a = actors.select(F.col("worktree").alias("_wt"), F.col("agent_pid").alias("_pid"))
     if small is None:
         a = bounded_broadcast(a, width=F.octet_length("_wt") + F.lit(16))[0]

@@ -2,7 +2,8 @@
 
 Domain = ``source``; fingerprints = quoted assignments ``name = "value"`` in
 the text (field = name, value = the quoted part, ord = match index); writes =
-the documents themselves. Same operators as the fixture lane.
+the documents themselves, and of those with an assignment a fork in a domain of its
+own (negative ids) whose values end otherwise. Same operators as the fixture lane.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 from seepage.operators.fingerprint import enrich
 from seepage.operators.match import leak_matches
-from seepage.operators.partitioning import spread
 from seepage.plans.tables import table
 
 # fixed value: the assignment pattern (same text for Java regex and RE2)
 ASSIGN_RE = '([A-Za-z_][A-Za-z0-9_.-]*) *= *"([^"]+)"'
+# fixed value: what a fork changes, the last character of each quoted value
+EDIT_RE = '= *"([^"]+)[^"]"'
 
 
 def doc_fingerprints(docs: DataFrame) -> DataFrame:
@@ -46,9 +48,17 @@ def doc_writes(docs: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("target_agent_pid"))
 
 
+def with_forks(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", "source", "text").where(F.col("text").isNotNull())
+    forks = d.where(F.col("text").contains("=") & F.col("text").contains('"')).select(
+        (-1 - F.col("doc_id")).alias("doc_id"), F.concat("source", F.lit("-fork")).alias("source"),
+        F.regexp_replace("text", EDIT_RE, '= "$1Z"').alias("text"))
+    return d.unionByName(forks)
+
+
 def doc_leaks(spark: SparkSession, sf_dir: str, kinds=("exact",)) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
-    m = leak_matches(doc_writes(docs), doc_match_side(doc_fingerprints(docs)), kinds)
+    docs = table(spark, sf_dir, "documents")
+    m = leak_matches(doc_writes(with_forks(docs)), doc_match_side(doc_fingerprints(docs)), kinds)
     return m.select(F.col("write_id").alias("doc_id"), F.col("target_worktree").alias("source"),
                     F.col("fp_path").cast("bigint").alias("source_doc_id"),
                     F.col("fp_worktree").alias("source_domain"), F.col("fp_ord").alias("source_ord"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from seepage.functions import constants as K
 from seepage.functions.columns import SECRET_FILE_RE_RE2
-from seepage.plans.documents import ASSIGN_RE
+from seepage.plans.documents import ASSIGN_RE, EDIT_RE
 from seepage.plans.fixtures import fixture_sql
 from seepage.plans.tables import oracle_names
 
@@ -207,5 +207,7 @@ def doc_ctes() -> list:
         "(SELECT doc_id, source, fs, vs, unnest(range(len(fs))) AS ord FROM d_ex))",
         f"dfps AS (SELECT doc_id, source, ord, field, value, strlen(value) AS vlen, {vhash('value')} AS value_hash, "
         f"{classify('value', 'field')} AS classification FROM d_fp0)",
-        f"dw AS (SELECT doc_id, source, text AS content FROM {N['documents']} WHERE text IS NOT NULL)",
+        f"dw AS (SELECT doc_id, source, text AS content FROM {N['documents']} WHERE text IS NOT NULL UNION ALL "
+        f"SELECT -1 - doc_id, source || '-fork', regexp_replace(text, {q(EDIT_RE)}, " + q('= "\\1Z"') + f", 'g') FROM {N['documents']} "
+        "WHERE contains(text, '=') AND contains(text, '\"'))",
     ]

@@ -16,8 +16,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from seepage.operators.broadcast import scoped
 from seepage.operators.fingerprint import as_match_side
-from seepage.operators.match import Probes, event_columns, leak_matches, probe_tables
-from seepage.operators.roots import measured_closure
+from seepage.operators.match import Probes, event_columns, probe_tables
+from seepage.operators.roots import measured_roots
 from seepage.plans import jobs
 from seepage.plans.fixtures import fixture
 from seepage.session import scratch_path
@@ -50,8 +50,7 @@ def leak_batch_writer(probes: Probes, roots: DataFrame, actors: DataFrame, trail
     """foreachBatch body: J7 on the micro-batch, events to trail/batch_id=N."""
     def run(batch: DataFrame, batch_id: int) -> None:
         with scoped():
-            owned = jobs.owned_writes(batch, roots, actors)
-            ev = event_columns(leak_matches(owned, probes))
+            ev = event_columns(jobs.write_matches(batch, probes, roots, actors))
             append_leak_events(ev, f"{trail_dir}/batch_id={batch_id}", mode="overwrite")
     return run
 
@@ -61,7 +60,7 @@ def run_leak_stream(spark: SparkSession, log_dir: str, fps: DataFrame, roots: Da
                     max_files_per_trigger: int | None = None):
     probes = probe_tables(as_match_side(fps))
     roots, actors = snapshot(roots), snapshot(actors)
-    measured_closure(roots)  # measured and held once; batches find it
+    measured_roots(roots)  # measured and held once; batches find it
     q = (write_stream(spark, log_dir, max_files_per_trigger=max_files_per_trigger).writeStream
          .foreachBatch(leak_batch_writer(probes, roots, actors, trail_dir))
          .option("checkpointLocation", checkpoint))

@@ -1,7 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
+from seepage import api
 from seepage.operators.fingerprint import fingerprints
-from seepage.operators.roots import actor_per_root, owner_root
+from seepage.operators.roots import actor_per_root, measured_roots, owner_root
 
 
 def fp(spark, files, roots):
@@ -97,16 +100,51 @@ def test_pid_zero_does_not_hide_a_later_process(spark):
 
 
 def test_many_chained_roots_and_no_broadcast(spark, monkeypatch):
-    """400 roots below one another: each has one direct child; the shuffled way agrees."""
+    """400 roots below one another, more depths than there are joins for; the shuffled way agrees."""
     from seepage.operators import broadcast as B
-    from seepage.operators.roots import root_closure
     paths = ["/" + "/".join(f"d{j}" for j in range(i + 1)) for i in range(400)]
     roots = spark.createDataFrame([(p,) for p in paths], "path string")
-    assert root_closure(roots).selectExpr("max(size(nested)) AS n").first().n == 1
-    rows = spark.createDataFrame([(i, paths[i] + "/f", "content") for i in range(0, 400, 37)] + [(-1, "/other", "x")], "id long, path string, content string")
+    rows = spark.createDataFrame([(i, paths[i] + "/f", "content") for i in range(0, 400, 37)] + [(-1, "/other", "x"), (-2, None, "x")], "id long, path string, content string")
     want = {i: paths[i] for i in range(0, 400, 37)}
     assert {r.id: r.owner for r in owner_root(rows, "path", roots).collect()} == want
     B.release()
-    monkeypatch.setattr(B.bounded_broadcast, "__defaults__", (None, 0, 0, False))
+    monkeypatch.setattr(B, "MAX_BROADCAST_ROWS", 0)
     assert {r.id: r.owner for r in owner_root(rows, "path", roots).collect()} == want
     B.release()
+
+
+def test_many_roots_in_one_root(spark):
+    """No row grows with the children of a root, and rows are neither copied nor shuffled for their owner."""
+    from tests.test_plans import formatted
+    roots = spark.range(200_000).selectExpr("concat('/top/c', id) AS path").union(spark.createDataFrame([("/top",)], "path string"))
+    rows = spark.createDataFrame([(1, "/top/c77/x"), (2, "/top/zz/c77/x"), (3, "/top/c200000"), (4, "/top"), (5, "/topper/c77"), (6, "/top/c199999")], "id long, path string")
+    got = owner_root(rows, "path", roots)
+    assert {r.id: r.owner for r in got.collect()} == {1: "/top/c77", 2: "/top", 3: "/top", 4: "/top", 6: "/top/c199999"}
+    txt = formatted(got)
+    assert txt.count("BroadcastHashJoin LeftOuter") >= 2 and "SortMergeJoin" not in txt and "Generate" not in txt
+    assert not [t for t in measured_roots(roots)[0].dtypes if "array" in t[1]]
+
+
+def test_roots_beyond_the_bound_shuffle_no_contents(spark, monkeypatch):
+    """Fingerprints, owners and matches are the same, and no exchange has a content."""
+    from seepage.operators import broadcast as B
+    from tests.test_plans import formatted
+    roots = spark.createDataFrame([("/r/a",), ("/r/a/deep",), ("/r/b",), ("/r/build",)], "path string")
+    files = spark.createDataFrame([("/r/a/deep/.env", "TOK=lemon-kestrel-190283\nX=1\n"), ("/r/a/.git/.env", "TOK=never-seen-value-1\n"), ("/r/b/id_rsa", " key-material-55512 \n"),
+                                   ("/r/build/.env", "TOK=also-never-seen-2\n"), ("/q/.env", "TOK=outside-of-roots-3\n"), ("/r/b/.env", "OWN=quince-tapir-4471\n")], "path string, content string")
+    writes = spark.createDataFrame([(1, None, "/r/b/x", "say lemon-kestrel-190283", "write"), (2, None, "/r/a/y", "key-material-55512 quince-tapir-4471", "write"), (3, None, "/q/z", "lemon-kestrel-190283", "write"),
+                                    (4, None, "/r/a/node_modules/y", "key-material-55512", "write"), (5, None, "/r/a/deep/w", "quince-tapir-4471 lemon-kestrel-190283", "write")],
+                                   "write_id long, ts timestamp, path string, content string, kind string")
+    procs = spark.createDataFrame([(11, 1, "/r/a/deep/src"), (12, 2, "/r/a"), (13, 3, "/r/b")], "pid long, ord long, cwd string")
+    cols = ["worktree", "path", "ord", "field", "value_hash"]
+    f1, e1 = sorted(map(str, fingerprints(files, roots).select(cols).collect())), sorted(map(str, api.leaks(writes, files, roots, procs).collect()))
+    B.release()
+    monkeypatch.setattr(B, "MAX_BROADCAST_ROWS", 0)
+    fps, ev = fingerprints(files, roots).select(cols), api.leaks(writes, files, roots, procs)
+    assert sorted(map(str, fps.collect())) == f1 and len(f1) == 6
+    assert sorted(map(str, ev.collect())) == e1 and len(e1) == 6
+    for df in (fps, ev):
+        for part in formatted(df).split("\n\n"):
+            if re.match(r"\(\d+\) Exchange", part.strip()):
+                assert "content" not in part, part
+    B.release()
