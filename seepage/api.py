@@ -19,6 +19,7 @@ from seepage.operators.fingerprint import as_match_side, fingerprints, fingerpri
 from seepage.operators.match import event_columns
 from seepage.operators.roots import actor_per_root
 from seepage.plans.jobs import write_matches
+from seepage.sources.tree_stream import written_files
 from seepage.streaming.leak_stream import run_leak_stream
 
 
@@ -38,11 +39,18 @@ def leaks(writes: DataFrame, files: DataFrame, roots: DataFrame, procs: DataFram
     return event_columns(write_matches(writes, as_match_side(s["fingerprints"]), roots, s["actors"]))
 
 
-def watch(spark: SparkSession, write_log_dir: str, files: DataFrame, roots: DataFrame, trail_dir: str,
+def watch(spark: SparkSession, write_log_dir: str | None, files: DataFrame, roots: DataFrame, trail_dir: str,
           checkpoint: str, procs: DataFrame | None = None, available_now: bool = False,
-          max_files_per_trigger: int | None = None):
+          max_files_per_trigger: int | None = None, since_ns: int | None = None):
+    """Without a write log the roots' own trees are watched: files written from now on (or since a point
+    in time) are the writes."""
     s = scan(files, roots, procs)
-    return run_leak_stream(spark, write_log_dir, s["fingerprints"], roots, s["actors"], trail_dir,
+    writes = write_log_dir
+    if writes is None:
+        top = [r.path for r in roots.select("path").distinct().collect()]  # the source's argument is a list
+        outer = [p for p in top if not any(p.startswith(q.rstrip("/") + "/") for q in top)]  # nested roots lie in these
+        writes = written_files(spark, outer, since_ns)
+    return run_leak_stream(spark, writes, s["fingerprints"], roots, s["actors"], trail_dir,
                            checkpoint, available_now=available_now,
                            max_files_per_trigger=max_files_per_trigger)
 
@@ -52,6 +60,8 @@ def trail_map(roots: DataFrame, trail: DataFrame) -> dict:
             "edge_rollup": R.map_edges_rollup(trail), "node_count": R.count_nodes(roots, trail)}
 
 
-def report(trail: DataFrame) -> dict:
-    return {"ranked": R.ranked_report(trail), "by_severity": R.count_by_severity(trail),
+def report(trail: DataFrame, roots: DataFrame | None = None) -> dict:
+    """With roots also the header: numbers of events and worktrees, and a notice if the trail is empty."""
+    head = {"header": R.report_header(roots, trail)} if roots is not None else {}
+    return head | {"ranked": R.ranked_report(trail), "by_severity": R.count_by_severity(trail),
             "sentence": R.report_sentence(trail)}

@@ -81,4 +81,6 @@ SENTENCE_ANY_SECRET = ("Secret-grade material crossed a worktree boundary — re
                        "worktrees' secret surfaces and the receiving commits before pushing.")
 SENTENCE_NO_SECRET = ("No secret-grade leaks detected; remaining events are config/state drift "
                       "to review at your discretion.")
+EMPTY_TRAIL_NOTICE = "No cross-worktree leaks recorded. Start a watch over 2+ worktrees to begin attribution."
+MISSING_TRAIL_HINT = "no audit trail found at %s; start a watch first"
 SUMMARY_HEAD_FMT = "Detected %d cross-worktree leak event(s); %d at secret severity. "

@@ -107,9 +107,12 @@ def fingerprints_from_tree(files: DataFrame, promote: Callable[[DataFrame], Data
 
 def promote_unknown(fps: DataFrame, fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """V1: hand only the 'unknown' slice to ``fn`` (e.g. a model scorer as a
-    pandas UDF); without one this is the identity."""
+    pandas UDF); without one this is the identity. A hook that says it works ``in_place``
+    (promote.py) gets all rows and leaves the known ones alone, so that the input is read once."""
     if fn is None:
         return fps
+    if getattr(fn, "in_place", False):
+        return fn(fps)
     unknown = fps.where(F.col("classification") == K.CLASS_UNKNOWN)
     known = fps.where(F.col("classification") != K.CLASS_UNKNOWN)
     return known.unionByName(fn(unknown).select(*fps.columns))

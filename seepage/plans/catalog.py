@@ -11,14 +11,17 @@ from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.operators import rollups as R
 from seepage.operators.fingerprint import (as_match_side, blob_entries, content_text, env_entries,
-                                           promote_unknown, secret_files)
+                                           fingerprints, promote_unknown, secret_files)
 from seepage.operators.match import other_domain_counts
+from seepage.operators.promote import LinearScorer, promoter
 from seepage.operators.roots import files_in_roots, in_ignored_dir, owner_root
 from seepage.plans import jobs
 from seepage.plans import oracle as O
 from seepage.plans.documents import doc_fingerprints, doc_leaks
 from seepage.plans.fixtures import fixture
+from seepage.plans.tree import write_tree
 from seepage.session import scratch_path
+from seepage.sources.files import read_files
 from seepage.sources.trail import append_leak_events, read_leak_events, redacted_inventory
 from seepage.sources.worktrees import worktrees_from_listing
 
@@ -139,6 +142,28 @@ def q_promote_unknown(spark, sf):
     return fps.groupBy("field", "classification").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+_POINTS = ("2 * strlen(value) + 3 * strlen(regexp_replace(value, '[^0-9]', '', 'g')) - strlen(regexp_replace(value, '[^a-z]', '', 'g')) "
+           "+ 2 * strlen(regexp_replace(value, '[^A-Z]', '', 'g')) - 10 * strlen(regexp_replace(value, '[^ ]', '', 'g'))")
+
+
+@register("promoted_by_model", W(O.ctes_fps(),
+          f"SELECT worktree, path, ord, field, CASE WHEN classification = 'unknown' AND {_POINTS} >= 60 THEN 'secret' ELSE classification END AS classification FROM fps"))
+def promoted_by_model(spark, sf):
+    """V1 with a scorer in place: it sees the unknown values, and what it names changes its class."""
+    fps = fingerprints(fx(spark, sf, "files_fx"), fx(spark, sf, "worktrees_fx"), promoter(LinearScorer()))
+    return fps.select("worktree", "path", "ord", "field", "classification")
+
+
+@register("files_from_tree", W(O.ctes_files(),
+          f"SELECT worktree, path, {O.vhash('content')} AS content_hash FROM sfk"))
+def files_from_tree(spark, sf):
+    """The roots' trees are walked; as J1, F1 and F2 say of the same files."""
+    base = write_tree(fx(spark, sf, "files_fx"))
+    roots = [r.path for r in fx(spark, sf, "worktrees_fx").select("path").collect()]  # S1's argument is a list
+    below = lambda c: F.substr(c, F.lit(len(base) + 1))
+    return read_files(spark, [base + r for r in roots]).select(below(F.col("worktree")).alias("worktree"), below(F.col("path")).alias("path"), C.value_hash(F.col("content")).alias("content_hash"))
+
+
 # --- A1, A2, S5, J3 ------------------------------------------------------------------
 
 @register("actor_per_root", W([O.fx("worktrees_fx")] + O.ctes_actors(), "SELECT worktree, agent_pid FROM actors"))
@@ -291,6 +316,14 @@ def q_report_sentence(spark, sf):
     return R.report_sentence(fx(spark, sf, "trail_fx"))
 
 
+@register("report_header", W(_TRAIL + [O.fx("worktrees_fx"),
+          "p AS (SELECT path FROM worktrees_fx UNION SELECT source_worktree FROM trail_fx UNION SELECT target_worktree FROM trail_fx)"],
+          f"SELECT (SELECT count(*) FROM trail_fx) AS n_events, (SELECT count(*) FROM p) AS n_worktrees, "
+          f"CASE WHEN (SELECT count(*) FROM trail_fx) = 0 THEN {O.q(K.EMPTY_TRAIL_NOTICE)} END AS notice"))
+def q_report_header(spark, sf):
+    return R.report_header(fx(spark, sf, "worktrees_fx"), fx(spark, sf, "trail_fx"))
+
+
 _SRC, _TGT = O.short_path("source_worktree"), O.short_path("target_worktree")
 
 

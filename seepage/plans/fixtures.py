@@ -28,7 +28,7 @@ SELECT s_suppkey AS file_id,
   ELSE
     '# svc ' || CAST(s_suppkey AS STRING) || chr(10) || 'DB_TOKEN=' || md5('tok' || CAST(s_suppkey AS STRING)) || chr(10) ||
     'DEBUG=true' || chr(10) || chr(10) || 'EMPTY=' || chr(10) || ' QUOTED = "' || substr(md5('q' || CAST(s_suppkey AS STRING)), 1, 16) || '"' || chr(13) || chr(10) ||
-    'DSN=postgres://svc' || CAST(s_suppkey AS STRING) || '@db:5432/x' || chr(10) || 'SESSION_ID=s-' || CAST(s_suppkey AS STRING) || chr(10) ||
+    'DSN=postgres://svc' || CAST(s_suppkey AS STRING) || '@db:5432/x' || chr(10) || 'SESSION_ID=s-' || CAST(s_suppkey AS STRING) || '-' || substr(md5('s' || CAST(s_suppkey AS STRING)), 1, 12) || chr(10) ||
     'CACHE_KEY=' || md5('c' || CAST(s_suppkey AS STRING)) || chr(10) || 'export PLAIN=' || md5('p' || CAST(s_suppkey AS STRING)) || chr(10) || '=nokey'
   END AS content
 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
@@ -47,7 +47,11 @@ SELECT event_id AS write_id, ts,
     WHEN 3 THEN substr(md5('tok' || CAST(event_id % 100 AS STRING)), 1, 15) || 'Z' || substr(md5('tok' || CAST(event_id % 100 AS STRING)), 17, 16)
     WHEN 4 THEN ''
     WHEN 5 THEN 'DEBUG=true' || chr(10)
-    ELSE props END AS content
+    ELSE CASE event_id % 5
+      WHEN 0 THEN 'x' || chr(10) || '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || md5('k' || CAST(event_id % 100 AS STRING)) || chr(10) || '-----END RSA PRIVATE KEY-----' || chr(10)
+      WHEN 1 THEN 'url = "postgres://svc' || CAST(event_id % 100 AS STRING) || '@db:5432/x"'
+      WHEN 2 THEN 'sid s-' || CAST(event_id % 100 AS STRING) || '-' || substr(md5('s' || CAST(event_id % 100 AS STRING)), 1, 12)
+      ELSE props END END AS content
 FROM {events} JOIN {nation} ON n_nationkey = user_id % 25
 """
 

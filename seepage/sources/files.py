@@ -1,13 +1,15 @@
 """S1 read_files(roots): a Python Data Source over file trees.
 
 Spark's file sources skip names starting with '.' or '_' (so '.env' would
-never be read). This source walks the trees on the executors: partitions() only
-lists directories near each root, breadth first, until there are enough of them
-(cheap, on the driver), so a tree with one big top directory is split further
-down; each partition reads the files of one listed directory or walks one subtree. Ignored directories are pruned before descending, the name filter
-runs before a file is opened, unreadable entries are skipped, and symlinked
-directories are not followed. One row per (root, file): nested roots each see
-the file, as when each root is walked separately.
+never be read). This source lists and reads the trees on the executors. The driver only looks for
+places to cut: it takes directories breadth first, one at a time, until there are about
+``splits`` pieces, and reads no more than ``splits`` + 1 names of any (at most splits * (splits + 1)
+in all, whatever the tree holds). A directory with more names than that becomes ``splits`` pieces
+by the hash of its names: each task lists the directory itself and takes the files and subtrees whose
+names fall to it, so a flat directory of any size is read by many tasks. Ignored directories are
+pruned before descending, the name filter runs before a file is opened, unreadable entries
+are skipped, and symlinked directories are not followed. One row per (root, file): nested roots
+each see the file, as when each root is walked separately.
 
     spark.dataSource.register(SecretTreeSource)
     spark.read.format("secret_tree").option("roots", '["/a", "/b"]').load()
@@ -19,6 +21,9 @@ import json
 import os
 import re
 import sys
+import zlib
+from collections import deque
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -30,10 +35,14 @@ _NAME_RE = re.compile("(?s)" + glob_alternation() + r"\Z")
 
 
 class TreePartition(InputPartition):
-    """deep: the whole subtree of ``top``; else only the files directly in it."""
+    """The subtree of ``top`` (deep) or only the files directly in it; of the names in ``top``
+    those whose hash leaves ``part`` modulo ``parts``."""
 
-    def __init__(self, root: str, top: str, deep: bool):
-        self.root, self.top, self.deep = root, top, deep
+    def __init__(self, root: str, top: str, deep: bool, part: int = 0, parts: int = 1):
+        self.root, self.top, self.deep, self.part, self.parts = root, top, deep, part, parts
+
+    def has(self, name: str) -> bool:
+        return self.parts == 1 or zlib.crc32(os.fsencode(name)) % self.parts == self.part
 
 
 class SecretTreeReader(DataSourceReader):
@@ -47,21 +56,32 @@ class SecretTreeReader(DataSourceReader):
         for root in self.roots:
             if os.path.basename(root.rstrip("/")) in IGNORED_DIRS:
                 continue
-            level = [root]
-            while level and len(level) < self.splits:
-                parts += [TreePartition(root, d, False) for d in level]
-                level = [x for d in level for x in self._dirs(d)]
-            parts += [TreePartition(root, d, True) for d in level]
+            own, todo = [], deque([root])
+            while todo and len(own) + len(todo) < self.splits:
+                top = todo.popleft()
+                found = self._some(top)
+                if len(found) > self.splits:
+                    own += [TreePartition(root, top, True, i, self.splits) for i in range(self.splits)]
+                else:
+                    own.append(TreePartition(root, top, False))
+                    todo.extend(sorted(e.path for e in found if self._descends(e)))
+            parts += own + [TreePartition(root, d, True) for d in todo]
         return parts or [TreePartition("", "", False)]
 
-    def _dirs(self, d: str) -> list[str]:
-        """Directories to descend into: no links, no ignored names, in order."""
+    def _some(self, d: str) -> list[os.DirEntry]:
+        """At most splits + 1 entries, in the order the file system gives them."""
         try:
-            names = sorted(os.listdir(d))
+            with os.scandir(d) as entries:
+                return list(islice(entries, self.splits + 1))
         except OSError:
             return []
-        paths = [(e, os.path.join(d, e)) for e in names]
-        return [p for e, p in paths if e not in IGNORED_DIRS and os.path.isdir(p) and not os.path.islink(p)]
+
+    def _descends(self, e: os.DirEntry) -> bool:
+        """A directory to descend into: no link, no ignored name."""
+        try:
+            return e.name not in IGNORED_DIRS and e.is_dir(follow_symlinks=False)
+        except OSError:
+            return False
 
     def _want(self, name: str) -> bool:
         return self.all_names or _NAME_RE.match(name) is not None
@@ -73,27 +93,27 @@ class SecretTreeReader(DataSourceReader):
         except OSError:
             return None
 
-    def _files(self, root: str, d: str):
-        try:
-            names = sorted(os.listdir(d))
-        except OSError:
-            return
-        for e in names:
-            p = os.path.join(d, e)
-            if (not os.path.isdir(p) or os.path.islink(p)) and self._want(e):
-                row = self._read(root, p)
-                if row:
-                    yield row
-
-    def read(self, partition: TreePartition):
-        if not partition.root:
-            return
-        todo = [partition.top]
+    def paths(self, partition: TreePartition):
+        """The wanted files of a piece."""
+        todo = [partition.top] if partition.root else []
         while todo:
             d = todo.pop()
-            yield from self._files(partition.root, d)
+            try:
+                with os.scandir(d) as found:
+                    entries = sorted(found, key=lambda e: e.name)
+            except OSError:
+                continue
+            if d == partition.top:
+                entries = [e for e in entries if partition.has(e.name)]
+            yield from (e.path for e in entries if (e.is_symlink() or not e.is_dir()) and self._want(e.name))
             if partition.deep:
-                todo += reversed(self._dirs(d))
+                todo += [e.path for e in reversed(entries) if self._descends(e)]
+
+    def read(self, partition: TreePartition):
+        for path in self.paths(partition):
+            row = self._read(partition.root, path)
+            if row:
+                yield row
 
 
 class SecretTreeSource(DataSource):
@@ -111,7 +131,7 @@ class SecretTreeSource(DataSource):
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def read_files(spark, roots: list[str]):
-    """(worktree, path, content) for every secret-named file under the roots."""
+def read_files(spark, roots: list[str], splits: int = 64):
+    """(worktree, path, content) for every secret-named file under the roots, each cut into about so many tasks."""
     spark.dataSource.register(SecretTreeSource)
-    return spark.read.format("secret_tree").option("roots", json.dumps(list(roots))).load()
+    return spark.read.format("secret_tree").option("roots", json.dumps(list(roots))).option("splits", splits).load()

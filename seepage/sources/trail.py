@@ -3,16 +3,27 @@
 The trail is JSON lines with the 10 event keys in record order. Missing keys
 read as ''/0 (coalesce), a malformed line fails the read (FAILFAST), empty
 lines are skipped, and an absent trail is an empty DataFrame.
+
+What is appended becomes visible at once. A batch's part files go to a folder of its own under
+``parts/``, which no reader looks into by itself; when all of them are there, the batch's
+manifest ``_manifest/<batch>`` names that folder, put in place by one rename. Readers take the
+folders that manifests name: a batch that fails, or a task that runs twice, leaves nothing to
+be seen, and a batch that is written again under its name replaces what it wrote before. All of it goes
+through Hadoop's file systems, so the trail can be wherever Spark writes. A folder or file of JSON lines
+without manifests is a trail too, and is read as it is.
 """
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from seepage.functions import columns as C
-from seepage.functions.constants import EVENT_KEYS
+from seepage.functions.constants import EVENT_KEYS, MISSING_TRAIL_HINT
 
 _INT_KEYS = {"source_agent_pid", "target_agent_pid"}
 
@@ -20,12 +31,6 @@ TRAIL_SCHEMA = StructType([StructField(k, LongType() if k in _INT_KEYS else Stri
                            for k in EVENT_KEYS])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def trail_records(events: DataFrame) -> DataFrame:
     """Events -> the 10 trail columns (timestamp as RFC 3339 text)."""
     ts = F.col("timestamp")
@@ -41,18 +46,58 @@ def trail_records(events: DataFrame) -> DataFrame:
     return events.select(*cols)
 
 
-def append_leak_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """S3: append the events (no raw value exists in them) to the JSON trail."""
-    trail_records(events).write.mode(mode).json(path)
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def append_leak_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """S3: append the events (no raw value exists in them) to the JSON trail, as a whole or not at all.
+    A ``batch`` name makes it replace what was written under that name."""
+    spark = events.sparkSession
+    part = f"parts/{uuid.uuid4().hex}"
+    trail_records(events).write.json(f"{path}/{part}")
+    jvm, folder, fs = _fs(spark, f"{path}/_manifest")
+    fs.mkdirs(folder)
+    name = batch or part.rpartition("/")[2]
+    made = jvm.org.apache.hadoop.fs.Path(folder, f".{name}.{uuid.uuid4().hex}")
+    out = fs.create(made, True)
+    out.write(bytearray(part.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(made, jvm.org.apache.hadoop.fs.Path(folder, name), how)
+
+
+def committed_parts(spark: SparkSession, path: str) -> list[str] | None:
+    """The folders that the trail's manifests name, one for each batch; None if it has no manifests."""
+    jvm, folder, fs = _fs(spark, f"{path}/_manifest")
+    if not fs.exists(folder):
+        return None
+    out = []
+    for s in fs.listStatus(folder):
+        if not s.getPath().getName().startswith("."):
+            f = fs.open(s.getPath())
+            out.append(f"{path}/{jvm.org.apache.commons.io.IOUtils.toString(f, 'UTF-8')}")
+            f.close()
+    return sorted(out)
 
 
 def read_leak_events(spark: SparkSession, path: str) -> DataFrame:
     """The trail as a DataFrame of the 10 keys, timestamp as text, plus ``ts``:
     the same parsed (UTC, microseconds), by which trails are ordered."""
-    if not _exists(spark, path):
-        df = spark.createDataFrame([], TRAIL_SCHEMA)
+    parts = committed_parts(spark, path)
+    if parts is None:
+        _, p, fs = _fs(spark, path)
+        parts = [path] if fs.exists(p) else []
+        if not parts:
+            warnings.warn(MISSING_TRAIL_HINT % path)
+    if parts:
+        df = spark.read.schema(TRAIL_SCHEMA).option("mode", "FAILFAST").json(parts)
     else:
-        df = spark.read.schema(TRAIL_SCHEMA).option("mode", "FAILFAST").json(path)
+        df = spark.createDataFrame([], TRAIL_SCHEMA)
     # '' (a missing key) has no time; FAILFAST above is for lines that are not JSON
     return trail_records(df).withColumn("ts", F.try_to_timestamp(F.col("timestamp")))
 

@@ -3,7 +3,8 @@ matched (the batch job J7) against an index, roots and actors fixed at start.
 
 Stateless: no streaming aggregation or join state. The gram joins need
 distinct/group-by, so they run inside ``foreachBatch`` on the micro-batch as a
-plain batch DataFrame. Replays are safe: batch N overwrites trail/batch_id=N.
+plain batch DataFrame. Replays are safe: batch N is committed to the trail under its
+number, as a whole, and replaces what an earlier attempt had committed.
 Offsets live in the checkpoint location (shared folder).
 """
 
@@ -47,21 +48,24 @@ def snapshot(df: DataFrame) -> DataFrame:
 
 
 def leak_batch_writer(probes: Probes, roots: DataFrame, actors: DataFrame, trail_dir: str):
-    """foreachBatch body: J7 on the micro-batch, events to trail/batch_id=N."""
+    """foreachBatch body: J7 on the micro-batch, events committed to the trail as batch N."""
     def run(batch: DataFrame, batch_id: int) -> None:
         with scoped():
             ev = event_columns(jobs.write_matches(batch, probes, roots, actors))
-            append_leak_events(ev, f"{trail_dir}/batch_id={batch_id}", mode="overwrite")
+            append_leak_events(ev, trail_dir, f"batch-{batch_id}")
     return run
 
 
-def run_leak_stream(spark: SparkSession, log_dir: str, fps: DataFrame, roots: DataFrame,
+def run_leak_stream(spark: SparkSession, writes: str | DataFrame, fps: DataFrame, roots: DataFrame,
                     actors: DataFrame, trail_dir: str, checkpoint: str, available_now: bool = True,
                     max_files_per_trigger: int | None = None):
+    """writes: the folder of a write log, or a stream of its schema (tree_stream.written_files)."""
     probes = probe_tables(as_match_side(fps))
     roots, actors = snapshot(roots), snapshot(actors)
     measured_roots(roots)  # measured and held once; batches find it
-    q = (write_stream(spark, log_dir, max_files_per_trigger=max_files_per_trigger).writeStream
+    if isinstance(writes, str):
+        writes = write_stream(spark, writes, max_files_per_trigger=max_files_per_trigger)
+    q = (writes.writeStream
          .foreachBatch(leak_batch_writer(probes, roots, actors, trail_dir))
          .option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="1 second")

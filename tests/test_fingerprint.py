@@ -99,6 +99,20 @@ def test_pid_zero_does_not_hide_a_later_process(spark):
     assert {r.worktree: r.agent_pid for r in actor_per_root(procs, roots).collect()} == {"/r/a": 7, "/r/b": 0}
 
 
+def test_model_sees_unknown_values_only(spark):
+    """What the model says of unknown values counts; others keep their class, also those that are not UTF-8."""
+    from seepage.operators.promote import LinearScorer, promoter
+    env = b"DB_TOKEN=11111111111111111111\nDEBUG=true\nPIN=99887766554433221100998877\nWORDS=just some plain words\nRAW=\xff\xfe99887766554433221100\n"
+    files = spark.createDataFrame([("/r/a/.env", bytearray(env))], "path string, content binary")
+    roots = spark.createDataFrame([("/r/a",)], "path string")
+    before = {r.field: r.classification for r in fingerprints(files, roots).collect()}
+    after = {r.field: r.classification for r in fingerprints(files, roots, promoter(LinearScorer())).collect()}
+    assert before == {"DB_TOKEN": "secret", "DEBUG": "config", "PIN": "unknown", "WORDS": "unknown", "RAW": "unknown"}
+    assert after == before | {"PIN": "secret", "RAW": "secret"}
+    state = promoter(lambda fields, values: ["state" if f == b"WORDS" else "unknown" for f in fields])
+    assert {r.field: r.classification for r in fingerprints(files, roots, state).collect()} == before | {"WORDS": "state"}
+
+
 def test_many_chained_roots_and_no_broadcast(spark, monkeypatch):
     """400 roots below one another, more depths than there are joins for; the shuffled way agrees."""
     from seepage.operators import broadcast as B

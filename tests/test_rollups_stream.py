@@ -79,8 +79,8 @@ def test_stream_releases_what_a_batch_keeps(spark):
     from seepage.streaming import leak_stream as L
     real = L.append_leak_events
 
-    def counted(ev, path, mode="append"):
-        real(ev, path, mode=mode)
+    def counted(ev, path, batch=None):
+        real(ev, path, batch)
         held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
 
     L.append_leak_events = counted
@@ -93,3 +93,34 @@ def test_stream_releases_what_a_batch_keeps(spark):
     assert len(held) == 5 and len(set(held)) == 1
     assert read_leak_events(spark, os.path.join(d, "trail")).count() == 3
     B.release()
+
+
+def test_watch_over_a_growing_tree(spark):
+    """Files that are there, come and change, each once; what the batch job says of the same contents."""
+    import time
+
+    from seepage.sources.tree_stream import written_files
+    base = tempfile.mkdtemp(prefix="seepage-watch-")
+    put = lambda rel, text: (os.makedirs(os.path.dirname(f"{base}/{rel}"), exist_ok=True), open(f"{base}/{rel}", "w").write(text))
+    put("a/.env", "TOK=saffron-ibis-66120\n")
+    put("b/.env", "KEY_B=umber-lynx-80417\n")
+    put("b/node_modules/x.txt", "saffron-ibis-66120")
+    put("b/one.txt", "saffron-ibis-66120")
+    put("a/deep/two.txt", "nothing")
+    roots = spark.createDataFrame([(f"{base}/{r}",) for r in ("a", "b", "a/deep")], "path string")
+    files = spark.createDataFrame([(f"{base}/a/.env", "TOK=saffron-ibis-66120\n"), (f"{base}/b/.env", "KEY_B=umber-lynx-80417\n")], "path string, content string")
+    fps, actors = fingerprints(files, roots), spark.createDataFrame([(f"{base}/b", 5)], "worktree string, agent_pid long")
+
+    def run():
+        stream = written_files(spark, [f"{base}/a", f"{base}/b"], since_ns=0, settle_ms=0, splits=3)
+        run_leak_stream(spark, stream, fps, roots, actors, f"{base}/trail", f"{base}/ckpt").awaitTermination()
+        return sorted((os.path.relpath(r.target_path, base), r.secret_field, r.target_agent_pid) for r in read_leak_events(spark, f"{base}/trail").collect())
+
+    first = run()
+    assert first == [("b/one.txt", "TOK", 5)]
+    assert run() == first  # nothing was written meanwhile
+    time.sleep(0.05)
+    put("a/deep/two.txt", "umber-lynx-80417 saffron-ibis-66120")
+    put("b/new/three.txt", "see saffron-ibis-66120")
+    put("b/one.txt", "saffron-ibis-66120 again")
+    assert run() == sorted(first + [("a/deep/two.txt", "KEY_B", 0), ("a/deep/two.txt", "TOK", 0), ("b/new/three.txt", "TOK", 5), ("b/one.txt", "TOK", 5)])

@@ -2,6 +2,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from seepage import api
@@ -47,7 +48,14 @@ def test_trail_round_trip_and_missing(spark):
     back = sorted(read_leak_events(spark, os.path.join(d, "trail")).collect(), key=lambda r: r.timestamp)
     assert [r.timestamp for r in back] == ["2026-08-06T01:00:00Z", "2026-08-06T01:01:00.5Z"]
     assert [r.target_agent_pid for r in back] == [0, 7]
-    assert read_leak_events(spark, os.path.join(d, "absent")).count() == 0
+    with pytest.warns(UserWarning, match="no audit trail found"):
+        none = read_leak_events(spark, os.path.join(d, "absent"))
+    assert none.count() == 0
+    roots = spark.createDataFrame([("/r/wt-a",), ("/r/wt-z",)], "path string")
+    head = api.report(none, roots)["header"].first()
+    assert (head.n_events, head.n_worktrees) == (0, 2) and head.notice.startswith("No cross-worktree leaks")
+    head = api.report(read_leak_events(spark, os.path.join(d, "trail")), roots)["header"].first()
+    assert (head.n_events, head.n_worktrees, head.notice) == (2, 3, None)
 
 
 def test_secret_tree_source(spark):
@@ -85,6 +93,73 @@ def test_tree_source_roots_with_commas_nested_and_deep(spark):
         assert got == sorted([(root, f) for f in files] + [(inner, f) for f in files[1:]])
 
 
+def test_flat_directory_in_many_tasks(spark, monkeypatch):
+    """Pieces by the hash of names; the driver reads a bounded number of names, also of a wide level."""
+    from pyspark import TaskContext
+
+    from seepage.sources.files import SecretTreeReader
+    root = tempfile.mkdtemp(prefix="seepage-flat-")
+    for i in range(3000):
+        open(os.path.join(root, f"s{i}.env" if i % 3 else f"n{i}.txt"), "w").write(f"A_TOKEN=value-{i:08d}\n")
+    for i in range(200):
+        os.makedirs(os.path.join(root, f"d{i}"))
+        open(os.path.join(root, f"d{i}", ".env"), "w").write("B_TOKEN=abcdefghijkl\n")
+    rows = read_files(spark, [root], splits=16)
+    want = {os.path.join(root, f"s{i}.env") for i in range(3000) if i % 3} | {os.path.join(root, f"d{i}", ".env") for i in range(200)}
+    got = [r.path for r in rows.collect()]
+    assert len(got) == len(want) and set(got) == want
+    sizes = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 16 and max(r["count"] for r in sizes) < 3 * len(want) / 16
+    seen = []
+    reader = SecretTreeReader({"roots": json.dumps([root]), "splits": "16"})
+    some = reader._some
+    monkeypatch.setattr(reader, "_some", lambda d: seen.append(some(d)) or seen[-1])
+    assert len(reader.partitions()) <= 2 * 16 and sum(map(len, seen)) <= 16 * 17
+
+
+def events(spark, *fields):
+    rows = [("2026-01-01 00:00:00", "/r/a", 0, "/r/a/.env", f, "/r/b", 0, "/r/b/x", "exact", "secret") for f in fields]
+    ev = spark.createDataFrame(rows, ", ".join(f"{k} {'long' if 'pid' in k else 'string'}" for k in EVENT_KEYS))
+    return ev.withColumn("timestamp", F.to_timestamp("timestamp"))
+
+
+def fields_of(spark, path):
+    return sorted(r.secret_field for r in read_leak_events(spark, path).collect())
+
+
+def test_a_batch_is_there_as_a_whole_or_not_at_all(spark):
+    """A batch that fails half-way leaves the trail as it was; its attempt's files are not read."""
+    path = os.path.join(tempfile.mkdtemp(prefix="seepage-trail-"), "trail")
+    append_leak_events(events(spark, "ONE", "TWO"), path)
+    before = read_leak_events(spark, path)
+    bad = events(spark, *[f"F{i}" for i in range(40)]).repartition(8)
+    bad = bad.withColumn("secret_field", F.when(F.col("secret_field") == "F7", F.raise_error(F.lit("lost"))).otherwise(F.col("secret_field")))
+    with pytest.raises(Exception, match="lost"):
+        append_leak_events(bad, path, "batch-1")
+    # an attempt whose driver died before the rename: part files, and a manifest under a hidden name
+    half = os.path.join(path, "parts", "half")
+    events(spark, "HALF").selectExpr(*EVENT_KEYS).write.json(half)
+    open(os.path.join(path, "_manifest", ".batch-1.x"), "w").write("parts/half")
+    assert fields_of(spark, path) == ["ONE", "TWO"] and before.count() == 2
+    append_leak_events(events(spark, "THREE"), path, "batch-1")
+    assert fields_of(spark, path) == ["ONE", "THREE", "TWO"]
+
+
+def test_a_batch_written_again_replaces_itself(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="seepage-trail-"), "trail")
+    append_leak_events(events(spark, "A", "B"), path, "batch-0")
+    append_leak_events(events(spark, "C"), path, "batch-1")
+    append_leak_events(events(spark, "A2"), path, "batch-0")
+    assert fields_of(spark, path) == ["A2", "C"]
+
+
+def test_plain_json_lines_are_a_trail(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="seepage-trail-"), "trail.jsonl")
+    with open(path, "w") as fh:
+        fh.write('{"secret_field": "K", "target_agent_pid": 5}\n\n{"secret_field": "L"}\n')
+    assert fields_of(spark, path) == ["K", "L"]
+
+
 def test_a_read_trail_is_ordered_by_time(spark):
     """Trailing zeros are dropped in the text, so the text order is another one."""
     path = os.path.join(tempfile.mkdtemp(prefix="seepage-trail-"), "trail")
