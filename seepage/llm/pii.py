@@ -16,7 +16,9 @@ the rest the non-overlapping choice of highest total score is taken.
 Defined results: null and empty texts have no spans and the digest of the empty string; repeated
 rows each get their row; a null doc_id keeps its row; documents without any labelled span give no
 tagger, so base spans alone; empty table: no rows; further columns are ignored. Long texts are
-read window by window, in batches of bounded size.
+read window by window, in batches of bounded size. Added spans have at least ``LEAST`` (6) characters, a
+digit or "@", and a score of ``least`` (1.0) a character. One of up to 47 characters lies whole in some
+window; a longer one that both its windows cut is not added.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from seepage.llm.tagger import KINDS, Tagger, tags_of
 
 Span = tuple[str, int, int]
 
-_MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_MAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match never starts inside a run of digits: what fails at the run's first digit fails there too.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -45,6 +47,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _BATCH = 256
+#: Characters of an added span.
+LEAST = 6
 
 
 def _luhn(digits: str) -> bool:
@@ -61,17 +65,19 @@ def _part_ok(part: str) -> bool:
 
 
 def _mails(text: str) -> list[Span]:
-    """Matches lie within runs of the characters that an address may have."""
+    """Each "@" decides alone: a match starts where the run of name characters before it does, or where the
+    last match ended, and what fails after the "@" fails for all starts. Linear in the text."""
     out: list[Span] = []
-    at = text.find("@")
+    end, at = 0, text.find("@")
     while at >= 0:
-        lo, hi = at, at + 1
-        while lo and text[lo - 1] in _MAIL_CHARS:
+        lo = at
+        while lo > end and text[lo - 1] in _MAIL_CHARS:
             lo -= 1
-        while hi < len(text) and text[hi] in _MAIL_CHARS:
-            hi += 1
-        out += [("email", lo + m.start(), lo + m.end()) for m in _MAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+        m = _MAIL_DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            end = m.end()
+            out.append(("email", lo, end))
+        at = text.find("@", max(end, at + 1))
     return out
 
 
@@ -136,7 +142,7 @@ def tagged(texts: list[str], tagger: Tagger | None, width: int, least: float) ->
         for (i, at), spans in zip(todo, tagger.decode([texts[i][at:at + width] for i, at in todo])):
             for kind, a, b, score in spans:
                 cut = (a == 0 and at > 0) or (b == width and at + width < len(texts[i]))
-                if cut or score < least * (b - a) or b - a < 6 or not _TRIGGER.search(texts[i], at + a, at + b):
+                if cut or score < least * (b - a) or b - a < LEAST or not _TRIGGER.search(texts[i], at + a, at + b):
                     continue
                 key = (kind, at + a, at + b)
                 proposed[i][key] = max(score, proposed[i].get(key, 0.0))

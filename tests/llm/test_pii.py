@@ -130,3 +130,20 @@ def test_without_labels_and_empty(spark):
     got = pii.find_pii(cases.frame(spark, [(1, "no numbers"), (2, "1 or 2")])).collect()
     assert [(r.n_added, r.spans) for r in got] == [(0, ""), (0, "")]
     assert pii.find_pii(cases.empty(spark)).count() == 0
+
+
+def test_mails_against_the_pattern():
+    """The linear search finds what the pattern does, on texts of little else than its characters."""
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    rng = random.Random(12)
+    for _ in range(4000):
+        t = "".join(rng.choice("ab.@-_ %é") for _ in range(rng.randrange(30)))
+        assert pii._mails(t) == [("email", *m.span()) for m in mail.finditer(t)], t
+
+
+def test_long_runs_before_an_at_are_linear():
+    import time
+    began = time.time()
+    for t in ("a" * 1_000_000 + "@", "a." * 500_000 + "@b", "a@" * 500_000, "x@" + "b-" * 500_000, "x@" + "b." * 500_000):
+        pii._mails(t)
+    assert time.time() - began < 10
