@@ -3,8 +3,8 @@
 Every aggregate here is algebraic (count, min, max_by...), so Spark combines
 map-side before the shuffle and a hot key (one severity or one edge holding a
 third of the trail) costs one partial row per task, not a hot reducer.
-Numbering (ranked report, node order) is distributed: range-partitioned sort,
-per-partition counts, prefix offsets over at most #partitions rows.
+Numbering (ranked report, node order) is distributed: ranges of the keys, a count
+for each, a window inside them, prefix offsets over at most #ranges rows.
 """
 
 from __future__ import annotations
@@ -16,29 +16,37 @@ from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.session import checkpoint_dir
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | row in partition
+#: Keys in the sample that the ranges are cut from, for each range: it decides how even they are, not what they hold.
+_SAMPLE = 64
 
 
 def number_rows(df: DataFrame, order: list, out: str = "rn", partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position in ``order`` without a single-task window.
 
-    The sorted, id-tagged table is checkpointed to the shared checkpoint folder
-    so both reads (counts and final join) see the same ids, also after an
-    executor loss.
+    Ranges of the keys are cut at quantiles of a bounded sample; the cuts, one row of keys, are the only
+    thing kept (checkpointed, so that every reading of the rows sees the same ranges). A reading of the
+    keys alone counts each range; a window inside the ranges numbers the rows, which are shuffled
+    once and neither checkpointed nor read for the counts as a whole. Rows of equal keys are in the
+    order of their hash, so that a key that very many rows share is cut into several ranges too.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    s = (s.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
-          .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)], F.xxhash64(*df.columns).alias("h"))
+    keyed = df.withColumn("_key", key)
+    thin = keyed.select("_key")
+    sample = thin.orderBy(F.xxhash64("_key")).limit(_SAMPLE * n)
+    cut = lambda a: F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda i: F.get(a, F.floor(i * F.size(a) / n).cast("int")))
+    cuts = sample.agg(cut(F.sort_array(F.collect_list("_key"))).alias("cuts")).checkpoint(eager=True)
+    place = F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))
+    counts = thin.withColumn("_cuts", cuts.scalar()).groupBy(place.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_part", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    res = s.join(F.broadcast(offs), "_part")  # at most n rows
-    return res.withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("bigint")).drop(
-        "_mid", "_part", "_local", "_off")
+    offs = counts.select(F.col("_part").alias("_range"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    res = keyed.withColumn("_cuts", cuts.scalar()).withColumn("_part", place).drop("_cuts")
+    res = res.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy("_key")))
+    res = res.join(F.broadcast(offs), F.col("_part") == F.col("_range"))  # at most n rows
+    return res.withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint")).drop("_key", "_part", "_local", "_off", "_range")
 
 
 # --- inventory (scan) ---------------------------------------------------------

@@ -124,3 +124,26 @@ def test_watch_over_a_growing_tree(spark):
     put("b/new/three.txt", "see saffron-ibis-66120")
     put("b/one.txt", "saffron-ibis-66120 again")
     assert run() == sorted(first + [("a/deep/two.txt", "KEY_B", 0), ("a/deep/two.txt", "TOK", 0), ("b/new/three.txt", "TOK", 5), ("b/one.txt", "TOK", 5)])
+
+
+def test_numbering_keeps_no_wide_rows(spark):
+    """Positions in order, ties and one key that most rows share included; nothing wide is checkpointed."""
+    from tests.test_plans import formatted
+    rows = [(None if i % 50 == 0 else (7 if i % 3 else i % 11), f"t{i % 40}", "wide " * 20) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, t string, row_text string")
+    got = R.number_rows(df, ["k", F.col("t")], "rn", partitions=9)
+    assert got.columns == ["k", "t", "row_text", "rn"]
+    found = sorted((r.rn, r.k, r.t) for r in got.collect())
+    assert [x[0] for x in found] == list(range(1, 3001))
+    assert [x[1:] for x in found] == sorted(((k, t) for k, t, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    txt = formatted(got)
+    assert "row_text" not in "".join(p for p in txt.split("\n\n") if "Scan ExistingRDD" in p and "checkpoint" in p.lower())
+    assert R.number_rows(df.where("k > 99"), ["k"], "rn").count() == 0
+
+
+def test_a_hot_key_is_cut_into_ranges(spark):
+    df = spark.range(4000).selectExpr("CAST(1 AS INT) AS k", "id")
+    got = R.number_rows(df, ["k"], "rn", partitions=8)
+    sizes = sorted(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect())
+    assert sorted(r.rn for r in got.collect()) == list(range(1, 4001)) and "Exchange hashpartitioning(_part" in got._jdf.queryExecution().executedPlan().toString()
+    assert len(sizes) > 1 or spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "true"
