@@ -58,11 +58,34 @@ def written(df: DataFrame, name: str, batch_rows: int = 1000) -> DataFrame:
     """df written as Parquet in the shared folder and read again: later plans
     start at the files, which survive the loss of executors."""
     path = shared_path(df.sparkSession, name)
+    _WRITTEN.append(path)
     with small_batches(df.sparkSession, batch_rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that written() has made, of this driver.
+_WRITTEN: list[str] = []
+
+
+@contextmanager
+def recorded(into: list[str]):
+    """Adds the folders that written() makes inside to the list."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        into += _WRITTEN[before:]
+
+
+def clear(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
+    """Deletes those of the folders that ``needed`` does not read, and takes them off the list."""
+    files = "\n".join(needed.inputFiles())
+    for path in [p for p in folders if p.rpartition("/")[2] not in files]:
+        remove(spark, path)
+        folders.remove(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared folder that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
