@@ -117,10 +117,8 @@ def report_sentence(trail: DataFrame) -> DataFrame:
 def report_header(roots: DataFrame, trail: DataFrame) -> DataFrame:
     """n_events, n_worktrees, notice: what a report says first; the notice is null unless the trail is
     empty, and then all that follows (one row)."""
-    n = trail.agg(F.count(F.lit(1)).cast("bigint").alias("n_events"), F.lit(0).alias("_k"))
-    m = count_nodes(roots, trail).select(F.col("n_nodes").alias("n_worktrees"), F.lit(0).alias("_k2"))
-    x = n.join(m, n["_k"] == m["_k2"])  # a row on each side
-    return x.select("n_events", "n_worktrees", F.when(F.col("n_events") == 0, F.lit(K.EMPTY_TRAIL_NOTICE)).alias("notice"))
+    n = trail.agg(F.count(F.lit(1)).cast("bigint").alias("n_events")).withColumn("n_worktrees", count_nodes(roots, trail).scalar())
+    return n.select("n_events", "n_worktrees", F.when(F.col("n_events") == 0, F.lit(K.EMPTY_TRAIL_NOTICE)).alias("notice"))
 
 
 def ranked_report(trail: DataFrame) -> DataFrame:
