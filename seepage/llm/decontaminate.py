@@ -1,23 +1,26 @@
 """Operator 7, benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared as UTF-8 bytes with A-Z lower-cased and white-space runs as one
-space. Each benchmark item is cut into segments of ``segment`` bytes that overlap by
-half (the last one ends with the item; a shorter item is one segment). A document leaks an
-item if some region of it is within k = ``budget``% of the segment's length in edits.
+space. Each benchmark item has a segment of ``segment`` bytes at every ``stride`` bytes, and one
+that ends with it (a shorter item is one segment). A document leaks an item if some region of
+it is within k = ``budget``% of the segment's length in edits. So a verbatim quote of an item is
+found for sure from segment - 2 k + stride - 1 bytes on but no fewer than segment - k: 73 by default.
 
 Filter: with k edits a region shares at least m + 1 - q * (k + 1) of the segment's m + 1 - q
-q-grams, all on k + 1 neighbouring diagonals (document offset - segment offset). Shared
-q-grams are counted in bins of k + 1 diagonals; two neighbouring bins form a band, so every
-run of k + 1 diagonals lies within one. Only bands that reach the bound (and the same bound for
-grams of 4 bytes) are verified, by an edit distance banded around their diagonals. The filter loses no region, the alignment
-admits no other. ``q`` is lowered for segments for which the bound would not be positive.
-
-The benchmark is broadcast in blocks of at most ``block_bytes`` of text, one scan of the
-documents for each block; its size is summed first, and no block grows with the documents.
+q-grams, all on k + 1 neighbouring diagonals (document offset - item offset). Shared
+q-grams fall into bins of k + 1 diagonals; two neighbouring bins form a band, so every
+run of k + 1 diagonals lies within one. A stretch of a band that reaches the bound within a segment's length
+retains the segments around it; those (after the same bound for grams of 4 bytes) are verified by an edit
+distance banded around their diagonals. The filter loses no region, the alignment admits no other. ``q`` is
+lowered for items for which the bound would not be positive.
+
+Items are indexed once, whatever the stride. The benchmark is broadcast in blocks of about ``block_bytes`` of
+text (20 bytes of index for each), one scan of the documents for each block; its size is summed first, and no block grows with the documents.
 The scan is map-only: no document is shuffled, whatever many leak one item.
 
 Defined results: null and empty texts leak nothing; null and empty items are found
-nowhere; repeated rows each get their own result; repeated items count once for each
+nowhere; items without an item_id are searched and reported as one item with a null id (``null`` in
+the query's list); repeated rows each get their own result; repeated items count once for each
 item_id; a null doc_id keeps its row; empty documents or benchmark: nothing leaks; further
 columns stay, whatever their names. Long texts go in pieces that overlap by more than a region.
 """
@@ -36,6 +39,8 @@ from seepage.llm.common import Packed, fresh, table, text_bytes, written
 MAX_BROADCAST_ROWS = 1_000_000
 _PIECE = 1 << 20
 _SHORT = 4
+#: Hits of a text's grams that are held at a time; a piece of text with more is halved.
+_HITS = 4_000_000
 
 
 def normal(text: bytes) -> bytes:
@@ -86,10 +91,11 @@ def region_distance(segment: bytes, text: bytes, lo: int, hi: int, k: int) -> in
 
 
 class Index(Packed):
-    """Segments of a block of items, grouped by the q that their length allows."""
+    """The grams of a block of items at every offset, 20 bytes of arrays for each byte of their texts."""
 
-    def __init__(self, items: list[tuple[int, bytes]], segment: int, budget: int, q: int):
-        self.items, self.parts, self.k, self.need, self.short = [], [], [], [], []
+    def __init__(self, items: list[tuple[int | None, bytes]], segment: int, budget: int, q: int, stride: int):
+        self.segment, self.stride = segment, stride
+        self.ids, self.texts, widths, needs, longs = [], [], [], [], []
         grams: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
             text = normal(text)
@@ -101,94 +107,119 @@ class Index(Packed):
             while own > 1 and m + 1 - own * (k + 1) < 1:
                 own -= 1
             own = min(own, m)
-            for at in sorted({*range(0, len(text) - m, max(1, segment // 2)), len(text) - m}):
-                part = text[at:at + m]
-                grams.setdefault(own, []).append((gram_codes(part, own), len(self.parts)))
-                self.items.append(item)
-                self.parts.append(part)
-                self.k.append(k)
-                self.need.append(max(1, m + 1 - own * (k + 1)))
-                self.short.append([part[i:i + _SHORT] for i in range(m - _SHORT + 1)])
+            grams.setdefault(own, []).append((gram_codes(text, own), len(self.ids)))
+            self.ids.append(item)
+            self.texts.append(text)
+            widths.append(k + 1)
+            needs.append(max(1, m + 1 - own * (k + 1)))
+            longs.append(m)
         self.tables = []
         for own, found in sorted(grams.items()):
             code = np.concatenate([c for c, _ in found])
-            seg = np.concatenate([np.full(len(c), s, np.int64) for c, s in found])
-            off = np.concatenate([np.arange(len(c), dtype=np.int64) for c, _ in found])
             by = np.argsort(code, kind="stable")
-            keys, first, count = np.unique(code[by], return_index=True, return_counts=True)
+            item = np.concatenate([np.full(len(c), i, np.int32) for c, i in found])[by]
+            off = np.concatenate([np.arange(len(c), dtype=np.int32) for c, _ in found])[by]
+            keys, first = np.unique(code[by], return_index=True)
             maybe = np.zeros(1 << 20, bool)
             maybe[self._slot(keys)] = True
-            self.tables.append((own, keys, first, count, seg[by], off[by], maybe))
-        self.k_of, self.need_of = np.array(self.k, np.int64), np.array(self.need, np.int64)
-        self.longest = max((len(p) + k for p, k in zip(self.parts, self.k)), default=0)
+            self.tables.append((own, keys, np.r_[first, len(code)].astype(np.int32), item, off, maybe))
+        self.width, self.need, self.long = (np.array(x, np.int64) for x in (widths, needs, longs))
+        self.longest = max((m + w for m, w in zip(longs, widths)), default=0)
 
     @staticmethod
     def _slot(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
-    def regions(self, text: bytes) -> dict[int, int]:
+    def regions(self, text: bytes) -> dict[int | None, int]:
         """Items that the text leaks, with their number of verified segments."""
-        found: set[int] = set()
+        found: set[tuple[int, int]] = set()
         text = normal(text)
         for at in range(0, max(1, len(text)), _PIECE):
             self._piece(text[at:at + _PIECE + 2 * self.longest], found)
-        out: dict[int, int] = {}
-        for s in found:
-            out[self.items[s]] = out.get(self.items[s], 0) + 1
+        out: dict[int | None, int] = {}
+        for i, _ in found:
+            out[self.ids[i]] = out.get(self.ids[i], 0) + 1
         return out
 
-    def _piece(self, text: bytes, found: set[int]) -> None:
-        for q, keys, first, count, seg, off, maybe in self.tables:
-            codes = gram_codes(text, q)
-            pos = np.flatnonzero(maybe[self._slot(codes)])
-            if not len(pos):
-                continue
-            codes = codes[pos]
-            at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-            hit = keys[at] == codes
-            pos, at = pos[hit], at[hit]
-            if not len(pos):
-                continue
-            n = count[at]
-            ends = np.cumsum(n)
-            of = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])
-            s, diagonal = seg[of], np.repeat(pos, n) - off[of]
-            width = self.k_of[s] + 1
-            big = np.int64(1) << 32
-            key, shared = np.unique(s * big + (diagonal // width + (big >> 1)), return_counts=True)
-            # bands: bin b with bin b + 1
-            next_ = key[1:] == key[:-1] + 1
-            after = np.zeros(len(key), np.int64)
-            after[:-1] = shared[1:] * next_
-            own = key // big
-            for i in np.flatnonzero(shared + after >= self.need_of[own]).tolist():
-                self._verify(int(own[i]), int(key[i] % big - (big >> 1)), text, found)
-            # and a bin whose upper neighbour alone was listed
-            lone = np.ones(len(key), bool)
-            lone[1:] = ~next_
-            for i in np.flatnonzero(lone & (shared >= self.need_of[own])).tolist():
-                self._verify(int(own[i]), int(key[i] % big - (big >> 1)) - 1, text, found)
-
-    def _verify(self, s: int, b: int, text: bytes, found: set[int]) -> None:
-        if s not in found:
-            k, m = self.k[s], len(self.parts[s])
-            lo, hi = b * (k + 1), (b + 2) * (k + 1) - 1
+    def _piece(self, text: bytes, found: set[tuple[int, int]]) -> None:
+        for table in self.tables:
+            self._bands(text, table, found)
+
+    def _bands(self, text: bytes, table: tuple, found: set[tuple[int, int]]) -> None:
+        q, keys, first, items, offs, maybe = table
+        codes = gram_codes(text, q)
+        pos = np.flatnonzero(maybe[self._slot(codes)])
+        if not len(pos):
+            return
+        codes = codes[pos]
+        at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        hit = keys[at] == codes
+        pos, at = pos[hit], at[hit]
+        if not len(pos):
+            return
+        n = (first[at + 1] - first[at]).astype(np.int64)
+        ends = np.cumsum(n)
+        if ends[-1] > _HITS and len(text) > 8 * self.longest:  # repetitive: in halves that overlap by more than a region
+            half = len(text) // 2
+            self._bands(text[:half + 2 * self.longest], table, found)
+            self._bands(text[half:], table, found)
+            return
+        of = np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])
+        i, off = items[of].astype(np.int64), offs[of].astype(np.int64)
+        big = np.int64(1) << 32
+        # band b has the bins b and b + 1 of diagonals, so a hit lies in two bands
+        band = i * big + ((np.repeat(pos, n) - off) // self.width[i] + (big >> 1))
+        own, place, shared = np.unique(band, return_inverse=True, return_counts=True)
+        after = np.zeros(len(own) + 2, np.int64)
+        beside = own[1:] == own[:-1] + 1
+        after[1:-2] = shared[1:] * beside
+        before = np.r_[0, shared[:-1] * beside]
+        need = self.need[own // big]
+        upper, lower = (shared + after[1:-1] >= need)[place], (shared + before >= need)[place]
+        band, off = np.r_[band[upper], band[lower] - 1], np.r_[off[upper], off[lower]]
+        if not len(band):
+            return
+        by = np.lexsort((off, band))
+        band, off = band[by], off[by]
+        # stretches of an item with enough hits for a segment, and the segments that hold them
+        i = band // big
+        last = np.arange(len(band)) + self.need[i] - 1
+        inside = last < len(band)
+        end = np.minimum(last, len(band) - 1)
+        good = np.flatnonzero(inside & (band[end] == band) & (off[end] - off <= self.long[i] - q))
+        segments = {(int(i[g]), int(band[g] % big - (big >> 1)), s) for g in good.tolist() for s in self._holding(int(i[g]), int(off[g]), int(off[end[g]]) + q)}
+        for item, b, s in sorted(segments):
+            self._verify(item, b, s, text, found)
+
+    def _holding(self, item: int, lo: int, hi: int) -> Iterator[int]:
+        """Starts of the item's segments that hold its bytes from lo to hi."""
+        n, m = len(self.texts[item]), int(self.long[item])
+        first = max(0, hi - m)
+        yield from range(-(-first // self.stride) * self.stride, min(lo, n - m) + 1, self.stride)
+        if first <= n - m <= lo and (n - m) % self.stride:
+            yield n - m
+
+    def _verify(self, item: int, b: int, s: int, text: bytes, found: set[tuple[int, int]]) -> None:
+        if (item, s) not in found:
+            m, k = int(self.long[item]), int(self.width[item]) - 1
+            part = self.texts[item][s:s + m]
+            lo, hi = b * (k + 1) + s, (b + 2) * (k + 1) - 1 + s
             # the same lemma with short grams, anywhere in the region: cheap, and most bands end here
             need = m + 1 - _SHORT * (k + 1)
             if need > 0:
                 a, e = max(0, lo - k), hi + m + k
                 have = {text[i:i + _SHORT] for i in range(a, min(e, len(text)) - _SHORT + 1)}
-                if sum(g in have for g in self.short[s]) < need:
+                if sum(part[i:i + _SHORT] in have for i in range(m - _SHORT + 1)) < need:
                     return
-            if region_distance(self.parts[s], text, lo, hi, k) <= k:
-                found.add(s)
+            if region_distance(part, text, lo, hi, k) <= k:
+                found.add((item, s))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 80, budget: int = 10, q: int = 8,
-          block_bytes: int = 16 << 20) -> DataFrame:
+          block_bytes: int = 8 << 20, stride: int = 10) -> DataFrame:
     """(doc_id, text_hash, item_id, regions): what leaks, one row per document row and item."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
@@ -200,17 +231,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 80, budget: int
             for b in batches:
                 got: list[tuple] = []
                 for doc_id, t, h in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                    got += [(doc_id, h, item, n) for item, n in sorted(ix.regions(text_bytes(t.as_py())).items())]
+                    got += [(doc_id, h, item, n) for item, n in ix.regions(text_bytes(t.as_py())).items()]
                 cols = list(zip(*got)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "text_hash", "item_id", "regions"])
         return d.mapInArrow(run, schema)
 
     out = None
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        part = scan(spark.sparkContext.broadcast(Index(sorted({(r.item_id, text_bytes(r.text)) for r in rows}), segment, budget, q)))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+        block_items = sorted({(r.item_id, text_bytes(r.text)) for r in rows}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        part = scan(spark.sparkContext.broadcast(Index(block_items, segment, budget, q, stride))).distinct()
         out = part if out is None else out.unionByName(part)
-    return written(out, "leaks").distinct()
+    return written(out, "leaks").groupBy("doc_id", "text_hash", "item_id").agg(F.sum("regions").alias("regions"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -228,8 +260,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_items, n_regions and the leaked items as a comma-joined string."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = leaks(docs, table(spark, sf_dir, "benchmark"))
-    found = found.groupBy(F.col("doc_id").alias("f"), F.col("text_hash").alias("fh")).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("regions").alias("regions"))
+    found = found.groupBy(F.col("doc_id").alias("f"), F.col("text_hash").alias("fh")).agg(F.sort_array(F.collect_set(F.struct("item_id"))).alias("items"), F.sum("regions").alias("regions"))
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     j = d.join(found, d["doc_id"].eqNullSafe(found["f"]) & (d["h"] == found["fh"]), "left")
     return j.select("doc_id", F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"), F.coalesce("regions", F.lit(0)).cast("bigint").alias("n_regions"),
-                    F.coalesce(F.array_join(F.transform("items", lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"))
+                    F.coalesce(F.array_join(F.transform("items", lambda x: F.coalesce(x["item_id"].cast("string"), F.lit("null"))), ","), F.lit("")).alias("item_ids"))

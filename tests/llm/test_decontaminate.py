@@ -17,21 +17,21 @@ def least_edits(p, t):
     return min(last)
 
 
-def segments(text, m):
+def segments(text, m, stride):
     t = D.normal(text.encode())
     n = min(m, len(t))
-    return [t[a:a + n] for a in sorted({*range(0, len(t) - n, max(1, m // 2)), len(t) - n})] if t else []
+    return [t[a:a + n] for a in sorted({*range(0, len(t) - n, stride), len(t) - n})] if t else []
 
 
-def brute(docs, items, m=80, budget=10):
-    out = set()
+def brute(docs, items, m=80, budget=10, stride=10):
+    out = {}
     for d, t in docs:
         own = D.normal((t or "").encode())
         for i, x in items:
-            n = sum(least_edits(s, own) <= len(s) * budget // 100 for s in segments(x or "", m))
-            if n and i is not None:
-                out.add((d, i, n))
-    return out
+            n = sum(least_edits(s, own) <= len(s) * budget // 100 for s in segments(x or "", m, stride))
+            if n:
+                out[d, i] = out.get((d, i), 0) + n
+    return {(d, i, n) for (d, i), n in out.items()}
 
 
 def prose(rng, n):
@@ -63,9 +63,10 @@ def fixture(seed):
 def test_against_plain_alignment(spark):
     docs, items = fixture(1)
     docs.append((None, docs[1][1]))
-    for how in ({}, {"segment": 40, "q": 5, "block_bytes": 200}):
+    items += [(None, items[3][1]), (None, items[4][1]), (0, items[5][1])]
+    for how in ({"stride": 40}, {"segment": 40, "q": 5, "block_bytes": 200, "stride": 7}):
         got = {(r.doc_id, r.item_id, r.regions) for r in D.leaks(cases.frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), **how).collect()}
-        want = brute(docs, items, how.get("segment", 80))
+        want = brute(docs, items, how.get("segment", 80), stride=how["stride"])
         assert got == want
         assert len(want) > 10
 
@@ -92,7 +93,33 @@ def test_long_texts_in_pieces(monkeypatch):
     item = prose(rng, 25)
     for at in range(0, 400, 23):
         t = prose(rng, 300)
-        assert D.Index([(1, item.encode())], 80, 10, 8).regions((t[:at] + " " + item + " " + t[at:]).encode()) == {1: len(segments(item, 80))}
+        assert D.Index([(1, item.encode())], 80, 10, 8, 10).regions((t[:at] + " " + item + " " + t[at:]).encode()) == {1: len(segments(item, 80, 10))}
+
+
+def test_every_quote_of_73_bytes_is_found():
+    rng = random.Random(6)
+    item = D.normal(prose(rng, 60).encode())
+    ix = D.Index([(None, item)], 80, 10, 8, 10)
+    for at in range(len(item) - 72):
+        assert None in ix.regions(prose(rng, 9).encode() + b"#" + item[at:at + 73] + b"#" + prose(rng, 9).encode())
+    assert not ix.regions(b"#" + item[5:70] + b"#" + prose(rng, 9).encode())
+
+
+def test_repetitive_texts_in_halves(monkeypatch):
+    monkeypatch.setattr(D, "_HITS", 2000)
+    rng = random.Random(8)
+    item = ("ab" * 60 + prose(rng, 20)).encode()
+    for t in ("ab" * 2000, prose(rng, 200) + "ab" * 900 + prose(rng, 200), prose(rng, 300) + item.decode() + "ab" * 700):
+        n = sum(least_edits(s, D.normal(t.encode())) <= 8 for s in segments(item.decode(), 80, 10))
+        assert D.Index([(1, item)], 80, 10, 8, 10).regions(t.encode()) == ({1: n} if n else {})
+
+
+def test_index_size():
+    rng = random.Random(7)
+    items = [(i, prose(rng, 60).encode()) for i in range(300)]
+    size = sum(len(D.normal(x)) for _, x in items)
+    ix = D.Index(items, 80, 10, 8, 10)
+    assert sum(a.nbytes for t in ix.tables for a in t[1:5]) <= 21 * size
 
 
 def test_documents_that_leak_go(spark):
