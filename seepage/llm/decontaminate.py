@@ -28,6 +28,7 @@ columns stay, whatever their names. Long texts go in pieces that overlap by more
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +125,7 @@ class Index(Packed):
             maybe[self._slot(keys)] = True
             self.tables.append((own, keys, np.r_[first, len(code)].astype(np.int32), item, off, maybe))
         self.width, self.need, self.long = (np.array(x, np.int64) for x in (widths, needs, longs))
+        self.size = np.array([len(t) for t in self.texts], np.int64)
         self.longest = max((m + w for m, w in zip(longs, widths)), default=0)
 
     @staticmethod
@@ -187,32 +189,45 @@ class Index(Packed):
         inside = last < len(band)
         end = np.minimum(last, len(band) - 1)
         good = np.flatnonzero(inside & (band[end] == band) & (off[end] - off <= self.long[i] - q))
-        segments = {(int(i[g]), int(band[g] % big - (big >> 1)), s) for g in good.tolist() for s in self._holding(int(i[g]), int(off[g]), int(off[end[g]]) + q)}
-        for item, b, s in sorted(segments):
-            self._verify(item, b, s, text, found)
-
-    def _holding(self, item: int, lo: int, hi: int) -> Iterator[int]:
-        """Starts of the item's segments that hold its bytes from lo to hi."""
-        n, m = len(self.texts[item]), int(self.long[item])
-        first = max(0, hi - m)
-        yield from range(-(-first // self.stride) * self.stride, min(lo, n - m) + 1, self.stride)
-        if first <= n - m <= lo and (n - m) % self.stride:
-            yield n - m
-
-    def _verify(self, item: int, b: int, s: int, text: bytes, found: set[tuple[int, int]]) -> None:
-        if (item, s) not in found:
-            m, k = int(self.long[item]), int(self.width[item]) - 1
-            part = self.texts[item][s:s + m]
-            lo, hi = b * (k + 1) + s, (b + 2) * (k + 1) - 1 + s
-            # the same lemma with short grams, anywhere in the region: cheap, and most bands end here
-            need = m + 1 - _SHORT * (k + 1)
-            if need > 0:
-                a, e = max(0, lo - k), hi + m + k
-                have = {text[i:i + _SHORT] for i in range(a, min(e, len(text)) - _SHORT + 1)}
-                if sum(part[i:i + _SHORT] in have for i in range(m - _SHORT + 1)) < need:
-                    return
-            if region_distance(part, text, lo, hi, k) <= k:
-                found.add((item, s))
+        if not len(good):
+            return
+        band, i, lo, hi = band[good], i[good], off[good], off[end[good]] + q
+        m, tail = self.long[i], self.size[i] - self.long[i]
+        least, most = -(-np.maximum(0, hi - m) // self.stride), np.minimum(lo, tail) // self.stride
+        ends_item = (hi - m <= tail) & (tail <= lo)
+        rows = np.stack([band, least, most, ends_item])[:, (least <= most) | ends_item]
+        rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)][:rows.shape[1]]]
+        held: dict[int, set[int]] = {}
+        for key, x, y, z in rows.T.tolist():
+            starts = held.setdefault(key, set())
+            starts.update(range(x * self.stride, y * self.stride + 1, self.stride))
+            if z:
+                starts.add(int(self.size[key >> 32] - self.long[key >> 32]))
+        for key, starts in held.items():
+            self._verify(key >> 32, (key & 0xFFFFFFFF) - (1 << 31), starts, text, found)
+
+    def _verify(self, item: int, b: int, starts: set[int], text: bytes, found: set[tuple[int, int]]) -> None:
+        """Adds the segments of the item at ``starts`` that have a region in band b."""
+        m, k = int(self.long[item]), int(self.width[item]) - 1
+        lo, hi = b * (k + 1), (b + 2) * (k + 1) - 1
+        own = self.texts[item]
+        # the same lemma with short grams, anywhere in the stretch of all and then of each: cheap, and most bands end here
+        need = m + 1 - _SHORT * (k + 1)
+        grams = lambda a, e: {text[x:x + _SHORT] for x in range(max(0, a), min(e, len(text)) - _SHORT + 1)}
+        if need > 0:
+            first, end = min(starts), max(starts) + m
+            have = grams(lo + first - k, hi + end + k)
+            known = [0, *accumulate(own[x:x + _SHORT] in have for x in range(first, end - _SHORT + 1))]
+            starts = {s for s in starts if known[s - first + m - _SHORT + 1] - known[s - first] >= need}
+        for s in sorted(starts):
+            if (item, s) not in found:
+                part = own[s:s + m]
+                if need > 0:
+                    have = grams(lo + s - k, hi + s + m + k)
+                    if sum(part[x:x + _SHORT] in have for x in range(m - _SHORT + 1)) < need:
+                        continue
+                if region_distance(part, text, lo + s, hi + s, k) <= k:
+                    found.add((item, s))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, segment: int = 80, budget: int = 10, q: int = 8,

@@ -105,6 +105,17 @@ def test_every_quote_of_73_bytes_is_found():
     assert not ix.regions(b"#" + item[5:70] + b"#" + prose(rng, 9).encode())
 
 
+def test_short_quotes_against_plain_alignment():
+    rng = random.Random(9)
+    item = D.normal(prose(rng, 30).encode())
+    ix = D.Index([(1, item)], 80, 10, 8, 10)
+    for size in range(12, 90, 3):
+        at = rng.randrange(len(item) - size)
+        t = prose(rng, 6).encode() + item[at:at + size] + prose(rng, 6).encode()
+        n = sum(least_edits(s, D.normal(t)) <= 8 for s in segments(item.decode(), 80, 10))
+        assert ix.regions(t) == ({1: n} if n else {})
+
+
 def test_repetitive_texts_in_halves(monkeypatch):
     monkeypatch.setattr(D, "_HITS", 2000)
     rng = random.Random(8)
