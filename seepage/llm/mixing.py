@@ -51,6 +51,8 @@ FEATURES = ("lang", "length", "lines", "non_ascii", "upper")
 MAX_DOMAINS, MAX_VALUES = 1000, 10_000
 #: Up to this many cells their rates are broadcast to the documents; beyond it the join shuffles.
 MAX_BROADCAST_CELLS = 200_000
+#: Up to this many labelled ids are broadcast to the documents; beyond it the join shuffles.
+MAX_BROADCAST_IDS = 1_000_000
 #: Steps between two writings of the cells with their iterates.
 BETWEEN = 12
 
@@ -77,6 +79,8 @@ def _labelled(d: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     that the texts are read once, whatever follows."""
     own = fresh(d, "labelled_id")
     ids = labels.select(F.col("doc_id").alias(own)).where(F.col(own).isNotNull()).distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
     d = d.join(ids, d["doc_id"] == F.col(own), "left")
     return written(d.withColumn(name, F.col(name).withField("labelled", F.col(own).isNotNull())).drop(own), "mixing")
 

@@ -161,3 +161,15 @@ def test_texts_are_read_once(spark, monkeypatch):
     seen.append(mixing.with_rates(docs, labels))
     reads = [d for d in seen if "split(" in d._jdf.queryExecution().optimizedPlan().toString()]
     assert len(reads) == 1
+
+
+def test_labelled_ids_by_broadcast_or_shuffle(spark, monkeypatch):
+    """The same rows whether the labelled ids fit their bound or not; within it no text is shuffled for them."""
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 9), "en", f"s{i % 3}") for i in range(60)] + [(None, "none", "en", "s1")], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i,) for i in range(0, 60, 4)] + [(None,), (4,)], "doc_id bigint")
+    got = []
+    for bound in (mixing.MAX_BROADCAST_IDS, 0):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST_IDS", bound)
+        d = mixing._labelled(mixing._features(docs, "m"), labels, "m")
+        got.append(sorted((str(r.doc_id), r.m.labelled, r.m.tokens) for r in d.collect()))
+    assert got[0] == got[1] and sum(x[1] for x in got[0]) == 15 and len(got[0]) == 61
