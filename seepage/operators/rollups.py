@@ -20,6 +20,16 @@ from seepage.session import checkpoint_dir
 _SAMPLE = 64
 
 
+def _place(key: Column, cuts: Column, n: int) -> Column:
+    """How many of at most ``n`` sorted cuts are not above the key, by halving: a row costs log2(n) comparisons.
+    The key is part of the start value, so that it is computed once a row, whatever it is made of."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
+    at = lambda a, s: a["p"] + s
+    step = lambda a, s: F.when((at(a, s) <= F.size(cuts)) & (F.get(cuts, at(a, s) - 1) <= a["k"]), at(a, s)).otherwise(a["p"])
+    start = F.struct(F.lit(0).alias("p"), key.alias("k"))
+    return F.aggregate(steps, start, lambda a, s: F.struct(step(a, s).alias("p"), a["k"].alias("k")), lambda a: a["p"])
+
+
 def number_rows(df: DataFrame, order: list, out: str = "rn", partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position in ``order`` without a single-task window.
 
@@ -39,7 +49,7 @@ def number_rows(df: DataFrame, order: list, out: str = "rn", partitions: int | N
     sample = thin.orderBy(F.xxhash64("_key")).limit(_SAMPLE * n)
     cut = lambda a: F.transform(F.sequence(F.lit(1), F.lit(max(1, n - 1))), lambda i: F.get(a, F.floor(i * F.size(a) / n).cast("int")))
     cuts = sample.agg(cut(F.sort_array(F.collect_list("_key"))).alias("cuts")).checkpoint(eager=True)
-    place = F.size(F.filter("_cuts", lambda c: c <= F.col("_key")))
+    place = _place(F.col("_key"), F.col("_cuts"), n)
     counts = thin.withColumn("_cuts", cuts.scalar()).groupBy(place.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(F.col("_part").alias("_range"), F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
