@@ -41,6 +41,14 @@ def with_kind(files: DataFrame) -> DataFrame:
     return files.where(C.is_secret_file(name)).withColumn("kind", F.when(C.is_env_file(name), F.lit("env")).otherwise(F.lit("blob")))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """The secret files dealt over all tasks: cutting, classifying and hashing cost far more than their bytes say,
+    so that a scan which puts a few megabytes into one task leaves the other cores idle."""
+    spark = files.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.where(C.is_secret_file(C.basename(F.col("path")))).repartition(n)
+
+
 def env_entries(sf: DataFrame) -> DataFrame:
     """P1 + P3: one row per KEY=VALUE line of env-style files.
 
@@ -83,14 +91,14 @@ def fingerprints(files: DataFrame, roots: DataFrame,
                  promote: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The inventory: one row per (root, file, entry).
 
-    Roots within the broadcast bound: contents are cut where they are scanned, under each root that has
-    them. Beyond it each content is cut once, whatever roots it is in, and the roots of the distinct
+    The contents of secret files are dealt over all tasks once (``spread``). Roots within the broadcast bound:
+    contents are cut there, under each root that has them. Beyond it each content is cut once, whatever roots it is in, and the roots of the distinct
     paths are joined to the entries: no content is shuffled for its root."""
     if measured_roots(roots)[1]:
-        sf = secret_files(content_text(files), roots)
+        sf = secret_files(content_text(spread(files)), roots)
         entries = env_entries(sf).unionByName(blob_entries(sf))
     else:
-        sf = with_kind(content_text(files)).withColumn("worktree", F.lit(""))
+        sf = with_kind(content_text(spread(files))).withColumn("worktree", F.lit(""))
         entries = env_entries(sf).unionByName(blob_entries(sf)).drop("worktree")
         own = files_in_roots(with_kind(files.select("path")).select(F.col("path").alias("_path")).distinct(), roots, "_path")
         own = own.where(~in_ignored_dir(F.col("worktree"), F.col("_path")))

@@ -59,11 +59,12 @@ def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
 
     targets: target_worktree (one row per receiving root or per write)."""
     long = fps.where(F.col("vlen") >= K.MIN_MATCH_LEN)
-    per = long.groupBy(F.col("fp_worktree").alias("wt")).agg(F.count(F.lit(1)).alias("c"))
+    # one row per root, read for the join and for the total: the fingerprints are made once
+    per = hold(long.groupBy(F.col("fp_worktree").alias("wt")).agg(F.count(F.lit(1)).alias("c")))
     t = targets.select(F.col("target_worktree").alias("wt")).distinct()
-    total = long.count()
+    total = F.coalesce(per.agg(F.sum("c")).scalar(), F.lit(0))
     return t.join(per, "wt", "left").select(F.col("wt").alias("target_worktree"),
-                                            (F.lit(total) - F.coalesce("c", F.lit(0))).cast("bigint").alias("n_candidates"))
+                                            (total - F.coalesce("c", F.lit(0))).cast("bigint").alias("n_candidates"))
 
 
 def distinct_values(fps: DataFrame) -> DataFrame:
