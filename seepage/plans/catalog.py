@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.operators import rollups as R
+from seepage.operators.broadcast import hold
 from seepage.operators.fingerprint import (as_match_side, blob_entries, content_text, env_entries,
                                            fingerprints, promote_unknown, secret_files)
 from seepage.operators.match import other_domain_counts
@@ -187,7 +188,7 @@ def q_inventory_totals(spark, sf):
 
 @register("inventory_redacted", W(O.ctes_fps(), "SELECT path, field, value_hash, classification FROM fps"))
 def q_inventory_redacted(spark, sf):
-    fps = jobs.fx_fingerprints(spark, sf)
+    fps = hold(jobs.fx_fingerprints(spark, sf).select("worktree", "path", "ord", "field", "value_hash", "classification"))
     return redacted_inventory(fps.orderBy(*R.inventory_order(fps)))
 
 
@@ -195,7 +196,7 @@ def q_inventory_redacted(spark, sf):
           "SELECT row_number() OVER (ORDER BY worktree, string_split(path, '/'), ord) AS pos, worktree, path, ord, value_hash FROM fps"))
 def q_inventory_ordered(spark, sf):
     """O3 as data: the position of every entry in inventory order."""
-    fps = jobs.fx_fingerprints(spark, sf).select("worktree", "path", "ord", "value_hash")
+    fps = hold(jobs.fx_fingerprints(spark, sf).select("worktree", "path", "ord", "value_hash"))  # read for the cuts, the counts and the rows
     return R.number_rows(fps, R.inventory_order(fps), "pos").select("pos", "worktree", "path", "ord", "value_hash")
 
 
@@ -391,7 +392,7 @@ def report_from_trail(spark, sf):
     """S3, S2, then O1, A5 and P10 on what was read back."""
     path = scratch_path(spark, "trail")
     append_leak_events(fx(spark, sf, "trail_fx").drop("trail_pos"), path)
-    t = R.positioned(read_leak_events(spark, path))
+    t = hold(R.positioned(read_leak_events(spark, path)))  # numbered once, read by the ranking (three times), edges and summaries
     out = R.ranked_report(t).select(F.lit("rank").alias("kind"), F.col("rn").alias("pos"), F.col("row_text").alias("line"))
     for kind, df in (("edge", R.map_edges(t)), ("summary", R.event_summary(t))):
         out = out.unionByName(df.toDF("pos", "line").withColumn("kind", F.lit(kind)))
