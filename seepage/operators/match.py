@@ -11,7 +11,8 @@ other-domain rule (J4) applies. One reading of the contents finds what may match
 (gramscan.py: filters of fixed size, tested on every byte); only thin rows (content hash,
 position, gram) leave it, and they meet the values' grams in one join: broadcast if those
 fit the measured bound, else by a shuffle of the thin rows, so that the number of values
-changes neither the number of readings nor what is read.
+changes neither the number of readings nor what is read. The fuzzy rows of a common trigram would be contents times
+values; while the values' prefix trigrams fit a bound, the scan itself meets them and hands out window ranges.
 
 J5 exact: each value has one anchor, its rarest 8-byte gram among the values, at offset s (so
 common beginnings, "-----BEGIN", "postgres://", are not probed). An occurrence at p shows the
@@ -29,7 +30,7 @@ numbers a group and collapse before they are shuffled, copies of a content too.
 Candidates, exact and fuzzy, go back to the contents in as many bounded broadcasts as their
 measured size asks for (it follows what matches, not how many values there are): an exact one
 compares the bytes at p, a fuzzy one tests the windows that can hold it, at most 2 L bytes, unless the
-value occurs exactly.
+value occurs exactly. Copies of a content are tested once.
 """
 
 from __future__ import annotations
@@ -42,14 +43,16 @@ from pyspark.sql import functions as F
 from seepage.functions import columns as C
 from seepage.functions import constants as K
 from seepage.functions.similarity import fuzzy_window_udf
-from seepage.operators import gramscan
+from seepage.operators import broadcast, gramscan
 from seepage.operators.broadcast import bounded_broadcast, broadcast_slices, hold
-from seepage.operators.gramscan import ANCHOR, EXACT, FUZZY
+from seepage.operators.gramscan import ANCHOR, EXACT, FOUND, FUZZY
 
 FP_KEY = ["fp_worktree", "fp_path", "fp_ord"]
 _KINDS = {"exact": EXACT, "fuzzy": FUZZY}
 #: Offsets at which a value's anchor is sought: the rarest gram there is found as well as any.
 _ANCHOR_OFFSETS = 4096
+#: Bytes that a prefix trigram takes in the scan's index, its share of the values' ids and lengths included.
+_INDEX_ROW = 32
 
 
 def other_domain_counts(targets: DataFrame, fps: DataFrame) -> DataFrame:
@@ -106,8 +109,10 @@ class Probes:
     fps: DataFrame
     values: DataFrame
     probe: DataFrame
+    joined: DataFrame  # what the scan's rows are joined to: without the fuzzy rows if the index has them
     filters: object
     kinds: tuple[int, ...]
+    index: object = None
 
 
 def probe_tables(fps: DataFrame, kinds=("exact", "fuzzy")) -> Probes:
@@ -120,38 +125,51 @@ def probe_tables(fps: DataFrame, kinds=("exact", "fuzzy")) -> Probes:
     if FUZZY in found:
         t = prefix_trigrams(values)
         own.append(t.select(F.lit(FUZZY).alias("kind"), "key", "vid", "vlen", F.lit(0).alias("off"), "idx", "need"))
-    probe, _ = bounded_broadcast(own[0] if len(own) == 1 else own[0].unionByName(own[1]), sensitive=True)
-    words = gramscan.filter_words(probe.where(F.col("kind") == EXACT).count())
-    filters = fps.sparkSession.sparkContext.broadcast(gramscan.build_filters(probe, words))
-    return Probes(fps, values, probe, filters, found)
+    probe, small = bounded_broadcast(own[0] if len(own) == 1 else own[0].unionByName(own[1]), sensitive=True)
+    n = {r.kind: r.n for r in probe.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sc = fps.sparkSession.sparkContext
+    filters = sc.broadcast(gramscan.build_filters(probe, gramscan.filter_words(n.get(EXACT, 0))))
+    joined, index = probe, None
+    if FUZZY in found and _INDEX_ROW * n.get(FUZZY, 0) <= broadcast.MAX_BROADCAST_BYTES:
+        index = sc.broadcast(gramscan.build_index(probe.where(F.col("kind") == FUZZY)))
+        joined = probe.where(F.col("kind") == EXACT)
+        joined = F.broadcast(joined) if small else bounded_broadcast(joined, sensitive=True)[0]
+    return Probes(fps, values, probe, joined, filters, found, index)
 
 
 def candidates(contents: DataFrame, probes: Probes) -> DataFrame:
-    """(_ch, kind, vid, vlen, lo, hi): places of contents (_ch, content_bin) that may hold a value,
-    an exact one at lo, a fuzzy one in a window that starts at lo .. hi (necessary, not sufficient)."""
-    s = gramscan.scan(contents, probes.filters, probes.kinds)
-    p = probes.probe.withColumnRenamed("kind", "_kind").withColumnRenamed("key", "_key")
-    j = s.join(p, (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind")))
-    exact = F.col("kind") == EXACT
-    b = F.when(exact, F.col("pos") - F.col("off")).otherwise(F.floor(F.col("pos") / F.col("vlen"))).cast("int")
-    j = j.select("_ch", "n", "kind", "vid", "vlen", "need", "idx", "pos", F.explode(F.when(exact, F.array(b)).otherwise(F.array(b, b - 1))).alias("b"))
+    """(_ch, _rep, kind, vid, vlen, lo, hi): places of contents (_ch, content_bin) that may hold a value,
+    an exact one at lo, a fuzzy one in a window that starts at lo .. hi (necessary, not sufficient);
+    _rep is that of one of the content's copies, where the contents have it."""
+    if "_rep" not in contents.columns:
+        contents = contents.withColumn("_rep", F.lit(None).cast("bigint"))
+    s = gramscan.scan(contents, probes.filters, probes.kinds, probes.index)
+    p = probes.joined.toDF("_kind", "_key", "_vid", "_vlen", "off", "idx", "need")
+    j = s.join(p, (F.col("key") == F.col("_key")) & (F.col("kind") == F.col("_kind")), "left" if probes.index else "inner")
+    exact, fuzzy, found = F.col("kind") == EXACT, F.col("kind") == FUZZY, F.col("kind") == FOUND
+    j = j.withColumns({"vid": F.coalesce("vid", "_vid"), "vlen": F.coalesce("vlen", "_vlen"), "need": F.coalesce("need", F.lit(1))}).where("vid IS NOT NULL")
+    b = F.when(exact, F.col("pos") - F.col("off")).when(found, F.col("pos")).otherwise(F.floor(F.col("pos") / F.col("vlen"))).cast("int")
+    j = j.select("_ch", "_rep", "n", "kind", "vid", "vlen", "need", "idx", "pos", "hi", F.explode(F.when(fuzzy, F.array(b, b - 1)).otherwise(F.array(b))).alias("b"))
     j = j.where((F.col("b") >= 0) & (~exact | (F.col("b") + F.col("vlen") <= F.col("n"))))
     g = j.groupBy("_ch", "kind", "vid", "vlen", "need", "b").agg(
-        F.min("idx").alias("_imin"), F.max("idx").alias("_imax"), F.min("pos").alias("_tmin"), F.max("pos").alias("_tmax"))
+        F.min("idx").alias("_imin"), F.max("idx").alias("_imax"), F.min("pos").alias("_tmin"), F.max("pos").alias("_tmax"),
+        F.max("hi").alias("_hi"), F.min("_rep").alias("_rep"))
     g = g.where((F.col("need") <= 1) | (F.col("_imin") < F.col("_imax")))
     lo = F.greatest(F.col("b") * F.col("vlen"), F.col("_tmin") - F.col("vlen") + 3, F.lit(0))
     hi = F.least((F.col("b") + 1) * F.col("vlen") - 1, F.col("_tmax"))
-    g = g.select("_ch", "kind", "vid", "vlen", F.when(exact, F.col("b")).otherwise(lo).cast("int").alias("lo"), F.when(exact, F.col("b")).otherwise(hi).cast("int").alias("hi"))
+    g = g.select("_ch", "_rep", F.when(exact, F.lit(EXACT)).otherwise(F.lit(FUZZY)).alias("kind"), "vid", "vlen",
+                 F.when(fuzzy, lo).otherwise(F.col("b")).cast("int").alias("lo"), F.when(fuzzy, hi).when(found, F.col("_hi")).otherwise(F.col("b")).cast("int").alias("hi"))
     return g.where("lo <= hi")
 
 
 def matched_values(writes: DataFrame, probes: Probes) -> DataFrame:
-    """(write columns without content, vid, kind), exact else fuzzy."""
+    """(write columns without content, vid, kind), exact else fuzzy. Each content is tested in one
+    of the writes that have it; what it holds is joined to all of them, on its hash."""
     w = writes.withColumn("_ch", F.unhex(F.sha2("content_bin", 256)))
-    cand = candidates(w, probes).join(probes.values.drop("vlen"), "vid").withColumnRenamed("_ch", "_cch")
+    cand = candidates(w.withColumn("_rep", F.col("write_id")), probes).join(probes.values.drop("vlen"), "vid").withColumnRenamed("_ch", "_cch")
     out = None
     for side in broadcast_slices(cand, "_cch", F.col("vlen") + F.lit(112)):
-        v = w.join(side, w["_ch"] == side["_cch"])
+        v = w.select("write_id", "_ch", "content_bin").join(side, (F.col("_ch") == F.col("_cch")) & F.col("write_id").eqNullSafe(F.col("_rep")))
         exact = (F.col("kind") == EXACT) & (F.substring("content_bin", F.col("lo") + 1, F.col("vlen")) == F.col("value_bin"))
         # only the bytes of the windows go to Python, and nothing of an exact candidate; a shorter content is compared whole
         n = F.octet_length("content_bin")
@@ -162,9 +180,11 @@ def matched_values(writes: DataFrame, probes: Probes) -> DataFrame:
         v = v.where("_same OR _part IS NOT NULL")
         if FUZZY in probes.kinds:
             v = v.where(F.col("_same") | fuzzy_window_udf("_part", "value_bin", F.lit(0), "_last"))
-        v = v.drop("_ch", "_cch", "_part", "_last", "_same", "value_bin", "vlen", "lo", "hi").dropDuplicates(["write_id", "vid"])
+        v = v.select("_cch", "vid", "kind")
         out = v if out is None else out.unionByName(v)
-    return out
+    held, _ = bounded_broadcast(out.dropDuplicates(["_cch", "vid"]), width=F.lit(64), sensitive=True)
+    found = w.drop("content_bin").join(held, F.col("_ch") == F.col("_cch")).drop("_ch", "_cch")
+    return found.dropDuplicates(["write_id", "vid"])
 
 
 def leak_matches(writes: DataFrame, fps: DataFrame | Probes, kinds=("exact", "fuzzy"), owned=None) -> DataFrame:
