@@ -78,7 +78,7 @@ def run_fixture_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = fixture(spark, sf_dir, "writes_fx").withColumn("kind", F.lit("write"))
     # events of other kinds repeat the contents and must not count
     w = w.unionByName(w.where("write_id % 3 = 0").withColumn("kind", F.when(F.col("write_id") % 2 == 0, F.lit("remove")).otherwise(F.lit("chmod"))))
-    w.repartition(4, "write_id").write.parquet(log_dir)
+    w.repartition(max(4, spark.sparkContext.defaultParallelism), "write_id").write.parquet(log_dir)  # as many tasks write and read it as there are cores
     trail_dir = scratch_path(spark, "stream-trail")
     q = run_leak_stream(spark, log_dir, jobs.fx_fingerprints(spark, sf_dir), fixture(spark, sf_dir, "worktrees_fx"),
                         jobs.fx_actors(spark, sf_dir), trail_dir, scratch_path(spark, "stream-ckpt"))
